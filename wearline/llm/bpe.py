@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import prepare, table, texts
+from .common import extended, prepare, table, texts
 from .spans import SpanHash, code_points, offsets_of, ragged
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -477,7 +477,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTER
             lists = pa.ListArray.from_arrays(pa.array(offsets_of(lengths), type=pa.int32()), values)
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "tokens"])
 
-    return docs.mapInArrow(run, docs.schema.add("tokens", "array<int>"))
+    return docs.mapInArrow(run, extended(docs, "tokens array<int>"))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text") -> DataFrame:

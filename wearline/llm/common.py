@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wearline.shipping import checkpoint_dir, ship
 
@@ -31,6 +32,11 @@ def id_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def extended(docs: DataFrame, ddl: str) -> StructType:
+    """The schema of a table with further columns."""
+    return StructType([*docs.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def raw_bytes(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow string column as UTF-8 bytes; null as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
