@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that have QUERIES, and ORACLE_SQL where there is any.
-MODULES = ("chat", "bpe", "decontaminate", "secrets", "media")
+MODULES = ("chat", "html", "language", "decontaminate", "bpe", "secrets", "media", "quality")
 
 
 def _all(name: str) -> dict:

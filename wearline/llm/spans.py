@@ -46,8 +46,13 @@ class SpanHash:
         n = len(symbols)
         size = 1 << max(12, int(n).bit_length())
         powers, self.inverse = _powers(size)
+        values = symbols.astype(np.uint64)
+        values += np.uint64(1)
+        values *= _MIX[0]
+        values ^= values >> _MIX[2]
+        values *= powers[:n]
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(mix(symbols.astype(np.uint64) + np.uint64(1)) * powers[:n], out=self.sums[1:], dtype=np.uint64)
+        np.cumsum(values, out=self.sums[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         raw = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
