@@ -480,28 +480,34 @@ def tokenize(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTER
     return docs.mapInArrow(run, extended(docs, "tokens array<int>"))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text") -> DataFrame:
-    """Encode, decode and digest each text: doc_id, n_tokens, ids_sha256, decoded_sha256, utf8_whole."""
+def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", with_tokens: bool = False) -> DataFrame:
+    """Encode, decode and digest each text: doc_id, n_tokens, ids_sha256, decoded_sha256, utf8_whole, and tokens if wanted."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
             rows: list[tuple[int, str, str, bool]] = []
+            parts = [np.zeros(0, dtype=np.int64)]
             for some in chunks(texts(batch.column(1))):
                 tokens, at = own.encode(some)
+                if with_tokens:
+                    parts.append(tokens)
                 for i in range(len(some)):
                     ids = tokens[at[i] : at[i + 1]]
                     rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest(), own.whole_characters(ids)))
             columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(list(c), type=t) for c, t in zip(columns, kinds, strict=True))],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "utf8_whole"],
-            )
+            arrays = [batch.column(0), *(pa.array(list(c), type=t) for c, t in zip(columns, kinds, strict=True))]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "utf8_whole"]
+            if with_tokens:
+                offsets = pa.array(offsets_of(list(columns[0])), type=pa.int32())
+                arrays.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts).astype(np.int32))))
+                names.append("tokens")
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, utf8_whole boolean"
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, utf8_whole boolean" + ", tokens array<int>" * with_tokens
     return docs.select("doc_id", text).mapInArrow(run, schema)
 
 

@@ -426,6 +426,18 @@ def near_duplicates(docs: DataFrame, rule: Rule | None = None, text: str = "text
     return linked.unionByName(alone).withColumn("kept", kept())
 
 
+def deduplicate(docs: DataFrame, rule: Rule | None = None, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without the near copies: one document of each class stays, with all its columns.
+
+    Rows go by an anti join with the ids that are not kept, the smaller side. Where ids repeat, rows
+    that also share their text are copies, and one of them stays.
+    """
+    found = near_duplicates(docs.select("doc_id", text), rule, text).checkpoint()
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    return left.dropDuplicates(["doc_id", text]) if _repeats(found) else left
+
+
 def kept() -> Column:
     return F.col("doc_id").eqNullSafe(F.col("component_id"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that have QUERIES, and ORACLE_SQL where there is any.
-MODULES = ("chat", "html", "language", "decontaminate", "bpe", "secrets", "media", "neardup", "quality")
+MODULES = ("chat", "html", "language", "decontaminate", "bpe", "secrets", "media", "licenses", "neardup", "quality")
 
 
 def _all(name: str) -> dict:
