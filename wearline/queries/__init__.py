@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from wearline.queries import building, evaluation, features
+from wearline.queries.common import QUERIES, SQL
+from wearline.queries.features import flagship
+
+__all__ = ["building", "evaluation", "features", "flagship", "oracle_sql", "queries"]
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
