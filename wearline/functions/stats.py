@@ -128,6 +128,13 @@ OF_LIFE: dict[str, Callable[..., Column]] = {
 }
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's, over rows that have both; NULL without spread (where Spark's own divides by zero)."""
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def quantile(x: Column, q: float) -> Column:
     """Exact, with linear interpolation."""
     return F.percentile(x, F.lit(q))

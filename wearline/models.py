@@ -91,15 +91,20 @@ def cross_validate(estimator: Estimator, grid: Sequence[dict], samples: Windowed
     return search.fit(rows)
 
 
+#: Samples among which a feature is dealt anew.
+BUCKET = 100_000
+
+
 def permutation_importance(model: Model, samples: WindowedDatasetIterator, feature: str, seed: int = 0) -> DataFrame:
     """The error with one feature's windows dealt anew among samples, less the error as it is.
 
-    Windows of the feature move between samples by a join of two hash orders within buckets: no global sort to one task.
+    Windows of the feature move between samples by a join of two hash orders within buckets of about
+    ``BUCKET`` samples, so that no task sorts them all.
     """
     k = samples.x.columns.index(feature)
     base = samples.samples()
     keys = [samples.x.cycle, samples.x.pos]
-    bucket = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1024))
+    bucket = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(max(1, base.count() // BUCKET)))
     place = lambda salt: F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(*keys, F.lit(salt)), *keys))
     own = base.withColumn("_b", bucket)
     left, right = own.withColumn("_r", place(seed + 1)), own.withColumn("_r", place(seed + 2)).select("_b", "_r", F.transform("X", lambda r: r[k]).alias("_x"))
