@@ -15,7 +15,7 @@
    nodes, then every node outside the cluster's largest component visit all blocks.
 
 Nothing is capped: depth, blocks and rounds decide where comparisons happen, not whether. What the
-forest may miss is a pair that shares the least depth in no order (below 1e-5 at the threshold).
+forest may miss is a pair that shares the least depth in no order (below 2e-5 at the threshold).
 
 Defined cases: null, empty and wordless texts have empty sets, are linked with nothing and are their
 own class; texts of fewer words than a shingle have one shingle; repeated rows are linked copies; a
@@ -41,7 +41,7 @@ from .spans import SpanHash, mix, offsets_of, ragged
 TREES = 16
 DEPTH = 8
 #: The chance of missing a pair at the threshold that decides the least depth.
-MISS = 1e-5
+MISS = 2e-5
 #: Signatures may agree so much less than the threshold.
 SLACK = 0.25
 #: Texts and shingles that a block of a cluster holds at most, about.

@@ -51,6 +51,9 @@ class Model(NamedTuple):
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
+    #: The range of scaled features seen in calibration: others are taken to its ends.
+    low: np.ndarray
+    high: np.ndarray
     #: The score where no dictionaries could be built.
     share: float
 
@@ -113,7 +116,7 @@ def fit_rows(rows: list[tuple[int, bytes]], counts: dict[int, int]) -> Model:
     share = counts.get(1, 0) / total if total else 0.5
     by = {label: [t for q, t in rows if q == label] for label in (0, 1)}
     if min(map(len, by.values())) < 2:
-        return Model(b"", b"", np.zeros(0), np.zeros(0), np.zeros(0), share)
+        return Model(b"", b"", *[np.zeros(0)] * 5, share)
     good, bad = (build_dictionary(by[label][::2]) for label in (1, 0))
     sizer = Sizer(good, bad)
     rest = [(label, t) for label in (0, 1) for t in by[label][1::2]]
@@ -122,7 +125,8 @@ def fit_rows(rows: list[tuple[int, bytes]], counts: dict[int, int]) -> Model:
     own = {label: sum(1 for q, _ in rest if q == label) for label in (0, 1)}
     weight = np.array([counts[q] / own[q] for q, _ in rest]) * len(rest) / total
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    return Model(good, bad, mean, scale, logistic((x - mean) / scale, y, weight), share)
+    scaled = (x - mean) / scale
+    return Model(good, bad, mean, scale, logistic(scaled, y, weight), scaled.min(axis=0), scaled.max(axis=0), share)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
@@ -144,7 +148,7 @@ def scores_of(model: Model, documents: list[bytes], sizer: Sizer | None = None)
         return np.full(len(documents), model.share)
     sizer = sizer or Sizer(model.good, model.bad)
     x = features(np.array([sizer(t) for t in documents]), np.array([len(t) for t in documents]))
-    z = ((x - model.mean) / model.scale) @ model.weights[:-1] + model.weights[-1]
+    z = np.clip((x - model.mean) / model.scale, model.low, model.high) @ model.weights[:-1] + model.weights[-1]
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
