@@ -65,10 +65,19 @@ def _same_group(a: pd.DataFrame, b: pd.DataFrame, keys: list[str]) -> bool:
 
 
 class Rows:
-    """One set of rows and all columns computed for it so far."""
+    """One set of rows and all columns computed for it so far.
 
-    def __init__(self, df: DataFrame, cycle: str, pos: str) -> None:
-        self.df, self.cycle, self.pos = df, cycle, pos
+    ``unit`` may name a column that the cycle determines and by which the rows are partitioned
+    already (the log that cycles were cut from): windows and groups by (unit, cycle) then need no
+    shuffle of their own.
+    """
+
+    def __init__(self, df: DataFrame, cycle: str, pos: str, unit: str | None = None) -> None:
+        self.df, self.cycle, self.pos, self.unit = df, cycle, pos, unit
+
+    @property
+    def by(self) -> list[str]:
+        return [self.cycle] if self.unit is None else [self.unit, self.cycle]
 
     def add(self, columns: dict[str, Column]) -> dict[str, str]:
         """Compute columns; returns the name under which each is held."""
@@ -91,7 +100,7 @@ class Rows:
                 part[held[name]] = found[name].to_numpy()
             return part
 
-        self.df = by_group(self.df, [self.cycle], self.pos, run, schema)
+        self.df = by_group(self.df, self.by, self.pos, run, schema)
         return held
 
 
@@ -131,7 +140,7 @@ class Frame:
     # Windows -------------------------------------------------------------------------------------
     @property
     def whole(self) -> Window:
-        return Window.partitionBy(self.cycle)
+        return Window.partitionBy(*self.rows.by)
 
     @property
     def ordered(self) -> Window:
@@ -173,12 +182,12 @@ class Frame:
 
     def where(self, condition: Column) -> Frame:
         """The rows that satisfy a condition, as rows of their own (positions stay)."""
-        return Frame(Rows(self.rows.df.filter(condition), self.cycle, self.pos), self.held)
+        return Frame(Rows(self.rows.df.filter(condition), self.cycle, self.pos, self.rows.unit), self.held)
 
     def renumbered(self) -> Frame:
         """The same rows with positions 0, 1, ... again."""
         df = self.rows.df.withColumn(self.pos, F.row_number().over(self.ordered).cast("long") - 1)
-        return Frame(Rows(df, self.cycle, self.pos), self.held)
+        return Frame(Rows(df, self.cycle, self.pos, self.rows.unit), self.held)
 
     def kernel(self, outputs: dict[str, str], function: Callable[[pd.DataFrame], pd.DataFrame], inputs: Sequence[str] | None = None, keep: bool = False) -> Frame:
         chosen = {n: self.held[n] for n in (self.columns if inputs is None else inputs)}
@@ -199,7 +208,8 @@ class Frame:
         return {name: row[i] for i, name in enumerate(columns)}
 
     def per_cycle(self, columns: dict[str, Column]) -> DataFrame:
-        return self.rows.df.groupBy(self.cycle).agg(*(c.alias(n) for n, c in columns.items()))
+        found = self.rows.df.groupBy(*self.rows.by).agg(*(c.alias(n) for n, c in columns.items()))
+        return found.drop(self.rows.unit) if self.rows.unit else found
 
 
 def no_nan(df: DataFrame) -> DataFrame:
@@ -217,16 +227,16 @@ class CycleSet:
 
     def __init__(
         self, df: DataFrame, cycle: str = "cycle_id", order: Sequence[str] | str = "pos", rul: str = "RUL", features: Sequence[str] | None = None,
-        columns_of: dict[object, Sequence[str]] | None = None, positions: bool = True,
+        columns_of: dict[object, Sequence[str]] | None = None, positions: bool = True, unit: str | None = None,
     ) -> None:
-        self.cycle, self.rul, self.columns_of = cycle, rul, columns_of
+        self.cycle, self.rul, self.columns_of, self.unit = cycle, rul, columns_of, unit
         order = [order] if isinstance(order, str) else list(order)
         df = no_nan(df)
         self.pos = "pos"
         if positions and order != ["pos"]:
             df = df.withColumn("pos", F.row_number().over(Window.partitionBy(cycle).orderBy(*order)).cast("long") - 1)
         self.df = df
-        self.features = list(features) if features is not None else [c for c in df.columns if c not in (cycle, "pos")]
+        self.features = list(features) if features is not None else [c for c in df.columns if c not in (cycle, "pos", unit)]
 
     @property
     def rul_column(self) -> str:
@@ -234,10 +244,10 @@ class CycleSet:
 
     def frame(self, names: Sequence[str] | None = None) -> Frame:
         names = self.features if names is None else list(names)
-        return Frame(Rows(self.df, self.cycle, self.pos), {n: n for n in names})
+        return Frame(Rows(self.df, self.cycle, self.pos, self.unit), {n: n for n in names})
 
     def _with(self, df: DataFrame) -> CycleSet:
-        return CycleSet(df, self.cycle, "pos", self.rul, self.features, self.columns_of, positions=False)
+        return CycleSet(df, self.cycle, "pos", self.rul, self.features, self.columns_of, positions=False, unit=self.unit)
 
     # Schema --------------------------------------------------------------------------------------
     def common_features(self) -> list[str]:
@@ -317,7 +327,8 @@ class CycleSet:
         if missing:
             raise ValueError(f"no such columns: {missing}")
         first = [F.min_by(c, "pos").alias(n) for n, c in (columns or {}).items()]
-        return self.df.groupBy(self.cycle).agg(F.count("*").alias("n_samples"), F.max(self.rul).alias("duration"), *first)
+        found = self.df.groupBy(*self.frame([]).rows.by).agg(F.count("*").alias("n_samples"), F.max(self.rul).alias("duration"), *first)
+        return found.drop(self.unit) if self.unit else found
 
 
 class FoldedSet(CycleSet):
@@ -327,7 +338,7 @@ class FoldedSet(CycleSet):
         self.base, self.ids = base, cycles
         kind = base.df.schema[base.cycle].dataType.simpleString()
         ids = base.df.sparkSession.createDataFrame([(c,) for c in cycles], f"{base.cycle} {kind}") if cycles else base.df.select(base.cycle).limit(0)
-        super().__init__(base.df.join(ids.distinct(), base.cycle, "left_semi"), base.cycle, "pos", base.rul, base.features, base.columns_of, positions=False)
+        super().__init__(base.df.join(ids.distinct(), base.cycle, "left_semi"), base.cycle, "pos", base.rul, base.features, base.columns_of, positions=False, unit=base.unit)
 
     def original(self) -> list:
         """The ids in the set at the bottom."""

@@ -26,9 +26,9 @@ class Subsample(Step):
 
 def _regrouped(frame: Frame, keys: dict[str, Column], order: Column, values: dict[str, Column]) -> Frame:
     """Means by cycle and key, numbered by the first row of each group."""
-    df = frame.rows.df.groupBy(frame.cycle, *(c.alias(n) for n, c in keys.items())).agg(order.alias("_order"), *(c.alias(n) for n, c in values.items()))
-    number = F.row_number().over(Window.partitionBy(frame.cycle).orderBy("_order")).cast("long") - 1
-    return Frame(Rows(df.withColumn(frame.pos, number), frame.cycle, frame.pos), {n: n for n in [*keys, *values]})
+    df = frame.rows.df.groupBy(*frame.rows.by, *(c.alias(n) for n, c in keys.items())).agg(order.alias("_order"), *(c.alias(n) for n, c in values.items()))
+    number = F.row_number().over(Window.partitionBy(*frame.rows.by).orderBy("_order")).cast("long") - 1
+    return Frame(Rows(df.withColumn(frame.pos, number), frame.cycle, frame.pos, frame.rows.unit), {n: n for n in [*keys, *values]})
 
 
 class IndexMeanResampler(Step):
@@ -45,7 +45,7 @@ class IndexMeanResampler(Step):
         held = frame.rows.add({"bin": start})["bin"]
         found = _regrouped(frame, {self.time_feature: F.col(held)}, F.min(held), {n: F.avg(frame.col(n)) for n in names})
         kept = found.rows.df.dropna(subset=names)
-        return Frame(Rows(kept, frame.cycle, frame.pos), found.held).renumbered()
+        return Frame(Rows(kept, frame.cycle, frame.pos, frame.rows.unit), found.held).renumbered()
 
 
 class SubsamplerTransformer(Step):
@@ -86,18 +86,19 @@ class IntegerIndexResamplerTransformer(Step):
         names = [n for n in frame.columns if n != self.time_feature]
         numeric = set(frame.numeric)
         t = frame.col(self.time_feature).cast("double")
-        samples = frame.rows.df.filter(t.isNotNull()).select(frame.cycle, t.alias("_t"), F.struct(t.alias("_t"), *(frame.col(n).alias(n) for n in names)).alias("_s"))
-        span = samples.groupBy(frame.cycle).agg(F.min("_t").alias("a"), F.max("_t").alias("b"))
+        by = frame.rows.by
+        samples = frame.rows.df.filter(t.isNotNull()).select(*by, t.alias("_t"), F.struct(t.alias("_t"), *(frame.col(n).alias(n) for n in names)).alias("_s"))
+        span = samples.groupBy(*by).agg(F.min("_t").alias("a"), F.max("_t").alias("b"))
         count = F.greatest(F.ceil((F.col("b") - F.col("a")) / self.steps), F.lit(0)).cast("int")
-        grid = span.select(frame.cycle, "a", F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1))).alias("_k"))
-        grid = grid.select(frame.cycle, (F.col("a") + F.col("_k") * float(self.steps)).alias("_t"), F.col("_k").cast("long").alias(frame.pos))
+        grid = span.select(*by, "a", F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1))).alias("_k"))
+        grid = grid.select(*by, (F.col("a") + F.col("_k") * float(self.steps)).alias("_t"), F.col("_k").cast("long").alias(frame.pos))
         both = samples.withColumn(frame.pos, F.lit(None).cast("long")).unionByName(grid, allowMissingColumns=True)
-        w = Window.partitionBy(frame.cycle).orderBy("_t")
+        w = Window.partitionBy(*by).orderBy("_t")
         seen = both.withColumn("_before", F.last("_s", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)))
         seen = seen.withColumn("_after", F.first("_s", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)))
         found = seen.filter(F.col(frame.pos).isNotNull())
         values = self._between(names, numeric)
         if not self.drop_time_feature:
             values = {self.time_feature: F.col("_t"), **values}
-        df = found.select(frame.cycle, frame.pos, *(c.alias(n) for n, c in values.items()))
-        return Frame(Rows(df, frame.cycle, frame.pos), {n: n for n in values})
+        df = found.select(*by, frame.pos, *(c.alias(n) for n, c in values.items()))
+        return Frame(Rows(df, frame.cycle, frame.pos, frame.rows.unit), {n: n for n in values})

@@ -260,15 +260,15 @@ class LocalEntropyMeasures(Step):
                 }
             )
             history, block, value = (F.col(keys[n]) for n in ("history", "block", "value"))
-            whole = frame.cycle
+            whole = frame.rows.by
             with_history = F.when(history.isNotNull(), F.lit(1))
-            of = lambda *by: F.count(with_history).over(Window.partitionBy(whole, *by)).cast("double")
+            of = lambda *by: F.count(with_history).over(Window.partitionBy(*whole, *by)).cast("double")
             n, n_history, n_value, n_both = of(), of(history), of(value), of(history, value)
             share = n_both / n_history
-            blocks = F.count(block).over(Window.partitionBy(whole)).cast("double")
+            blocks = F.count(block).over(Window.partitionBy(*whole)).cast("double")
             measures = {
                 "local_active_information": F.when(history.isNotNull(), F.log2(share / (n_value / n))),
-                "local_block_entropy": F.when(block.isNotNull(), -F.log2(F.count(block).over(Window.partitionBy(whole, block)) / blocks)),
+                "local_block_entropy": F.when(block.isNotNull(), -F.log2(F.count(block).over(Window.partitionBy(*whole, block)) / blocks)),
                 "local_entropy_rate": F.when(history.isNotNull(), -F.log2(share)),
             }
             out |= {f"{name}_{m}": measures[m] for m in self.to_compute}
@@ -279,5 +279,5 @@ def apply_rolling_data(frame: Frame, function: Callable[[Column], Column], windo
     """An aggregate of consecutive, non-overlapping windows of rows; the last may be short."""
     names = list(names or frame.numeric)
     block = F.floor(F.col(frame.pos) / window).cast("long").alias(frame.pos)
-    df = frame.rows.df.groupBy(frame.cycle, block).agg(*(function(frame.col(n)).alias(n) for n in names))
-    return Frame(Rows(df, frame.cycle, frame.pos), {n: n for n in names})
+    df = frame.rows.df.groupBy(*frame.rows.by, block).agg(*(function(frame.col(n)).alias(n) for n in names))
+    return Frame(Rows(df, frame.cycle, frame.pos, frame.rows.unit), {n: n for n in names})

@@ -96,11 +96,6 @@ def dataset_sizes(spark, sf):
     return rounded(own.df.agg(F.countDistinct("cycle_id").alias("n_cycles"), F.count("*").alias("n_samples"), F.max("RUL").alias("longest")))
 
 
-@query("fold_of_cycles", BASE + "SELECT cycle_id, CAST(pos AS BIGINT) AS pos, event_id FROM d WHERE cycle_id IN ('Cycle_1:1_1', 'Cycle_1:2_2', 'Cycle_1:3_1')")
-def fold_of_cycles(spark, sf):
-    return cycles(spark, sf).fold(["Cycle_1:1_1", "Cycle_1:2_2", "Cycle_1:3_1"]).df.select("cycle_id", "pos", "event_id")
-
-
 @query("subsampled_rows", BASE + f"SELECT cycle_id, CAST(pos AS BIGINT) AS pos, {r('value')} AS value FROM d WHERE pos % 4 = 0")
 def subsampled_rows(spark, sf):
     return rounded(cycles(spark, sf).sampled(subsample_proportion=0.25).select("cycle_id", "pos", "value"))

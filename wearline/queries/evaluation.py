@@ -85,15 +85,7 @@ def batches(spark, sf):
 # Profiles ------------------------------------------------------------------------------------------
 
 
-def _profiled(spark, sf) -> CycleSet:
-    """Cycles of at least five rows."""
-    own = cycles(spark, sf)
-    long = own.sizes().filter("n >= 5").select("cycle_id")
-    return own._with(own.df.join(long, "cycle_id", "left_semi"))
-
-
-_LONG = BASE + f", p AS (SELECT * FROM (SELECT *, count(*) OVER whole AS n FROM d {WINDOWS}) WHERE n >= 5)"
-_CELLS = _LONG + """, x AS (SELECT cycle_id, pos, 'k' AS feature, CAST(k AS DOUBLE) AS x FROM p UNION ALL SELECT cycle_id, pos, 'value', value FROM p),
+_CELLS = BASE + """, x AS (SELECT cycle_id, pos, 'k' AS feature, CAST(k AS DOUBLE) AS x FROM d UNION ALL SELECT cycle_id, pos, 'value', value FROM d),
 s AS (SELECT *, x - lag(x) OVER (PARTITION BY cycle_id, feature ORDER BY pos) AS step, rank() OVER (PARTITION BY cycle_id, feature ORDER BY x) + (count(*) OVER (PARTITION BY cycle_id, feature, x) - 1) / 2.0 AS rk FROM x)"""
 _METRICS = {
     "std": "stddev_pop(x)", "autocorrelation": "sum(step * step) / count(*)", "monotonicity": "abs(sum(sign(step))) / greatest(count(*) - 1, 1)",
@@ -104,24 +96,24 @@ _FEATURES = ("k", "value")
 
 @query("feature_metrics", _CELLS + " SELECT cycle_id, feature, " + ", ".join(f"{r(e)} AS \"{n}\"" for n, e in _METRICS.items()) + ", CAST(count(DISTINCT x) AS BIGINT) AS number_of_unique_elements FROM s GROUP BY 1, 2")
 def feature_metrics(spark, sf):
-    found = analysis.analyze(_profiled(spark, sf), [*_METRICS, "number_of_unique_elements"], _FEATURES)
+    found = analysis.analyze(cycles(spark, sf), [*_METRICS, "number_of_unique_elements"], _FEATURES)
     return rounded(found.withColumn("number_of_unique_elements", F.col("number_of_unique_elements").cast("long")))
 
 
 @query("spearman", _CELLS + f" SELECT cycle_id, feature, {r(_METRICS['correlation'])} AS correlation FROM s GROUP BY 1, 2")
 def spearman(spark, sf):
-    return rounded(analysis.analyze(_profiled(spark, sf), ["correlation"], _FEATURES))
+    return rounded(analysis.analyze(cycles(spark, sf), ["correlation"], _FEATURES))
 
 
 @query("monotonicity", _CELLS + f""" SELECT feature, {r('avg(m)')} AS monotonicity_mean, {r('stddev_pop(m)')} AS monotonicity_std, {r('max(m)')} AS monotonicity_max, {r('min(m)')} AS monotonicity_min
 FROM (SELECT cycle_id, feature, {_METRICS['monotonicity']} AS m FROM s GROUP BY 1, 2) GROUP BY 1""")
 def monotonicity(spark, sf):
-    return rounded(analysis.analyze_as_dataframe(_profiled(spark, sf), ["monotonicity"], _FEATURES))
+    return rounded(analysis.analyze_as_dataframe(cycles(spark, sf), ["monotonicity"], _FEATURES))
 
 
 @query("entropy_and_information")
 def entropy_and_information(spark, sf):
-    return rounded(analysis.analyze(_profiled(spark, sf), ["entropy", "mutual_information"], ["value"]))
+    return rounded(analysis.analyze(cycles(spark, sf), ["entropy", "mutual_information"], ["value"]))
 
 
 _PAIRS = (("RUL", "k"), ("RUL", "value"), ("k", "value"))
@@ -134,23 +126,22 @@ def _pair(a: str, b: str) -> str:
 
 @query(
     "correlation_analysis",
-    _LONG + ", q AS (" + " UNION ALL ".join(f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, {_pair(a, b)} AS c FROM p GROUP BY cycle_id" for a, b in _PAIRS) + f""")
+    BASE + ", q AS (" + " UNION ALL ".join(f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, {_pair(a, b)} AS c FROM d GROUP BY cycle_id" for a, b in _PAIRS) + f""")
 SELECT feature_1, feature_2, {r('avg(c)')} AS mean_correlation, {r('stddev_samp(c)')} AS std_correlation, {r('max(c)')} AS max_correlation, {r('min(c)')} AS min_correlation,
 {r('avg(abs(c))')} AS abs_mean_correlation, {r('stddev_samp(abs(c))')} AS std_abs_mean_correlation FROM q GROUP BY 1, 2""",
 )
 def correlation_analysis(spark, sf):
-    return rounded(analysis.correlation_analysis(_profiled(spark, sf), ["k", "value", "RUL"]))
+    return rounded(analysis.correlation_analysis(cycles(spark, sf), ["k", "value", "RUL"]))
 
 
-def _few(spark, sf) -> CycleSet:
-    own = cycles(spark, sf)
-    long = own.sizes().filter("n >= 20").select("cycle_id")
-    return own._with(own.df.join(long, "cycle_id", "left_semi"))
+def _units(spark, sf) -> CycleSet:
+    """Whole units as cycles: every row of the table, and pairs of units in the result."""
+    return CycleSet(raw_events(spark, sf), "user_id", ["ts", "event_id"], "k", ["value", "k"])
 
 
 @query(
     "divergences",
-    BASE + f""", p AS (SELECT * FROM (SELECT *, count(*) OVER whole AS n FROM d {WINDOWS}) WHERE n >= 20),
+    f"""WITH p AS (SELECT user_id AS cycle_id, value, count(*) OVER (PARTITION BY user_id) AS n FROM events),
 g AS (SELECT min(value) AS a, max(value) AS b FROM p),
 h AS (SELECT cycle_id, least(floor((value - a) / (b - a) * 5), 4) AS bin, n FROM p, g),
 f AS (SELECT c.cycle_id, c.n, i.bin, count(h.bin) * 1e0 / c.n + 1e-50 AS v FROM (SELECT DISTINCT cycle_id, n FROM p) c CROSS JOIN (SELECT unnest(range(5)) AS bin) i LEFT JOIN h ON h.cycle_id = c.cycle_id AND h.bin = i.bin GROUP BY 1, 2, 3),
@@ -160,7 +151,7 @@ w AS (SELECT x.cycle_id AS cycle_1, y.cycle_id AS cycle_2, avg(abs(x.v - y.v)) A
 SELECT 'value' AS feature, cycle_1, cycle_2, CAST(n1 AS BIGINT) AS cycle_1_length, CAST(n2 AS BIGINT) AS cycle_2_length, CAST(abs(n1 - n2) AS BIGINT) AS abs_length_difference, {r('wd')} AS wasserstein, {r('kl')} AS kl FROM k JOIN w USING (cycle_1, cycle_2)""",
 )
 def divergences(spark, sf):
-    return rounded(analysis.features_divergences(_few(spark, sf), 5, ["value"]))
+    return rounded(analysis.features_divergences(_units(spark, sf), 5, ["value"]))
 
 
 @query(

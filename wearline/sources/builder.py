@@ -197,7 +197,7 @@ class LocalStorageOutputMode(OutputMode):
             self._feather(cycles, where)
         else:
             # All rows of a cycle meet in one task, and so in one file.
-            dealt = cycles.df.repartition(cycle).sortWithinPartitions(cycle, "pos")
+            dealt = cycles.df.select(cycle, "pos", *cycles.features).repartition(cycle).sortWithinPartitions(cycle, "pos")
             writer = dealt.write.mode("overwrite").partitionBy(cycle)
             writer.option("header", "true").csv(where) if self.format == DatasetFormat.CSV else writer.parquet(where)
         metadata.withColumns({"format": F.lit(self.format), "cycle_column": F.lit(cycle)}).write.mode("overwrite").parquet(f"{self.path}/metadata")
@@ -210,11 +210,12 @@ class LocalStorageOutputMode(OutputMode):
         ship(cycles.df.sparkSession)
         os.makedirs(where, exist_ok=True)
         cycle = cycles.cycle
+        names = [cycle, "pos", *cycles.features]
 
         def write(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
             path = f"{where}/cycle_{key[0]}.feather"
             # A task that runs twice writes the same file; readers see it whole or not at all.
-            part.sort_values("pos").reset_index(drop=True).to_feather(f"{path}.part")
+            part[names].sort_values("pos").reset_index(drop=True).to_feather(f"{path}.part")
             os.replace(f"{path}.part", path)
             return pd.DataFrame({"path": [path]})
 
@@ -293,8 +294,9 @@ class DatasetBuilder:
         df = df.withColumn("pos", F.row_number().over(within.orderBy(ORDER)).cast("long") - 1)
         rul = (self.rul or NumberOfRowsRULColumn()).column(within, F.col("pos"))
         df = df.withColumn("RUL", rul).withColumn("cycle_id", F.concat_ws("_", F.lit("Cycle"), F.rtrim(F.col(UNIT), F.lit(":")), F.col(CYCLE) + 1))
-        df = df.drop(UNIT, ORDER, CYCLE)
-        return CycleSet(df, "cycle_id", "pos", "RUL", [c for c in df.columns if c not in ("cycle_id", "pos")], positions=False)
+        # The unit stays beside the features: the rows are partitioned by it.
+        df = df.drop(ORDER, CYCLE)
+        return CycleSet(df, "cycle_id", "pos", "RUL", [c for c in df.columns if c not in ("cycle_id", "pos", UNIT)], positions=False, unit=UNIT)
 
     def build_from_df(self, data: DataFrame | Sequence[DataFrame]) -> CycleSet:
         self._validate()
