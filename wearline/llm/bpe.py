@@ -31,14 +31,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import extended, prepare, table, texts
+from .common import extended, held, prepare, table, texts
 from .spans import SpanHash, code_points, offsets_of, ragged
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 #: Entries of the transition tables and of the memo of whole pieces, per worker.
-MAX_TRANSITIONS = 1_000_000
-MAX_PIECES = 1_000_000
+MAX_TRANSITIONS = 500_000
+MAX_PIECES = 400_000
 #: Code points that are cut into pieces together.
 CHUNK_CHARS = 2_000_000
 
@@ -440,23 +440,22 @@ class Codec:
         return all(self.decoder.complete(tokens[r].tolist()) for r in runs)
 
 
-@functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    return held(f"bpe:{path}:{pattern}", lambda: Codec(path, pattern))
 
 
 def chunks(batch: list[str], limit: int = CHUNK_CHARS) -> Iterator[list[str]]:
     """Consecutive texts of up to ``limit`` characters together; a longer one stands alone, whole."""
-    held: list[str] = []
+    some: list[str] = []
     size = 0
     for text in batch:
-        if held and size + len(text) > limit:
-            yield held
-            held, size = [], 0
-        held.append(text)
+        if some and size + len(text) > limit:
+            yield some
+            some, size = [], 0
+        some.append(text)
         size += len(text)
-    if held:
-        yield held
+    if some:
+        yield some
 
 
 def tokenize(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text") -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql.types import StructType
 
 from wearline.shipping import checkpoint_dir, ship
 
+Held = TypeVar("Held")
+
 #: Rows in an Arrow batch at most: 512 texts of 0.1 MB are 50 MB in a worker.
 BATCH_ROWS = 512
 
@@ -37,6 +40,20 @@ def extended(docs: DataFrame, ddl: str) -> StructType:
     return StructType([*docs.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], Held]) -> Held:
+    """What a worker keeps from task to task: the state of the operator it ran last, and no other.
+
+    Workers live as long as the application; tables and memos of all operators would add up in them.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def raw_bytes(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow string column as UTF-8 bytes; null as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

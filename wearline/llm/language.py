@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import chunks
-from .common import extended, gathered, id_crc, prepare, table, texts
+from .common import extended, gathered, held, id_crc, prepare, table, texts
 from .spans import SpanHash, code_points, offsets_of
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -43,9 +43,9 @@ MAX_WORD = 48
 MAX_PIECE = 8
 ROUNDS = 3
 #: Words whose log probabilities a task remembers.
-MAX_MEMO = 600_000
-BATCH_BYTES = 8 << 20
-BATCH_CHARS = 8_000_000
+MAX_MEMO = 400_000
+BATCH_BYTES = 2 << 20
+BATCH_CHARS = 2_000_000
 _MARK = 0x2581
 _SLOTS = 1_000_000
 _TABLE_BITS = 20
@@ -74,10 +74,10 @@ class Vocabulary:
         self.tables, rest = [], np.arange(len(pieces))
         for shift in (64 - _TABLE_BITS, 64 - 2 * _TABLE_BITS, 4):
             slots = self._slots(self.keys[rest], shift)
-            held = np.full(1 << _TABLE_BITS, -1, dtype=np.int32)
-            held[slots[::-1]] = rest[::-1]
-            self.tables.append((shift, held))
-            rest = rest[held[slots] != rest]
+            places = np.full(1 << _TABLE_BITS, -1, dtype=np.int32)
+            places[slots[::-1]] = rest[::-1]
+            self.tables.append((shift, places))
+            rest = rest[places[slots] != rest]
         if len(rest):
             raise ValueError("pieces share all their hash bits")
         # An empty place is -1 and so leads to the last key, which is no span's but for a chance of 2**-64.
@@ -89,13 +89,13 @@ class Vocabulary:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of the piece with each hash, ``none`` where there is none."""
-        (shift, held), *others = self.tables
-        found = held[self._slots(keys, shift)]
+        (shift, places), *others = self.tables
+        found = places[self._slots(keys, shift)]
         out = np.where(self.keys[found] == keys, found, self.none)
         # Only a place that another piece holds may hide one.
         hidden = np.flatnonzero((found >= 0) & (out == self.none))
-        for shift, held in others:
-            found = held[self._slots(keys[hidden], shift)]
+        for shift, places in others:
+            found = places[self._slots(keys[hidden], shift)]
             right = (found >= 0) & (self.keys[found] == keys[hidden])
             out[hidden[right]] = found[right]
         return out
@@ -291,16 +291,9 @@ class Scorer:
         return self.values[at]
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _scorer(model: Model, path: str) -> Scorer:
     """A worker keeps the scorer of the last model from task to task."""
-    key = f"{path}:{hash(model.languages)}:{hash(model.probability.tobytes())}"
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model, vocabulary(path))
-    return _SCORERS[key]
+    return held(f"language:{path}:{hash(model.languages)}:{hash(model.probability.tobytes())}", lambda: Scorer(model, vocabulary(path)))
 
 
 def predict(scorer: Scorer, batch: list[str]) -> tuple[list[str], list[float]]:

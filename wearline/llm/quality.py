@@ -18,7 +18,6 @@ a null doc_id is scored and never held out; empty tables give no row.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, prepare, raw_bytes, table
+from .common import held, id_crc, prepare, raw_bytes, table
 
 #: Labelled texts of either label that are used to fit, about.
 MAX_ROWS = 800
@@ -152,9 +151,8 @@ def scores_of(model: Model, documents: list[bytes], sizer: Sizer | None = None)
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-@functools.lru_cache(maxsize=2)
 def _sizer(good: bytes, bad: bytes) -> Sizer:
-    return Sizer(good, bad)
+    return held(f"quality:{hash(good)}:{hash(bad)}", lambda: Sizer(good, bad))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", cut_at: float = CUT) -> DataFrame:
