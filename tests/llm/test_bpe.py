@@ -65,6 +65,13 @@ def test_full_tables_change_nothing(library, own):
     assert [small.encode(w) for w in words] == [own.transducer.encode(w) for w in words]
 
 
+@settings(max_examples=200, deadline=None)
+@given(text=st.text(alphabet=st.sampled_from(list("ab é'\n1.  ")), max_size=120), limit=st.integers(1, 30))
+def test_parts_of_a_long_text_have_its_tokens(own, text, limit):
+    tokens, at = own.encode([text], limit)
+    assert tokens.tolist() == own.encode([text])[0].tolist() and at.tolist() == [0, len(tokens)]
+
+
 def test_other_patterns_go_through_the_engine(own):
     other = bpe.Codec(PATH, r"\w+|\W+")
     assert split(other, ["ab cd"])[0] == [t for p in ("ab", " ", "cd") for t in own.transducer.encode(p.encode())]

@@ -69,6 +69,14 @@ def test_very_long_words_do_not_underflow(known):
     assert names == ["a", "b", "und", "b"] and all(0 <= s <= 1 for s in scores)
 
 
+def test_parts_of_a_long_text_add_up(known):
+    scorer = language.Scorer(language.fit_texts({"a": ["the cat sat"], "b": ["der hund"]}, known), known)
+    text = "the hund, der cat! 12 éa sat " * 20
+    whole, some = language.log_likelihoods(scorer, [text])
+    parts, _ = language.log_likelihoods(scorer, [text], limit=7)
+    assert np.allclose(whole, parts) and some.all()
+
+
 def test_memory_of_words_changes_nothing(known):
     model = language.fit_texts({"a": ["the cat sat"], "b": ["der hund"]}, known)
     batches = [["the cat", "hund der"], ["sat hund", "katze"], ["the the", "mat"]]

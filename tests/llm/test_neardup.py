@@ -131,3 +131,12 @@ def test_components_of_a_chain(spark):
     rows = [(i, i + 1) for i in range(60)] + [(100, 101), (None, 5)]
     found = dict(map(tuple, graph.components(spark.createDataFrame(rows, "a long, b long")).collect()))
     assert {found[i] for i in range(61)} == {0} and found[101] == 100 and len(found) == 63
+
+
+def test_parts_of_a_long_text_have_its_shingles():
+    random.seed(4)
+    for _ in range(300):
+        text = "".join(random.choice([" ", "\t\n", "a", "b", "Cc", "é", "dd "]) for _ in range(random.randint(0, 80))).encode()
+        words = random.randint(1, 4)
+        whole = neardup.shingle_sets([text], words)[0]
+        assert np.array_equal(whole, neardup.shingle_sets([text], words, limit=random.randint(1, 20))[0])

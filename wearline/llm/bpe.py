@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import extended, held, prepare, table, texts
-from .spans import SpanHash, code_points, offsets_of, ragged
+from .spans import SpanHash, code_points, cut_text, offsets_of, ragged
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -319,6 +319,11 @@ class Utf8Decoder:
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
+#: Where a text may be cut before it is split: a word's end before one space and a letter is a border of pieces.
+_BORDER = regex.compile(r"\p{L}(?= \p{L})")
+#: Tokens that are decoded together.
+CHUNK_TOKENS = 1 << 20
+
 
 @functools.lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
@@ -400,8 +405,17 @@ class Codec:
             return pieces_of(points, docs)
         return np.array([m.start() for d, e in zip(docs, ends, strict=True) for m in self.split(text, int(d), int(e))], dtype=np.int64)
 
-    def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of all texts, one after the other, and where each text's begin (one more at the end)."""
+    def encode(self, batch: list[str], limit: int = CHUNK_CHARS) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts, one after the other, and where each text's begin (one more at the end).
+
+        A text beyond the limit goes through in parts, whose tokens are the whole text's.
+        """
+        if self.split is None and len(batch) == 1 and len(batch[0]) > limit:
+            tokens = np.concatenate([self._encode([part])[0] for part in cut_text(batch[0], _BORDER, limit)])
+            return tokens, np.array([0, len(tokens)])
+        return self._encode(batch)
+
+    def _encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         text = "".join(batch)
         at = offsets_of([len(t) for t in batch])
         if not text:
@@ -429,7 +443,8 @@ class Codec:
         return tokens, upto[np.searchsorted(starts, at)]
 
     def decode(self, tokens: np.ndarray) -> bytes:
-        return self.token_bytes[ragged(self.token_offsets[tokens], self.token_lengths[tokens])].tobytes()
+        parts = (tokens[i : i + CHUNK_TOKENS] for i in range(0, len(tokens), CHUNK_TOKENS))
+        return b"".join(self.token_bytes[ragged(self.token_offsets[p], self.token_lengths[p])].tobytes() for p in parts)
 
     def whole_characters(self, tokens: np.ndarray) -> bool:
         """Whether the tokens decode to UTF-8: only runs of tokens that are not whole characters go through the machine."""

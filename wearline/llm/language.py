@@ -20,6 +20,7 @@ repeated results; empty tables give no row; other columns stay.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .bpe import chunks
 from .common import extended, gathered, held, id_crc, prepare, table, texts
-from .spans import SpanHash, code_points, offsets_of
+from .spans import SpanHash, code_points, cut_text, offsets_of
 
 VOCABULARY = "piece_bpe_32k.model"
 UNDETERMINED = "und"
@@ -296,19 +297,36 @@ def _scorer(model: Model, path: str) -> Scorer:
     return held(f"language:{path}:{hash(model.languages)}:{hash(model.probability.tobytes())}", lambda: Scorer(model, vocabulary(path)))
 
 
-def predict(scorer: Scorer, batch: list[str]) -> tuple[list[str], list[float]]:
+#: Where a long text may be cut: after a character that is no letter.
+_BORDER = re.compile(r"[\W\d_]")
+
+
+def log_likelihoods(scorer: Scorer, batch: list[str], limit: int = BATCH_CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """For each text, its log probability under each language, and whether it has a word.
+
+    A text beyond the limit goes through in parts, whose logarithms add up.
+    """
+    k = len(scorer.model.languages)
+    if len(batch) == 1 and len(batch[0]) > limit and len(parts := cut_text(batch[0], _BORDER, limit)) > 1:
+        each = [log_likelihoods(scorer, [p], len(p)) for p in parts]
+        return sum(t for t, _ in each), np.any([s for _, s in each], axis=0)
     words = words_of(batch)
-    n, names = len(batch), scorer.model.languages
-    if not len(words.lengths) or not names:
-        return [UNDETERMINED] * n, [0.0] * n
+    if not len(words.lengths) or not k:
+        return np.zeros((len(batch), k)), np.zeros(len(batch), dtype=bool)
     each = scorer(words)
-    sums = np.zeros((len(words.inverse) + 1, each.shape[1]))
+    sums = np.zeros((len(words.inverse) + 1, k))
     np.cumsum(each[words.inverse], axis=0, out=sums[1:])
-    totals = sums[words.docs[1:]] - sums[words.docs[:-1]]
+    return sums[words.docs[1:]] - sums[words.docs[:-1]], np.diff(words.docs) > 0
+
+
+def predict(scorer: Scorer, batch: list[str], limit: int = BATCH_CHARS) -> tuple[list[str], list[float]]:
+    """The likeliest language of each text, and its posterior under equal priors."""
+    names = scorer.model.languages
+    totals, some = log_likelihoods(scorer, batch, limit)
+    if not names:
+        return [UNDETERMINED] * len(batch), [0.0] * len(batch)
     best = totals.argmax(axis=1)
-    weight = np.exp(totals - totals.max(axis=1, keepdims=True))
-    score = 1.0 / weight.sum(axis=1)
-    some = np.diff(words.docs) > 0
+    score = 1.0 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1)
     return [names[b] if s else UNDETERMINED for b, s in zip(best, some, strict=True)], np.where(some, score, 0.0).tolist()
 
 

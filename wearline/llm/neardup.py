@@ -25,6 +25,7 @@ tables give no row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -50,6 +51,8 @@ BLOCK_SHINGLES = 3_000_000
 #: Central nodes of a block.
 PIVOTS = 16
 CHUNK_BYTES = 1 << 20
+#: A text beyond so many bytes is hashed in parts.
+LONG_BYTES = 4 << 20
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _WHITE = np.zeros(256, dtype=bool)
@@ -71,10 +74,15 @@ class Rule(NamedTuple):
         return max(fits, default=1)
 
 
-def shingle_sets(batch: list[bytes], words: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+_BORDER = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def shingle_sets(batch: list[bytes], words: int, limit: int = LONG_BYTES) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; a text beyond the limit goes through in overlapping parts."""
     if not batch:
         return []
+    if len(batch) == 1 and len(batch[0]) > limit and len(parts := _overlapping(batch[0], words, limit)) > 1:
+        return [np.unique(np.concatenate([shingle_sets([p], words, len(p))[0] for p in parts]))]
     text = np.frombuffer(b"".join(batch).translate(_LOWER), dtype=np.uint8)
     at = offsets_of([len(t) for t in batch])
     dark = ~_WHITE[text]
@@ -97,6 +105,23 @@ def shingle_sets(batch: list[bytes], words: int) -> list[np.ndarray]:
     return [np.unique(shingles[a:b]) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
 
+def _overlapping(text: bytes, words: int, limit: int) -> list[bytes]:
+    """Parts that begin after white space, each going on for the ``words - 1`` words after its end.
+
+    So every shingle is in the part in which it begins; a part of fewer words has none that begins there.
+    """
+    ahead = re.compile(rb"[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){0,%d}" % (words - 1))
+    parts, at = [], 0
+    while at < len(text):
+        found = _BORDER.search(text, at + limit) if len(text) - at > limit else None
+        stop = found.end() if found else len(text)
+        part = text[at : ahead.match(text, stop).end()]
+        if len(part.split()) >= words:
+            parts.append(part)
+        at = stop
+    return parts or [text]
+
+
 def node_of(shingles: np.ndarray) -> bytes | None:
     """The name of a set: two sums of differently mixed hashes; null for the empty set."""
     if not len(shingles):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 
 import numpy as np
 
@@ -72,3 +73,18 @@ def offsets_of(lengths: list[int]) -> np.ndarray:
     out = np.zeros(len(lengths) + 1, dtype=np.int64)
     np.cumsum(lengths, out=out[1:])
     return out
+
+
+def cut_text(text: str, border: re.Pattern, limit: int) -> list[str]:
+    """Consecutive parts of a text that end at a border each, of ``limit`` characters or a little more.
+
+    A text without a border stays whole from there on.
+    """
+    parts, at = [], 0
+    while len(text) - at > limit:
+        found = border.search(text, at + limit)
+        if found is None:
+            break
+        parts.append(text[at : found.end()])
+        at = found.end()
+    return [*parts, text[at:]]
