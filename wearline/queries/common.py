@@ -71,7 +71,9 @@ def r(expression: str, digits: int = 6) -> str:
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    # The table's times have no zone: they are read as UTC, whatever the session's zone is.
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.timestamp_micros(micros))
     return events.select("event_id", "user_id", "ts", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 

@@ -59,13 +59,21 @@ def with_time(lives: DataFrame, rul_threshold: float | None = None) -> DataFrame
     step = F.when(F.col("pos") > F.col("start"), F.lag("y_true").over(order) - y)
     lives = lives.withColumn("_step", step)
     lives = lives.withColumn("_median", F.when(F.col("start") > 0, F.coalesce(F.percentile("_step", F.lit(0.5)).over(whole), F.lit(1.0))).otherwise(F.lit(0.0)))
-    # The k-th step from the start is the k-th decrement from the end, so their sum is read at the mirrored row.
-    mirror = lives.select(*LIFE, (F.col("n") - 1 + F.col("start") - F.col("pos")).alias("pos"), y.alias("_mirror"))
-    last = F.last("y_true").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    lives = lives.withColumn("_last", last).join(mirror, [*LIFE, "pos"], "left")
-    before = F.when(F.col("start") > 0, F.col("_median") * (F.least("pos", "start") + 1)).otherwise(F.lit(0.0))
-    time = before + F.when(F.col("pos") > F.col("start"), F.col("_mirror") - F.col("_last")).otherwise(F.lit(0.0))
-    return lives.withColumn("time", time).drop("_step", "_median", "_mirror", "_last")
+    # The k-th step from the start is the k-th decrement from the end, so their sum is read at the
+    # mirrored row: a life is gathered as one array (its rows are in one partition already), no join.
+    others = [c for c in lives.columns if c not in (*LIFE, "pos")]
+    gathered = lives.groupBy(*LIFE).agg(F.array_sort(F.collect_list(F.struct("pos", *others))).alias("_rows"))
+
+    def timed(row: Column) -> Column:
+        late = row["pos"] > row["start"]
+        mirror = F.get("_rows", (row["n"] - 1 + row["start"] - row["pos"]).cast("int"))["y_true"]
+        last = F.get("_rows", (row["n"] - 1).cast("int"))["y_true"]
+        before = F.when(row["start"] > 0, row["_median"] * (F.least(row["pos"], row["start"]) + 1)).otherwise(F.lit(0.0))
+        time = before + F.when(late, mirror - last).otherwise(F.lit(0.0))
+        kept = [c for c in others if c not in ("_step", "_median")]
+        return F.struct(row["pos"].alias("pos"), *(row[c].alias(c) for c in kept), time.alias("time"))
+
+    return gathered.select(*LIFE, F.inline(F.transform("_rows", timed)))
 
 
 def fitted_lives(timed: DataFrame) -> DataFrame:
