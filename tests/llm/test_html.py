@@ -20,7 +20,7 @@ BODY = "<h1>Title &amp; more</h1><p><b>Unclosed bold.<br>Next&nbsp;line<p>Short.
 TEXT = "Title & more\nUnclosed bold. Next line\nShort.\nA longer paragraph with a link <b> in it.\nOne\nTwo"
 
 
-@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main><article>{}</article></main>", "<main>{}</main>", "<div role='main'>{}</div>"])
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main><article>{}</article></main>", "<main>{}</main>", "<div role='main'>{}</div>", "<div class=\"widget\"><article>{}</article></div>"])
 def test_article_without_its_surroundings(wrap):
     assert html.main_text(PAGE.replace("{main}", wrap.format(BODY))) == TEXT
 
@@ -40,6 +40,13 @@ def test_odd_input():
     assert html.main_text("</div></p><article><p>x</article></article></b><p>after") == "x"
 
 
+def test_classes_of_the_page_hide_nothing():
+    for wrap in ("<div class='page has-sidebar'>{}</div>", "<div id='widget-area'><article>{}</article></div>", "<div class='no-comments'><main class='menu'>{}</main></div>"):
+        assert html.main_text(f"<body class='no-comments with-sidebar'>{wrap.replace('{}', BODY)}</body>") == TEXT
+    inside = BODY + "<div class='related teaser'><p>Read this too, it is long enough to be text.</p></div><div id='disqus_thread'><article><p>A reader's article.</p></article></div>"
+    assert html.main_text(f"<article>{inside}</article><div class='comment-list'><article><p>More of readers.</p></article></div>") == TEXT
+
+
 def test_surge_and_dive():
     assert html.regions([0, 5, 50, 60, 0, 2, 0, 0, 0, 9, 0, 0, 0], 80) == [(1, 6)]
     assert html.regions([1, 0, 0, 0, 1], 1) == [(0, 1), (4, 5)]

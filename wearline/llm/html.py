@@ -54,8 +54,14 @@ LOOSE = frozenset("p li dt dd tr td th option".split())
 CLASSES = frozenset(
     "ad ads advert advertisement adverts banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert sidebar menu nav navbar"
     " navigation breadcrumb breadcrumbs comment comments commentlist disqus replies respond share sharing social related newsletter subscribe signup popup"
-    " modal footer masthead toolbar pagination pager login search widget widgets".split()
+    " modal footer masthead toolbar pagination pager login search widget widgets advertising adsbygoogle teaser teasers recommended".split()
 )
+#: Of these, the ones around which nothing is main text, not even an article.
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+#: Words that turn a class name into a description of the page: "has-sidebar", "no-comments".
+_OF_PAGE = frozenset("has with without no not layout".split())
+#: Elements that are never judged by their class.
+_PAGE = frozenset("html body main".split())
 #: Such words that count only where they are the whole class or id, or name the site's or the page's part.
 HEADERS = frozenset("header site-header page-header top-bar topbar".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -75,20 +81,32 @@ class Line(NamedTuple):
     linked: int
 
 
-def _side_part(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element and all it holds is no main text."""
-    if tag in ASIDE or tag == "header" and not inside:
-        return True
-    if not attributes:
-        return False
+NOT, SOFT, HARD = 0, 1, 2
+
+
+def _side_part(tag: str, attributes: str, inside: bool) -> int:
+    """Whether an element and all it holds is no main text: by its class only (an article in it is text again), or for certain."""
+    if tag in ASIDE:
+        return HARD
+    if tag == "header" and not inside:
+        return SOFT
+    if not attributes or tag in _PAGE:
+        return NOT
+    found = NOT
     for name, value in _NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "role" and value in ROLES:
-            return True
+            return HARD
         if name in ("class", "id"):
-            if not CLASSES.isdisjoint(_WORDS.findall(value)) or not inside and not HEADERS.isdisjoint(value.split()):
-                return True
-    return False
+            for own in value.split():
+                words = set(_WORDS.findall(own))
+                if not _OF_PAGE.isdisjoint(words):
+                    continue
+                if not COMMENTS.isdisjoint(words):
+                    return HARD
+                if tag != "article" and (not CLASSES.isdisjoint(words) or not inside and own in HEADERS):
+                    found = SOFT
+    return found
 
 
 def lines_of(page: str) -> list[Line]:
@@ -96,18 +114,34 @@ def lines_of(page: str) -> list[Line]:
     out: list[Line] = []
     text: list[str] = []
     linked = 0
-    #: Open elements: tag, no main text, an article.
-    stack: list[tuple[str, bool, bool]] = []
-    sides = articles = links = 0
+    #: Open elements: tag, what kind of side part, an article, and the soft side parts around it that it ends.
+    stack: list[tuple[str, int, bool, int]] = []
+    soft = hard = articles = links = 0
     at, end = 0, len(page)
 
     def close_line() -> None:
         nonlocal linked
         joined = " ".join(references.unescape("".join(text)).split()) if text else ""
-        out.append(Line(joined, sides > 0, articles > 0, linked))
+        out.append(Line(joined, soft + hard > 0, articles > 0, linked))
         text.clear()
         linked = 0
 
+    def push(tag: str, side: int, article: bool) -> None:
+        nonlocal soft, hard, articles
+        ended = soft if article else 0
+        soft += (side == SOFT) - ended
+        hard += side == HARD
+        articles += article
+        stack.append((tag, side, article, ended))
+
+    def pop_to(depth: int) -> None:
+        nonlocal soft, hard, articles
+        while len(stack) > depth:
+            _, side, article, ended = stack.pop()
+            soft += ended - (side == SOFT)
+            hard -= side == HARD
+            articles -= article
+
     while at < end:
         found = _TOKEN.search(page, at)
         if found is None:
@@ -138,14 +172,12 @@ def lines_of(page: str) -> list[Line]:
                 continue
             # Inline elements are followed only where their class says that they are no main text.
             if not found[1]:
-                if found[3] and _side_part(tag, found[3], articles > 0):
+                if found[3] and (side := _side_part(tag, found[3], articles > 0)):
                     close_line()
-                    stack.append((tag, True, False))
-                    sides += 1
+                    push(tag, side, False)
             elif stack and stack[-1][0] == tag:
                 close_line()
-                stack.pop()
-                sides -= 1
+                pop_to(len(stack) - 1)
             continue
         close_line()
         if tag in VOID:
@@ -154,19 +186,13 @@ def lines_of(page: str) -> list[Line]:
             side = _side_part(tag, found[3], articles > 0)
             if tag in LOOSE and not side:
                 continue
-            article = tag in ("article", "main") or 'role="main"' in found[3]
-            stack.append((tag, side, article))
-            sides += side
-            articles += article
+            push(tag, side, not side and (tag in ("article", "main") or 'role="main"' in found[3] or "role='main'" in found[3]))
         else:
             depth = len(stack) - 1
             while depth >= 0 and stack[depth][0] != tag:
                 depth -= 1
             if depth >= 0:
-                for _, side, article in stack[depth:]:
-                    sides -= side
-                    articles -= article
-                del stack[depth:]
+                pop_to(depth)
     close_line()
     return out
 
