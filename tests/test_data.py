@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from wearline import analysis, models, results, streaming
 from wearline import operators as op
 from wearline.frame import CycleSet, from_cycles
+from wearline.functions.sketches import QuantileEstimator
 from wearline.plans import samples
+from wearline.plans.graph import Transformer, load_transformed, make_pipeline
 from wearline.sources import (
     CycleRULColumn,
     DatasetBuilder,
@@ -250,6 +252,27 @@ def test_stream_of_extremes(spark, tmp_path):
     assert found["x_min"] == 1 and found["x_max"] == 5 and found["x_mean"] == 3 and abs(found["x_std"] - np.std([1, 5, 2, 4], ddof=1)) < 1e-12
 
 
+def test_quantile_sketches_merge(spark):
+    x = np.random.RandomState(0).standard_normal(15_000) * 10
+    parts = [spark.createDataFrame(pd.DataFrame({"x": x[i::3]})) for i in range(3)]
+    own = QuantileEstimator(2000)
+    merged = own.merge(*(own.sketch(p, ["x"]) for p in parts))
+    for q in (0.1, 0.5, 0.9):
+        assert abs(own.quantile(merged, q)["x"] - np.quantile(x, q)) < 0.3
+
+
+def test_transformed_rows_are_stored(spark, tmp_path):
+    own = ramp(spark, 4, 3)
+    make = lambda: Transformer(make_pipeline(op.ByNameFeatureSelector(["a"]), op.MinMaxScaler((0, 1))), op.ByNameFeatureSelector(["RUL"]))
+    fitted = make()
+    done = fitted.fit_map(own)
+    done.save(str(tmp_path / "t"), fitted)
+    again, params = load_transformed(spark, str(tmp_path / "t"))
+    key = lambda d: sorted(map(tuple, d.df().select("cycle_id", "pos", "a", "RUL").collect()))
+    assert key(again) == key(done) == key(make().set_params(params).transform(own))
+    assert done.of_cycle(1).count() == 3 and done.preload().count() == 7
+
+
 def test_nothing_but_the_driver_entry_imports_the_corpus_part():
     root = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "wearline")
     for folder, _, names in os.walk(root):

@@ -427,6 +427,7 @@ class PiecewiseLinearFunction:
 class PiecewiseLinearRegression:
     """Online segmentation: a segment grows while its residual stays near those it had; the next begins at its end."""
 
+    # Fixed values of the method: points before a segment may end, and spreads above the mean residual that end it.
     LEAST = 15
     SPREADS = 1.5
 

@@ -13,9 +13,10 @@ import json
 from collections.abc import Iterator, Sequence
 from graphlib import TopologicalSorter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wearline.frame import CycleSet, Frame
+from wearline.frame import CycleSet, Frame, Rows
 
 
 class Step:
@@ -186,6 +187,33 @@ class Transformed:
         return Frame(self.x.rows, held).df
 
 
+    def of_cycle(self, cycle: object) -> DataFrame:
+        """One cycle's rows, in order."""
+        return self.df().filter(F.col(self.x.cycle).eqNullSafe(F.lit(cycle))).orderBy(self.x.pos)
+
+    def preload(self) -> DataFrame:
+        """The rows, computed once and cached."""
+        df = self.df().persist()
+        df.count()
+        return df
+
+    def save(self, path: str, transformer: Transformer | None = None) -> None:
+        """Rows in folders by cycle, and the fitted parameters as JSON beside them."""
+        df = self.df()
+        df.repartition(self.x.cycle).sortWithinPartitions(self.x.cycle, self.x.pos).write.mode("overwrite").partitionBy(self.x.cycle).parquet(f"{path}/rows")
+        held = {"x": self.x.columns, "y": self.y.columns if self.y else [], "cycle": self.x.cycle, "pos": self.x.pos}
+        held["params"] = transformer.get_params() if transformer else {}
+        df.sparkSession.createDataFrame([(json.dumps(held),)], "held string").coalesce(1).write.mode("overwrite").text(f"{path}/params")
+
+
+def load_transformed(spark: SparkSession, path: str) -> tuple[Transformed, dict]:
+    """What :meth:`Transformed.save` has stored: frames of X and y over the same rows, and the parameters."""
+    held = json.loads(spark.read.text(f"{path}/params").first()[0])
+    rows = Rows(spark.read.parquet(f"{path}/rows"), held["cycle"], held["pos"])
+    frames = [Frame(rows, {n: n for n in held[k]}) for k in ("x", "y")]
+    return Transformed(frames[0], frames[1] if held["y"] else None, None), held["params"]
+
+
 class Transformer:
     """A pipeline for X, one for y and one for metadata."""
 
@@ -209,6 +237,15 @@ class Transformer:
     def fit_map(self, data: CycleSet | Frame) -> Transformed:
         return self._all(data, "fit_transform")
 
+    def get_params(self) -> dict:
+        return {k: p.get_params() for k, p in (("x", self.x), ("y", self.y), ("metadata", self.m)) if p}
+
+    def set_params(self, params: dict) -> Transformer:
+        for k, p in (("x", self.x), ("y", self.y), ("metadata", self.m)):
+            if p:
+                p.set_params(params[k])
+        return self
+
     @property
     def n_features(self) -> int:
         if self.columns is None:
