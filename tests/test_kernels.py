@@ -5,7 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from wearline.functions import kernels
+from wearline.functions.quantiles import Quantile, exact
 
 
 def test_murmur3_reference_values():
@@ -82,6 +85,22 @@ def test_piecewise_lines():
     assert abs(found.zero() - 50) < 2 and abs(found.predict(20) - 30) < 1
 
 
+@pytest.mark.parametrize("kind", ["normal", "ties", "one", "skewed"])
+def test_exact_quantiles_beyond_memory(spark, kind):
+    random = np.random.RandomState(0)
+    x = {"normal": random.standard_normal(20_000), "ties": random.randint(0, 4, 20_000).astype(float), "one": np.ones(20_000), "skewed": np.exp(3 * random.standard_normal(20_000))}[kind]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double").repartition(4)
+    wanted = {str(q): Quantile(F.col("v"), q) for q in (0.0, 0.25, 0.5, 0.613, 0.999, 1.0)}
+    for most in (50, 100_000):
+        for name, found in exact(df, wanted, most).items():
+            assert np.isclose(found, np.quantile(x, float(name)), rtol=1e-12, atol=1e-12), (kind, name, most)
+
+
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([], "v double")
+    assert exact(df, {"a": Quantile(F.col("v"), 0.5)}) == {"a": None} and exact(df, {}) == {}
+
+
 def test_rocket_is_repeatable():
     rows = np.random.RandomState(0).rand(4, 12)
     a, b = (kernels.Rocket(12, 6, (3, 5), seed=1)(rows) for _ in range(2))

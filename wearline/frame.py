@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wearline.functions import quantiles
+from wearline.functions.quantiles import Quantile
 from wearline.shipping import ship
 
 NUMERIC = (T.NumericType,)
@@ -200,12 +202,14 @@ class Frame:
         """cycle, pos and the features under their logical names."""
         return self.rows.df.select(self.cycle, self.pos, *(F.col(f"`{h}`").alias(n) for n, h in self.held.items()))
 
-    def agg(self, columns: dict[str, Column]) -> dict:
-        """One row of aggregates over all cycles: a job of its own."""
-        if not columns:
-            return {}
-        row = self.rows.df.agg(*(c.alias(f"_{i}") for i, c in enumerate(columns.values()))).first()
-        return {name: row[i] for i, name in enumerate(columns)}
+    def agg(self, columns: dict[str, Column | Quantile]) -> dict:
+        """One row of aggregates over all cycles: a job of its own, and for quantiles another or a few."""
+        plain = {n: c for n, c in columns.items() if not isinstance(c, Quantile)}
+        found: dict = quantiles.exact(self.rows.df, {n: c for n, c in columns.items() if isinstance(c, Quantile)})
+        if plain:
+            row = self.rows.df.agg(*(c.alias(f"_{i}") for i, c in enumerate(plain.values()))).first()
+            found |= {name: row[i] for i, name in enumerate(plain)}
+        return {name: found[name] for name in columns}
 
     def per_cycle(self, columns: dict[str, Column]) -> DataFrame:
         found = self.rows.df.groupBy(*self.rows.by).agg(*(c.alias(n) for n, c in columns.items()))

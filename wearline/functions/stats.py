@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wearline.functions.quantiles import Quantile
+
 Over = Callable[[Column], Column]
 
 
@@ -135,6 +137,6 @@ def correlation(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
-def quantile(x: Column, q: float) -> Column:
-    """Exact, with linear interpolation."""
-    return F.percentile(x, F.lit(q))
+def quantile(x: Column, q: float) -> Quantile:
+    """Exact, with linear interpolation, for ``Frame.agg``: at any size."""
+    return Quantile(x, q)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from wearline.frame import Frame
 from wearline.functions.kernels import integer_bytes, murmur3
+from wearline.functions.stats import quantile
 from wearline.operators.scaling import clipped
 from wearline.plans.graph import Step
 from wearline.shipping import ship
@@ -118,7 +119,7 @@ class PicewiseRULQuantile(Step):
         self.quantile = quantile
 
     def learn(self, frame: Frame) -> dict:
-        return frame.agg({n: F.percentile(frame.col(n), F.lit(self.quantile)) for n in frame.numeric})
+        return frame.agg({n: quantile(frame.col(n), self.quantile) for n in frame.numeric})
 
     def apply(self, frame: Frame) -> Frame:
         return frame.compute({n: clipped(frame.col(n), 0, self.params[n]) for n in frame.numeric if self.params.get(n) is not None})

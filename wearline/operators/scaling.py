@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wearline.frame import Frame
+from wearline.functions.quantiles import Quantile
 from wearline.functions.stats import quantile
 from wearline.plans.graph import Step
 
@@ -166,7 +167,7 @@ class PerCategoricalMinMaxScaler(Step):
     def learn(self, frame: Frame) -> dict:
         names, category = self._names(frame), frame.col(self.categorical_feature).cast("string")
         keys = [(n, k, c) for n in names for k, c in self.scaler.aggregates(frame.col(n)).items()]
-        columns = [c.alias(f"_{i}") for i, (_, _, c) in enumerate(keys)]
+        columns = [(c.column if isinstance(c, Quantile) else c).alias(f"_{i}") for i, (_, _, c) in enumerate(keys)]
         rows = [(r[0], r[1:]) for r in frame.rows.df.filter(category.isNotNull()).groupBy(category).agg(*columns).limit(self.MAX_LITERALS + 1).collect()]
         if len(rows) > self.MAX_LITERALS:
             raise ValueError(f"more than {self.MAX_LITERALS} categories")
