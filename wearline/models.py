@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wearline.frame import CycleSet
+from wearline.functions.quantiles import Quantile, exact
 from wearline.plans.samples import WindowedDatasetIterator
 from wearline.results import LIFE, with_time
 
@@ -53,7 +54,7 @@ class BaselineModel(FixedValueBaselineModel):
     def fit(self, cycles: CycleSet) -> BaselineModel:
         timed = _timed(cycles, self.threshold)
         first = timed.groupBy("life").agg((F.min_by("y_true", "pos") + F.max(F.when(F.col("pos") == F.col("start"), F.col("time")))).alias("d"))
-        self.value = first.agg(F.avg("d") if self.mode == "mean" else F.percentile("d", F.lit(0.5))).first()[0]
+        self.value = first.agg(F.avg("d")).first()[0] if self.mode == "mean" else exact(first, {"d": Quantile(F.col("d"), 0.5)})["d"]
         return self
 
     def predict(self, cycles: CycleSet, rul_threshold: float | None = None) -> DataFrame:
