@@ -66,21 +66,20 @@ def texts(column: pa.Array) -> list[str]:
 
 def gathered(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Join small batches until their text passes ``limit`` bytes (one batch is never split)."""
-    held: list[pa.RecordBatch] = []
+    some: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(batch)
-        size += batch.column(column).get_total_buffer_size() if len(held) == 1 else batch.column(column).nbytes
+        some.append(batch)
+        size += batch.column(column).nbytes
         if size >= limit:
-            yield _joined(held)
-            held, size = [], 0
-    if held:
-        yield _joined(held)
+            yield from _joined(some)
+            some, size = [], 0
+    if some:
+        yield from _joined(some)
 
 
-def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    if len(held) == 1:
-        return held[0]
-    return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+def _joined(some: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """One batch, or more where one would be beyond Arrow's 2 GB."""
+    return some if len(some) == 1 else pa.Table.from_batches(some).combine_chunks().to_batches()

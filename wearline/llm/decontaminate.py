@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import prepare, raw_bytes, table
+from .common import held, prepare, raw_bytes, table
 
 WINDOW = 13
 #: Text of the benchmark that is broadcast at once.
@@ -122,7 +122,8 @@ def _scan(docs: DataFrame, text: str, items: list[tuple[str, bytes]], window: in
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, window)
+        own = shared.value
+        matcher = held(f"decontaminate:{window}:{hash(tuple(own))}", lambda: Matcher(own, window))
         for batch in batches:
             old = batch.columns[-2:] if again else None
             kept = batch.columns[: -3 if again else None]
