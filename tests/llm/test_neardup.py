@@ -87,6 +87,34 @@ def test_one_stays_of_each_class(spark):
     assert {d for d in left if d != 7} == {d for d, _, c in expected if d == c and d != 7}
 
 
+def test_null_and_repeated_ids_lose_no_class(spark):
+    a, b, x, y = (" ".join(f"{c}{i}" for i in range(40)) for c in "abxy")
+    rows = [(7, a), (None, a), (None, b), (2, x), (5, x), (5, y)]
+    left = neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(7, a), (None, b), (2, x), (5, y)], key=str)
+    # Near copies under one id, or under none, leave one.
+    rows = [(None, a), (None, a + " end"), (3, b), (3, b + " end"), (None, b), (None, ""), (None, ""), (4, None)]
+    left = [tuple(r) for r in neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(left) == 4 and {(d, (t or "")[:1]) for d, t in left} == {(None, "a"), (3, "b"), (None, ""), (4, "")}
+
+
+def test_one_row_stays_of_each_class_of_the_whole_corpus(spark):
+    rows = corpus()
+    rows += [(None if i % 3 == 0 else d, t) for i, (d, t) in enumerate(rows)]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").repartition(5)
+    left = [(r["doc_id"], r["text"]) for r in neardup.deduplicate(docs).collect()]
+    # Classes by text alone: each text gets an id of its own.
+    texts = list(dict.fromkeys(t for _, t in rows))
+    of = {t: c for t, (_, _, c) in zip(texts, brute(list(enumerate(texts)), neardup.Rule()), strict=True)}
+    worded = [(d, t) for d, t in left if shingles(t, 5)]
+    assert sorted(of[t] for _, t in worded) == sorted({of[t] for t in texts if shingles(t, 5)})
+    least = {}
+    for d, t in rows:
+        least.setdefault(of[t], set()).add(d)
+    assert all(d == min((i for i in least[of[t]] if i is not None), default=None) for d, t in worded)
+    assert {r for r in left if not shingles(r[1], 5)} == {r for r in rows if not shingles(r[1], 5)}
+
+
 def test_empty_and_alone(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.near_duplicates(docs).collect() == []

@@ -20,7 +20,8 @@ forest may miss is a pair that shares the least depth in no order (below 2e-5 at
 Defined cases: null, empty and wordless texts have empty sets, are linked with nothing and are their
 own class; texts of fewer words than a shingle have one shingle; repeated rows are linked copies; a
 null doc_id takes part, but a class is named by its least non-null id (null if it has none); empty
-tables give no row.
+tables give no row. An id names no row: a row is known by its id and the digest of its text
+(:func:`text_key`), so repeated and null ids are told apart wherever rows are looked up or dropped.
 """
 
 from __future__ import annotations
@@ -153,8 +154,12 @@ def _chunked(batch: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[list[byte
         yield held
 
 
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
 def features(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
-    """(doc_id, node, n, signature, orders) of every row; the last two are null where an equal set came before in the batch."""
+    """(doc_id, key, node, n, signature, orders) of every row; the last two are null where an equal set came before in the batch."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,10 +180,11 @@ def features(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
                     signatures.append(((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes())
                     orders.append(low.astype(">u4").tobytes())
             arrays = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), pa.array(orders, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "node", "n", "signature", "orders"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *arrays], ["doc_id", "key", "node", "n", "signature", "orders"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, node binary, n long, signature binary, orders binary")
+    keyed = docs.select("doc_id", text, text_key(F.col(text)).alias("key"))
+    return keyed.mapInArrow(run, f"doc_id {kind}, key binary, node binary, n long, signature binary, orders binary")
 
 
 def neighbours(nodes: DataFrame, least_depth: int) -> DataFrame:
@@ -387,9 +393,10 @@ def visits(members: DataFrame, visitors: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, rule: Rule, text: str) -> DataFrame:
-    """The shingle sets of the chosen nodes, from the text of one document each (rep_id: its id)."""
-    held = docs.select(F.col("doc_id").alias("rep_id"), F.col(text).alias("text"))
-    joined = held.alias("d").join(chosen.alias("c"), F.col("d.rep_id").eqNullSafe(F.col("c.rep_id")))
+    """The shingle sets of the chosen nodes, from the text of one row each (rep: its id and key)."""
+    held = docs.select("doc_id", F.col(text).alias("text"), text_key(F.col(text)).alias("key"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.rep.doc_id")) & F.col("d.key").eqNullSafe(F.col("c.rep.key"))
+    joined = held.alias("d").join(chosen.alias("c"), same)
     joined = joined.select("text", "node", "cluster", "block", "blocks")
     schema = pa.schema([("cluster", pa.binary()), ("block", pa.int32()), ("blocks", pa.int32()), ("node", pa.binary()), ("shingles", pa.binary())])
 
@@ -397,20 +404,19 @@ def _sets(docs: DataFrame, chosen: DataFrame, rule: Rule, text: str) -> DataFram
         for batch in batches:
             rest = batch.select(["node", "cluster", "block", "blocks"]).to_pylist()
             found = [s for some in _chunked(raw_bytes(batch.column(0))) for s in shingle_sets(some, rule.words)]
-            # Rows may share an id and not a text: only the text that has the node's name counts.
-            yield _rows([{**r, "shingles": s.tobytes()} for r, s in zip(rest, found, strict=True) if node_of(s) == r["node"]], schema)
+            yield _rows([{**r, "shingles": s.tobytes()} for r, s in zip(rest, found, strict=True)], schema)
 
     return joined.mapInArrow(run, _SET)
 
 
 def classes(docs: DataFrame, rule: Rule, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Features of every row (doc_id, node, n), and the root of each node that has a link (node, root)."""
+    """Features of every row (doc_id, key, node, n), and the root of each node that has a link (node, root)."""
     prepare(docs.sparkSession)
     rows = features(docs, rule, text).checkpoint()
     nodes = rows.filter("orders IS NOT NULL").select("node", "signature", "orders").dropDuplicates(["node"]).checkpoint()
     pairs = neighbours(nodes.select("node", "orders"), rule.least_depth)
     clusters = components(agreeing(pairs, nodes, rule.percent / 100 - SLACK)).select("node", F.col("root").alias("cluster"))
-    known = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep_id"), F.first("n").alias("n"))
+    known = rows.filter("node IS NOT NULL").groupBy("node").agg(_first_row().alias("rep"), F.first("n").alias("n"))
     chosen = clusters.join(known, "node")
     sizes = chosen.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
@@ -430,12 +436,17 @@ def classes(docs: DataFrame, rule: Rule, text: str = "text") -> tuple[DataFrame,
         links = links.unionByName(visits(several, outside, rule.percent)).checkpoint()
         whole = components(inner.unionByName(links)).filter("node != root")
         roots = labelled.filter("blocks = 1 AND node != root").select("node", "root").unionByName(whole.select("node", "root"))
-    return rows.select("doc_id", "node", "n"), roots
+    return rows.select("doc_id", "key", "node", "n"), roots
+
+
+def _first_row() -> Column:
+    """The least (id, key) of a group's rows; ids come before null."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))
 
 
 def _repeats(rows: DataFrame) -> bool:
-    """Whether some id stands for several rows, whose texts the join by id would bring twice."""
-    return rows.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+    """Whether some id and text stand for several rows, which a join by both would bring twice."""
+    return rows.groupBy("doc_id", "key").count().filter("count > 1").limit(1).count() > 0
 
 
 def near_duplicates(docs: DataFrame, rule: Rule | None = None, text: str = "text") -> DataFrame:
@@ -452,15 +463,21 @@ def near_duplicates(docs: DataFrame, rule: Rule | None = None, text: str = "text
 
 
 def deduplicate(docs: DataFrame, rule: Rule | None = None, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without the near copies: one document of each class stays, with all its columns.
+    """The rows of ``docs`` without the near copies: one row of each class stays, with all its columns.
 
-    Rows go by an anti join with the ids that are not kept, the smaller side. Where ids repeat, rows
-    that also share their text are copies, and one of them stays.
+    It is the one with the least id (null comes last) and then the least key. Rows go by an anti join
+    with the ids and keys that are not kept, the smaller side; of rows that share id and text one stays.
     """
-    found = near_duplicates(docs.select("doc_id", text), rule, text).checkpoint()
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
-    return left.dropDuplicates(["doc_id", text]) if _repeats(found) else left
+    rows, roots = classes(docs.select("doc_id", text), rule or Rule(), text)
+    named = rows.filter("node IS NOT NULL").select("doc_id", "key", "node")
+    of_node = named.groupBy("node").agg(_first_row().alias("low")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of_root = of_node.groupBy("root").agg(F.min("low").alias("first"))
+    stays = of_node.join(of_root, "root").select("node", "first")
+    other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("key").eqNullSafe(F.col("first.key")))
+    gone = named.join(stays, "node").filter(other).select("doc_id", "key").distinct().checkpoint()
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & text_key(F.col(f"d.{text}")).eqNullSafe(F.col("g.key"))
+    left = docs.alias("d").join(gone.alias("g"), same, "left_anti")
+    return left.dropDuplicates(["doc_id", text]) if _repeats(rows) else left
 
 
 def kept() -> Column:
