@@ -235,6 +235,40 @@ def test_kmeans_leaves_k_values(spark):
     assert len(set(zip(found["x"], found["y"], strict=True))) == 3
 
 
+class _Range:
+    """Scales by the extremes of all rows it has been given."""
+
+    low, high = math.inf, -math.inf
+
+    def fit(self, x):
+        self.low, self.high = np.nanmin(x, axis=0), np.nanmax(x, axis=0)
+
+    def transform(self, x):
+        return (x - self.low) / (self.high - self.low)
+
+
+class _RangeInParts(_Range):
+    most = 0
+
+    def partial_fit(self, x):
+        self.most = max(self.most, len(x))
+        self.low, self.high = np.fmin(self.low, np.nanmin(x, axis=0)), np.fmax(self.high, np.nanmax(x, axis=0))
+
+
+def test_wrapped_objects_are_fitted_on_all_rows(spark):
+    x = [float(i % 7) for i in range(500)]
+    x[123], x[124], x[377] = 1000.0, None, -1000.0
+    data = frame_of(spark, {"x": x}, {"x": [5000.0, 1.0]})
+    expected = [None if v is None else (v + 1000) / 6000 for v in x]
+    step = op.SKLearnTransformerWrapper(_RangeInParts(), max_rows=50)
+    for _ in range(2):
+        close(rows(step.fit_transform(data))["x"], expected)
+        assert step.transformer.most == 50
+    close(rows(op.SKLearnTransformerWrapper(_Range(), max_rows=502).fit_transform(data))["x"], expected)
+    with pytest.raises(ValueError, match="partial_fit"):
+        op.SKLearnTransformerWrapper(_Range(), max_rows=501).fit(data)
+
+
 def test_isolation_forest(spark):
     x = [float(v) for v in np.random.RandomState(0).standard_normal(300)] + [60.0]
     found = rows(op.IsolationForestOutlierRemover(50).fit_transform(frame_of(spark, {"x": x})))["x"]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import copy
 import itertools
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -132,20 +134,32 @@ class TransformerLambda(Step):
 
 
 class SKLearnTransformerWrapper(Step):
-    """Any object with ``fit`` and ``transform`` of an array; it is fitted on a bounded sample of rows."""
+    """Any object with ``fit`` and ``transform`` of an array; it is fitted on all rows.
+
+    Up to ``max_rows`` rows go to ``fit`` at once. Beyond, a copy of the object as it was given gets all
+    rows in order by ``partial_fit``, as many at a time; an object without it raises, and nothing is sampled.
+    """
 
     fitted = True
 
     def __init__(self, transformer: object, max_rows: int = 100_000, *, name: str | None = None) -> None:
         super().__init__(name=name)
         self.transformer, self.max_rows = transformer, max_rows
+        self.given = copy.deepcopy(transformer)
 
     def learn(self, frame: Frame) -> dict:
-        share = min(1.0, self.max_rows / max(1, frame.rows.df.count()))
-        sample = frame.where(F.pmod(F.xxhash64(frame.cycle, frame.pos), F.lit(1_000_000)) < int(share * 1_000_000))
-        data = sample.df.orderBy(frame.cycle, frame.pos).limit(2 * self.max_rows).toPandas()
-        self.transformer.fit(data[frame.numeric].to_numpy(dtype=float))
-        return {"features": frame.numeric}
+        names = frame.numeric
+        n = frame.rows.df.count()
+        data = frame.df.orderBy(frame.cycle, frame.pos).select(*names)
+        if n <= self.max_rows:
+            self.transformer.fit(data.toPandas().to_numpy(dtype=float))
+        elif hasattr(self.given, "partial_fit"):
+            self.transformer = copy.deepcopy(self.given)
+            for part in itertools.batched(data.toLocalIterator(), self.max_rows):
+                self.transformer.partial_fit(np.array(part, dtype=float))
+        else:
+            raise ValueError(f"{type(self.transformer).__name__} has no partial_fit and must get {n} rows at once; max_rows is {self.max_rows}")
+        return {"features": names}
 
     def apply(self, frame: Frame) -> Frame:
         names, transformer = self.params["features"], self.transformer

@@ -256,7 +256,7 @@ _kernel("frequency_features", op.FrequencyFeatures)
 _kernel("hurst", lambda: op.HurstExponent("all", 4, 16, 3))
 _kernel("kmeans_values", lambda: op.OneDimensionalKMeans(3))
 _kernel("kmeans_rows", lambda: op.MultiDimensionalKMeans(3), ("value", "k"))
-_kernel("isolation_forest", lambda: op.IsolationForestOutlierRemover(20, 2000))
+_kernel("isolation_forest", op.IsolationForestOutlierRemover)
 _kernel("hashing_encoding", lambda: op.HashingEncodingCategorical(16, "event_type"), ("event_type",))
 _kernel("apply_rolling_imputer", lambda: op.ApplyRollingImputer(2, _largest_finite), prepare=gaps)
 _kernel("rocket", lambda: op.ROCKET(4, (2, 3)), ("value", "k", "event_id"))
