@@ -161,6 +161,54 @@ def test_components_of_a_chain(spark):
     assert {found[i] for i in range(61)} == {0} and found[101] == 100 and len(found) == 63
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") & 1 else a for i in range(n))
+
+
+def test_words_of_one_pattern_stay_apart(spark):
+    rows = [(k, w) for k, w in enumerate(thue_morse(n, *ab) for n in (1024, 2048, 4096) for ab in ("ab", "ba"))]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(k, k) for k in range(6)]
+
+
+def test_recall_in_a_crowd(spark):
+    """Texts that share half their words crowd every region; pairs just over the threshold are planted among them."""
+    random.seed(8)
+    rule = neardup.Rule(3, 85)
+    common = [f"c{i}" for i in range(120)]
+    fresh = iter(range(10**9))
+    rows, pairs = [], []
+    for k in range(3000):
+        words = common + [f"w{next(fresh)}" for _ in range(60)]
+        rows.append((2 * k, " ".join(words)))
+        if k % 3 == 0:
+            twin = list(words)
+            twin[150:156] = [f"w{next(fresh)}" for _ in range(6)]
+            rows.append((2 * k + 1, " ".join(twin)))
+            a, b = shingles(rows[-1][1], 3), shingles(rows[-2][1], 3)
+            if 100 * len(a & b) >= 85 * len(a | b):
+                pairs.append((2 * k, 2 * k + 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, rule).collect()}
+    assert len(pairs) == 1000
+    assert sum(found[a] == found[b] for a, b in pairs) == 1000
+    assert len(set(found.values())) == 3000
+
+
+def test_links_of_a_dense_group_are_few(spark):
+    """A star an order at most: far fewer links than the group's candidates."""
+    random.seed(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [random.choice(vocabulary) for _ in range(200)]
+    rows = [(i, " ".join(edited(base, 0.02, vocabulary))) for i in range(1500)]
+    rule = neardup.Rule(3, 85)
+    nodes = neardup.features(spark.createDataFrame(rows, "doc_id long, text string"), rule).filter("orders IS NOT NULL").dropDuplicates(["node"]).cache()
+    links = neardup.neighbours(nodes, rule).cache()
+    assert graph.components(links).select("root").distinct().count() == 1
+    assert links.count() <= 8 * nodes.count()
+    print("links a node", links.count() / nodes.count())
+
+
 def test_parts_of_a_long_text_have_its_shingles():
     random.seed(4)
     for _ in range(300):

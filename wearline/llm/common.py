@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -16,6 +18,8 @@ Held = TypeVar("Held")
 
 #: Rows in an Arrow batch at most: 512 texts of 0.1 MB are 50 MB in a worker.
 BATCH_ROWS = 512
+#: Text bytes that an operator works on at once, where texts are shorter than that.
+BATCH_TEXT = 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -30,6 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder of checkpoints: lineage ends there, and their size is known to the planner."""
+    spark = rows.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def id_crc(column: str = "doc_id") -> Column:
     """crc32 of an id written as text; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
@@ -64,6 +76,25 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def bounded(batches: Iterator[pa.RecordBatch], column: int, limit: int = BATCH_TEXT) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts pass ``limit`` bytes only where one text does.
+
+    Arrow batches are bounded in rows, not bytes; what an operator makes of a batch is bounded by this.
+    """
+    for batch in batches:
+        if batch.num_rows <= 1 or batch.column(column).nbytes <= limit:
+            yield batch
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        start, size = 0, 0
+        for i, one in enumerate(sizes):
+            if i > start and size + one > limit:
+                yield batch.slice(start, i - start)
+                start, size = i, 0
+            size += one
+        yield batch.slice(start)
+
+
 def gathered(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Join small batches until their text passes ``limit`` bytes (one batch is never split)."""
     some: list[pa.RecordBatch] = []

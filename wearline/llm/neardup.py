@@ -1,51 +1,62 @@
 """Operator 9, near-duplicate classes by an LSH forest.
 
-1. Sets. Each text's distinct word shingles become 64-bit hashes; equal sets have one 128-bit name
-   (node), so exact copies meet in a partial aggregation and go on as one.
-2. Forest. ``TREES`` orders of the nodes, each by ``DEPTH`` MinHash values. The nodes are sorted by
-   (order, values) across the cluster with a range partitioning that splits regions of any size;
-   neighbours in an order whose values agree in at least the least depth are candidates. Depth adapts
-   by itself: in a crowded region neighbours agree in more values, in a sparse one in the least.
-3. Clusters. Candidates whose one-byte signatures agree well enough (well below the threshold) are
-   connected; each cluster holds all that may be linked to its members.
+1. Sets. Each text's distinct word shingles become 64-bit hashes (words by BLAKE2b, shingles by mixing
+   their words in order); equal sets have one 128-bit name (node), so exact copies meet in a partial
+   aggregation and go on as one.
+2. Forest. ``TREES`` orders of the nodes, each by up to ``DEPTH`` MinHash values. The nodes are sorted
+   by (order, values) across the cluster with a range partitioning that splits regions of any size. A
+   node's candidates are the ``REACH`` nodes on either side with which it agrees in the longest prefix,
+   at least in the least depth. So the depth adapts region by region: in a sparse one all nodes that
+   share the least depth are compared, in a crowded one those that share more. A candidate counts if
+   its two-bit signature agrees well enough (``SLACK`` below the threshold); others are passed over and
+   do not hide those behind them.
+3. Clusters. What a region connects becomes a star around its least node, so the links of a dense group
+   mostly coincide from tree to tree; their components, by contraction, hold all that may be linked.
 4. Exact links. The full sets of a cluster's nodes meet in blocks of bounded size. In a block, an
    inverted index gives a node's exact intersections with all others; after a few central nodes, only
    the nodes outside the largest component need theirs, for a link between two components has an
    end outside the largest. Clusters beyond one block do the same between blocks: first central
-   nodes, then every node outside the cluster's largest component visit all blocks.
+   nodes, then every node outside the cluster's largest component visit the blocks of their own size
+   and the sizes beside it, the only ones where a link can be.
 
-Nothing is capped: depth, blocks and rounds decide where comparisons happen, not whether. What the
-forest may miss is a pair that shares the least depth in no order (below 2e-5 at the threshold).
+Blocks and rounds decide where comparisons happen, not whether. What the forest may miss is a pair
+that no chain of candidates connects: in the sparse case a pair at the threshold shares the least
+depth in no order with a chance below ``MISS``; tests measure recall on crowded tables.
 
 Defined cases: null, empty and wordless texts have empty sets, are linked with nothing and are their
-own class; texts of fewer words than a shingle have one shingle; repeated rows are linked copies; a
-null doc_id takes part, but a class is named by its least non-null id (null if it has none); empty
-tables give no row. An id names no row: a row is known by its id and the digest of its text
-(:func:`text_key`), so repeated and null ids are told apart wherever rows are looked up or dropped.
+own class; texts of fewer words than a shingle have one shingle; very long texts go through in
+overlapping parts; repeated rows are linked copies; of ties (equal texts under several ids) the least
+id names the class; a null doc_id takes part, but a class is named by its least non-null id (null if it
+has none); empty tables give no row; other columns are not read, whatever their names. An id names no
+row: a row is known by its id and the digest of its text (:func:`text_key`), so repeated and null ids
+are told apart wherever rows are looked up or dropped.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, raw_bytes, table
+from .common import bounded, prepare, raw_bytes, stored, table
 from .graph import components
-from .spans import SpanHash, mix, offsets_of, ragged
+from .spans import mix, offsets_of, ragged
 
 TREES = 16
 DEPTH = 8
+#: Neighbours on either side of a node in an order that are its candidates.
+REACH = 16
 #: The chance of missing a pair at the threshold that decides the least depth.
 MISS = 2e-5
-#: Signatures may agree so much less than the threshold.
-SLACK = 0.25
+#: Signatures may say so much less than the threshold: five standard deviations at 0.8.
+SLACK = 0.2
 #: Texts and shingles that a block of a cluster holds at most, about.
 BLOCK_ROWS = 1500
 BLOCK_SHINGLES = 3_000_000
@@ -54,13 +65,19 @@ PIVOTS = 16
 CHUNK_BYTES = 1 << 20
 #: A text beyond so many bytes is hashed in parts.
 LONG_BYTES = 4 << 20
+#: Rows of an order that are compared together.
+RUN_ROWS = 1 << 15
+#: Nodes of clusters (about 100 bytes each) that are broadcast to find their texts; more are joined by a shuffle.
+MAX_BROADCAST_ROWS = 100_000
+#: Words whose hashes a worker remembers, and the longest of them.
+MAX_WORDS = 300_000
+MAX_WORD_BYTES = 64
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-_WHITE = np.zeros(256, dtype=bool)
-_WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _RANDOM = np.random.RandomState(9)
 _A = (_RANDOM.randint(0, 1 << 31, TREES * DEPTH).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _RANDOM.randint(0, 1 << 31, TREES * DEPTH).astype(np.uint32) * np.uint32(2)
+_CHAIN = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Rule(NamedTuple):
@@ -78,30 +95,44 @@ class Rule(NamedTuple):
 _BORDER = re.compile(rb"[\x20\x09-\x0D]")
 
 
+class _WordHashes(dict):
+    """64-bit hashes of words; long words are hashed anew each time."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= MAX_WORD_BYTES:
+            self[word] = value
+        return value
+
+
+_WORDS = _WordHashes()
+
+
 def shingle_sets(batch: list[bytes], words: int, limit: int = LONG_BYTES) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a text beyond the limit goes through in overlapping parts."""
     if not batch:
         return []
     if len(batch) == 1 and len(batch[0]) > limit and len(parts := _overlapping(batch[0], words, limit)) > 1:
-        return [np.unique(np.concatenate([shingle_sets([p], words, len(p))[0] for p in parts]))]
-    text = np.frombuffer(b"".join(batch).translate(_LOWER), dtype=np.uint8)
-    at = offsets_of([len(t) for t in batch])
-    dark = ~_WHITE[text]
-    edge = np.zeros(len(text) + 1, dtype=bool)
-    edge[at] = True
-    before = np.zeros(len(text), dtype=bool)
-    before[1:] = dark[:-1]
-    starts = np.flatnonzero(dark & (~before | edge[:-1]))
-    after = np.zeros(len(text), dtype=bool)
-    after[:-1] = dark[1:]
-    ends = np.flatnonzero(dark & (~after | edge[1:])) + 1
-    hashes = SpanHash(text)(starts, ends)
-    first = np.searchsorted(starts, at)
-    n_words = np.diff(first)
+        whole = np.zeros(0, dtype=np.uint64)
+        for part in parts:
+            whole = np.union1d(whole, shingle_sets([part], words, len(part))[0])
+        return [whole]
+    if len(_WORDS) > MAX_WORDS:
+        _WORDS.clear()
+    # bytes.split() knows the same white space as the rule: space and 0x09 to 0x0D.
+    split = [t.translate(_LOWER).split() for t in batch]
+    n_words = np.array([len(w) for w in split], dtype=np.int64)
+    hashes = np.fromiter((_WORDS[w] for some in split for w in some), dtype=np.uint64, count=int(n_words.sum()))
     counts = np.where(n_words >= words, n_words - words + 1, (n_words > 0).astype(np.int64))
-    begin = ragged(first[:-1], counts)
-    length = np.repeat(np.minimum(n_words, words), counts)
-    shingles = SpanHash(hashes)(begin, begin + length)
+    begin = ragged(offsets_of(n_words)[:-1], counts)
+    shingles = np.zeros(len(begin), dtype=np.uint64)
+    short = np.repeat(n_words, counts) if (n_words < words).any() else None
+    for j in range(words):
+        if short is None:
+            shingles = mix(shingles * _CHAIN + hashes[begin + j])
+        else:
+            more = np.flatnonzero(short > j)
+            shingles[more] = mix(shingles[more] * _CHAIN + hashes[begin[more] + j])
     upto = offsets_of(counts)
     return [np.unique(shingles[a:b]) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
@@ -117,18 +148,15 @@ def _overlapping(text: bytes, words: int, limit: int) -> list[bytes]:
         found = _BORDER.search(text, at + limit) if len(text) - at > limit else None
         stop = found.end() if found else len(text)
         part = text[at : ahead.match(text, stop).end()]
-        if len(part.split()) >= words:
+        if len(part.split(maxsplit=words)) >= words:
             parts.append(part)
         at = stop
     return parts or [text]
 
 
 def node_of(shingles: np.ndarray) -> bytes | None:
-    """The name of a set: two sums of differently mixed hashes; null for the empty set."""
-    if not len(shingles):
-        return None
-    sums = [mix(shingles ^ np.uint64(c)).sum(dtype=np.uint64) + np.uint64(len(shingles)) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-    return b"".join(int(s).to_bytes(8, "big") for s in sums)
+    """The name of a set: a digest of its sorted hashes; null for the empty set."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
@@ -142,6 +170,23 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
     return low
 
 
+def sketch(low: np.ndarray) -> tuple[bytes, bytes]:
+    """Of MinHash values: 16 bits each to sort by (equal values stay equal), and two bits each as a signature."""
+    mixed = low * np.uint32(0x9E3779B1)
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= np.uint32(0x85EBCA6B)
+    two = (mixed & np.uint32(3)).astype(np.uint8).reshape(-1, 4)
+    return (mixed >> np.uint32(16)).astype(">u2").tobytes(), (two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6).tobytes()
+
+
+_SIGNATURE_BYTES = TREES * DEPTH // 4
+
+
+def least_agreement(percent: int) -> int:
+    """Of TREES * DEPTH places of two signatures, how many agree at least: a quarter of the different values do by chance."""
+    return math.ceil(TREES * DEPTH * (0.25 + 0.75 * (percent / 100 - SLACK)))
+
+
 def _chunked(batch: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
     held, size = [], 0
     for text in batch:
@@ -163,7 +208,7 @@ def features(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             nodes, sizes, signatures, orders = [], [], [], []
             seen: set[bytes] = set()
             for some in _chunked(raw_bytes(batch.column(1))):
@@ -176,9 +221,9 @@ def features(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
                         orders.append(None)
                         continue
                     seen.add(node)
-                    low = minhash(shingles)
-                    signatures.append(((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes())
-                    orders.append(low.astype(">u4").tobytes())
+                    order, signature = sketch(minhash(shingles))
+                    signatures.append(signature)
+                    orders.append(order)
             arrays = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), pa.array(orders, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *arrays], ["doc_id", "key", "node", "n", "signature", "orders"])
 
@@ -187,68 +232,125 @@ def features(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
     return keyed.mapInArrow(run, f"doc_id {kind}, key binary, node binary, n long, signature binary, orders binary")
 
 
-def neighbours(nodes: DataFrame, least_depth: int) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes next to each other in some order that agree in its first ``least_depth`` values."""
-    width = 4 * DEPTH
-    spread = nodes.select("node", "orders", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(
-        "tree", F.expr(f"substring(orders, tree * {width} + 1, {width})").alias("key"), "node"
+def _roots(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (each the least place of its component) after linking places ``a`` with places ``b``."""
+    parent = label.tolist()
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    out = np.array(parent, dtype=np.int64)
+    while not np.array_equal(nearer := out[out], out):
+        out = nearer
+    return out
+
+
+class Order:
+    """Consecutive rows of the orders: compares each with those before it, and says what became connected."""
+
+    def __init__(self, least_depth: int, least: int, reach: int = REACH) -> None:
+        self.prefix, self.least, self.reach = 2 * least_depth, least, reach
+        self.regions: list[bytes] = []
+        self.names: list[bytes] = []
+        self.signatures: list[bytes] = []
+
+    def __call__(self, regions: list[bytes], names: list[bytes], signatures: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Links (node, least node of its star) that the new rows bring, with the last rows of the call before."""
+        old = len(self.names)
+        regions, names, signatures = self.regions + regions, self.names + names, self.signatures + signatures
+        n = len(names)
+        _, region = np.unique(np.array(regions, dtype=object), return_inverse=True)
+        bits = np.frombuffer(b"".join(signatures), dtype=np.uint64).reshape(n, -1)
+        label = np.arange(n)
+        odd = np.uint64(0x5555555555555555)
+        for step in range(1, min(self.reach, n - 1) + 1):
+            here = np.flatnonzero(region[step:] == region[:-step]) + step
+            here = here[(here >= old) & (label[here] != label[here - step])]
+            if not len(here):
+                continue
+            apart = bits[here] ^ bits[here - step]
+            apart = np.bitwise_count((apart | apart >> np.uint64(1)) & odd).sum(axis=1)
+            here = here[TREES * DEPTH - apart >= self.least]
+            if len(here):
+                label = _roots(label, here, here - step)
+        # The star's centre is the least name, so that stars of other orders have the same.
+        halves = np.frombuffer(b"".join(names), dtype=">u8").reshape(n, 2)
+        by_name = np.lexsort((halves[:, 1], halves[:, 0]))
+        centre = np.empty(n, dtype=np.int64)
+        centre[label[by_name[::-1]]] = by_name[::-1]
+        self.regions, self.names, self.signatures = regions[-self.reach :], names[-self.reach :], signatures[-self.reach :]
+        return [(names[i], names[c]) for i, c in enumerate(centre[label].tolist()) if names[i] != names[c]]
+
+
+_ROW = pa.schema([("border", pa.bool_()), ("region", pa.binary()), ("place", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+
+
+def _links(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    nothing = [None] * len(found)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([False] * len(found)), pa.array(nothing, pa.binary()), pa.array(nothing, pa.binary()), *(pa.array([f[k] for f in found], pa.binary()) for k in (0, 1))],
+        schema=_ROW,
     )
-    ordered = spread.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    prefix = 4 * least_depth
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Neighbours within the partition; its first and last row go on beside them, for the partitions next to it."""
-        part = TaskContext.get().partitionId()
-        held = None
-
-        def out(kind: str, rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([kind] * len(rows), pa.string()), pa.array([part] * len(rows), pa.int32()),
-                    *(pa.array(list(c), pa.binary()) for c in columns),
-                ],
-                ["kind", "part", "a", "b", "region"],
-            )
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            trees, keys, names = (batch.column(i).to_pylist() for i in range(3))
-            regions = [bytes((t,)) + k[:prefix] for t, k in zip(trees, keys, strict=True)]
-            if held is None:
-                yield out("first", [(names[0], None, regions[0])])
-                held = (regions[0], names[0])
-            pairs = []
-            for region, name in zip(regions, names, strict=True):
-                if region == held[0] and name != held[1]:
-                    pairs.append((min(name, held[1]), max(name, held[1]), None))
-                held = (region, name)
-            if pairs:
-                yield out("pair", pairs)
-        if held is not None:
-            yield out("last", [(held[1], None, held[0])])
-
-    found = ordered.mapInArrow(run, "kind string, part int, a binary, b binary, region binary").checkpoint()
-    last = found.filter("kind = 'last'").select((F.col("part") + 1).alias("part"), "region", F.col("a").alias("x"))
-    first = found.filter("kind = 'first'").select("part", "region", F.col("a").alias("y"))
-    across = last.join(first, ["part", "region"]).filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return found.filter("kind = 'pair'").select("a", "b").unionByName(across).distinct()
-
-
-def agreeing(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs whose signatures agree in at least that share of places."""
-    signed = pairs.join(nodes.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a")
-    signed = signed.join(nodes.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b").select("a", "b", "sa", "sb")
-    size = TREES * DEPTH
+def _runs(batches: Iterator[pa.RecordBatch], limit: int = RUN_ROWS) -> Iterator[list[list]]:
+    """The columns of up to ``limit`` rows at a time, as lists."""
+    held: list[list] = []
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+        held = [a + b for a, b in zip(held, columns, strict=True)] if held else columns
+        if held and len(held[0]) >= limit:
+            yield held
+            held = []
+    if held and held[0]:
+        yield held
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = [np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, size) for i in (2, 3)]
-            keep = (sides[0] == sides[1]).sum(axis=1) >= least * size
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return signed.mapInArrow(run, "a binary, b binary")
+def neighbours(nodes: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) of nodes (node, signature, orders) that connect each node with its agreeing candidates in every order."""
+    width = 2 * DEPTH
+    least_depth, least = rule.least_depth, least_agreement(rule.percent)
+    prefix = 2 * least_depth
+    spread = nodes.select("node", "signature", "orders", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(
+        F.expr(f"concat(unhex(lpad(hex(tree), 2, '0')), substring(orders, tree * {width} + 1, {width}))").alias("place"), "node", "signature"
+    )
+    ordered = spread.repartitionByRange("place", "node").sortWithinPartitions("place", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links within the partition; the rows at its two ends go on beside them, to meet those of other partitions."""
+        order = Order(least_depth, least)
+        first: list[tuple] = []
+        last: list[tuple] = []
+        for places, names, signatures in _runs(batches):
+            yield _links(order([p[: 1 + prefix] for p in places], names, signatures))
+            rows = list(zip(places, names, signatures, strict=True))
+            first += rows[: max(0, REACH - len(first))]
+            last = (last + rows[-REACH:])[-REACH:]
+        ends = sorted(set(first + last))
+        if ends:
+            # Of the border's rows only those in the regions of the first and the last row can have neighbours beyond.
+            region = {ends[0][0][: 1 + prefix], ends[-1][0][: 1 + prefix]}
+            ends = [e for e in ends if e[0][: 1 + prefix] in region]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([True] * len(ends)), pa.array([e[0][: 1 + prefix] for e in ends], pa.binary()), *(pa.array([e[k] for e in ends], pa.binary()) for k in (0, 1, 2))],
+                schema=_ROW,
+            )
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = Order(least_depth, least)
+        for regions, _, names, signatures in _runs(batches):
+            yield _links(order(regions, names, signatures)).select(["a", "b"])
+
+    found = stored(ordered.mapInArrow(run, "border boolean, region binary, place binary, a binary, b binary"))
+    border = found.filter("border").select("region", "place", F.col("a").alias("node"), F.col("b").alias("signature"))
+    met = border.repartition("region").sortWithinPartitions("region", "place", "node").mapInArrow(across, "a binary, b binary")
+    return found.filter("NOT border").select("a", "b").unionByName(met).distinct()
 
 
 class Block:
@@ -305,7 +407,7 @@ class Block:
         return label
 
 
-_SET = "cluster binary, block int, blocks int, node binary, shingles binary"
+_SET = "cluster binary, block long, blocks long, node binary, shingles binary"
 _LABELLED = f"{_SET}, root binary, central boolean"
 
 
@@ -330,7 +432,7 @@ def _rows(rows: list[dict], ddl: pa.Schema) -> pa.RecordBatch:
 
 
 _LABELLED_ARROW = pa.schema(
-    [("cluster", pa.binary()), ("block", pa.int32()), ("blocks", pa.int32()), ("node", pa.binary()), ("shingles", pa.binary()), ("root", pa.binary()), ("central", pa.bool_())]
+    [("cluster", pa.binary()), ("block", pa.int64()), ("blocks", pa.int64()), ("node", pa.binary()), ("shingles", pa.binary()), ("root", pa.binary()), ("central", pa.bool_())]
 )
 
 
@@ -360,11 +462,16 @@ def label_blocks(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def visits(members: DataFrame, visitors: DataFrame, percent: int) -> DataFrame:
-    """Exact links (a, b) of visitors with the members of all other blocks of their cluster, one for each root there."""
+    """Exact links (a, b) of visitors with the members of other blocks of their cluster, one for each root there.
+
+    A visitor goes to the blocks of its own band of set sizes and of the two beside it: sets of other
+    bands differ in size by more than the threshold allows.
+    """
     home = members.select("cluster", "block", "node", "root", "shingles", F.lit(0).alias("visits"))
-    away = visitors.select("cluster", F.col("block").alias("home"), "blocks", "node", "root", "shingles")
-    away = away.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("block != home")
-    both = home.unionByName(away.select("cluster", F.col("block").cast("int").alias("block"), "node", "root", "shingles", F.lit(1).alias("visits")))
+    rooms = members.select("cluster", "block").distinct().withColumnRenamed("block", "room")
+    away = visitors.select("cluster", F.col("block").alias("home"), "node", "root", "shingles").join(rooms, "cluster")
+    away = away.filter((F.col("room") != F.col("home")) & (F.abs(band_of("room") - band_of("home")) <= 1))
+    both = home.unionByName(away.select("cluster", F.col("room").alias("block"), "node", "root", "shingles", F.lit(1).alias("visits")))
     dealt = both.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "visits", "node")
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
@@ -392,16 +499,45 @@ def visits(members: DataFrame, visitors: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
+#: Blocks of one band of set sizes.
+_BAND = 1 << 24
+
+
+def band_of(block: str) -> Column:
+    return F.floor(F.col(block) / _BAND)
+
+
+def dealt_blocks(chosen: DataFrame, percent: int) -> DataFrame:
+    """Add blocks (their number in the cluster) and block to nodes (cluster, node, n).
+
+    Clusters within one block's bounds are one block. Others are cut into bands of set sizes, each a
+    factor of the threshold wide, and a band into as many blocks, by hash, as its rows and shingles need.
+    """
+    needed = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / min(percent, 99)))).cast("long")
+    chosen = chosen.withColumn("band", band)
+    by_band = chosen.groupBy("cluster", "band").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"), needed.alias("own"))
+    whole = by_band.groupBy("cluster").agg(
+        F.greatest(F.ceil(F.sum("rows") / BLOCK_ROWS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"),
+        F.collect_list(F.struct("band", "own")).alias("bands"),
+    )
+    # The bands of a cluster are few: log(longest / shortest) of them.
+    own = F.filter("bands", lambda b: b["band"] == F.col("band"))[0]["own"]
+    placed = F.when(F.col("blocks") <= 1, F.lit(0).cast("long")).otherwise(F.col("band") * _BAND + F.pmod(F.xxhash64("node"), own))
+    return chosen.join(whole, "cluster").withColumn("block", placed).drop("n", "band", "bands")
+
+
 def _sets(docs: DataFrame, chosen: DataFrame, rule: Rule, text: str) -> DataFrame:
     """The shingle sets of the chosen nodes, from the text of one row each (rep: its id and key)."""
     held = docs.select("doc_id", F.col(text).alias("text"), text_key(F.col(text)).alias("key"))
     same = F.col("d.doc_id").eqNullSafe(F.col("c.rep.doc_id")) & F.col("d.key").eqNullSafe(F.col("c.rep.key"))
-    joined = held.alias("d").join(chosen.alias("c"), same)
+    few = chosen.count() <= MAX_BROADCAST_ROWS
+    joined = held.alias("d").join((F.broadcast(chosen) if few else chosen).alias("c"), same)
     joined = joined.select("text", "node", "cluster", "block", "blocks")
-    schema = pa.schema([("cluster", pa.binary()), ("block", pa.int32()), ("blocks", pa.int32()), ("node", pa.binary()), ("shingles", pa.binary())])
+    schema = pa.schema([("cluster", pa.binary()), ("block", pa.int64()), ("blocks", pa.int64()), ("node", pa.binary()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 0):
             rest = batch.select(["node", "cluster", "block", "blocks"]).to_pylist()
             found = [s for some in _chunked(raw_bytes(batch.column(0))) for s in shingle_sets(some, rule.words)]
             yield _rows([{**r, "shingles": s.tobytes()} for r, s in zip(rest, found, strict=True)], schema)
@@ -412,28 +548,23 @@ def _sets(docs: DataFrame, chosen: DataFrame, rule: Rule, text: str) -> DataFram
 def classes(docs: DataFrame, rule: Rule, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Features of every row (doc_id, key, node, n), and the root of each node that has a link (node, root)."""
     prepare(docs.sparkSession)
-    rows = features(docs, rule, text).checkpoint()
-    nodes = rows.filter("orders IS NOT NULL").select("node", "signature", "orders").dropDuplicates(["node"]).checkpoint()
-    pairs = neighbours(nodes.select("node", "orders"), rule.least_depth)
-    clusters = components(agreeing(pairs, nodes, rule.percent / 100 - SLACK)).select("node", F.col("root").alias("cluster"))
+    rows = stored(features(docs, rule, text))
+    nodes = stored(rows.filter("orders IS NOT NULL").select("node", "signature", "orders").dropDuplicates(["node"]))
+    clusters = components(neighbours(nodes, rule)).select("node", F.col("root").alias("cluster"))
     known = rows.filter("node IS NOT NULL").groupBy("node").agg(_first_row().alias("rep"), F.first("n").alias("n"))
-    chosen = clusters.join(known, "node")
-    sizes = chosen.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    )
-    chosen = chosen.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).drop("n")
+    chosen = stored(dealt_blocks(clusters.join(known, "node"), rule.percent))
     sets = _sets(docs, chosen, rule, text).dropDuplicates(["cluster", "block", "node"]) if _repeats(rows) else _sets(docs, chosen, rule, text)
-    labelled = label_blocks(sets, rule.percent).checkpoint()
+    labelled = stored(label_blocks(sets, rule.percent))
     roots = labelled.filter("node != root").select("node", "root")
     several = labelled.filter("blocks > 1")
     if several.limit(1).count():
         inner = several.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        links = visits(several, several.filter("central"), rule.percent).checkpoint()
+        links = stored(visits(several, several.filter("central"), rule.percent))
         now = components(inner.unionByName(links))
         named = several.join(now.withColumnRenamed("root", "now"), "node")
         largest = named.groupBy("cluster", "now").count().groupBy("cluster").agg(F.max_by("now", F.struct("count", "now")).alias("largest"))
         outside = named.join(largest, "cluster").filter("now != largest").select(several.columns)
-        links = links.unionByName(visits(several, outside, rule.percent)).checkpoint()
+        links = links.unionByName(visits(several, outside, rule.percent))
         whole = components(inner.unionByName(links)).filter("node != root")
         roots = labelled.filter("blocks = 1 AND node != root").select("node", "root").unionByName(whole.select("node", "root"))
     return rows.select("doc_id", "key", "node", "n"), roots
@@ -474,7 +605,7 @@ def deduplicate(docs: DataFrame, rule: Rule | None = None, text: str = "text") -
     of_root = of_node.groupBy("root").agg(F.min("low").alias("first"))
     stays = of_node.join(of_root, "root").select("node", "first")
     other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("key").eqNullSafe(F.col("first.key")))
-    gone = named.join(stays, "node").filter(other).select("doc_id", "key").distinct().checkpoint()
+    gone = named.join(stays, "node").filter(other).select("doc_id", "key").distinct()
     same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & text_key(F.col(f"d.{text}")).eqNullSafe(F.col("g.key"))
     left = docs.alias("d").join(gone.alias("g"), same, "left_anti")
     return left.dropDuplicates(["doc_id", text]) if _repeats(rows) else left
