@@ -28,12 +28,14 @@ def test_whole_run_against_brute_force(spark, folder):
     rows = [(r["doc_id"], r["text"]) for r in docs if any(c.isalpha() for c in r["text"] or "")]
     kept = {d for d, _, c in classes(rows, neardup.Rule()) if d == c}
     rows = [r for r in rows if r[0] in kept]
-    bad = {r[0] for r in leaks(rows, items) if r[-1]}
+    bad = {r[0] for r in leaks(rows, items) if r[2]}
     expected = {d: secrets.redacted(t, secrets.spans_of(t)) for d, t in rows if d not in bad}
     ranks = bpe.read_ranks(public_tokenizers.path(bpe.RANKS))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     found = {r["doc_id"]: r for r in corpus_pipeline.run(spark, folder).collect()}
     assert set(found) == set(expected) and bad
+    # No document that stays holds a whole window of an item.
+    assert not any(r[2] for r in leaks([(d, dict(rows)[d]) for d in found], items))
     for d, text in expected.items():
         assert list(found[d]["tokens"]) == library.encode_ordinary(text)
 
