@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +32,7 @@ def _back(found: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with a language; it is learned from the documents themselves."""
     prepare(spark)
-    path = public_tokenizers.path(language.VOCABULARY)
+    path = language.VOCABULARY
     model = language.fit(docs.select("doc_id", "text", "lang").filter(language.teaches()), path)
     names = ["lang_pred", "lang_score"]
     found = language.identify(_apart(docs, names), model, path)
@@ -63,7 +62,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with the digests of the ids and of the bytes decoded from them."""
-    return bpe.round_trip(docs, public_tokenizers.path(bpe.RANKS), with_tokens=True)
+    return bpe.round_trip(docs, bpe.RANKS, with_tokens=True)
 
 
 STAGES = [

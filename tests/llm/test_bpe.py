@@ -119,3 +119,14 @@ def test_query_and_defined_cases(spark, library, sf):
     for r in bpe.op5_byte_level_bpe(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").collect():
         ids = library.encode_ordinary(r["text"] or "")
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())
+
+
+def test_pieces_of_one_pattern_stay_apart(spark):
+    """Words that polynomial hashes modulo 2**64 confuse: each keeps its own tokens."""
+    words = ["".join("ba"[bin(i).count("1") & 1 ^ flip] for i in range(n)) for n in (1024, 2048, 4096) for flip in (0, 1)]
+    docs = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "doc_id long, text string").coalesce(1)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+    found = {r["doc_id"]: r for r in bpe.round_trip(docs, bpe.RANKS, with_tokens=True).collect()}
+    for k, word in enumerate(words):
+        assert list(found[k]["tokens"]) == library.encode_ordinary(word)
+        assert found[k]["decoded_sha256"] == hashlib.sha256(word.encode()).hexdigest()

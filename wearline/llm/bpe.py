@@ -13,8 +13,13 @@ of bounded size; a full table is dropped and grows anew, which changes no result
 Decoding. Tokens are put together while an incremental UTF-8 machine reads them; its table has one
 step for each (state, token), so that text can be given out up to the last complete character.
 
-Defined cases: a null text is empty; an empty text has no tokens; rows are independent, so repeated
-rows give repeated results; an empty table gives no row; only the columns doc_id and text are read.
+What a worker remembers of pieces is kept under the pieces themselves, up to a number of them and of
+their characters; pieces are equal only if all their characters are.
+
+Defined cases: a null text is empty; an empty text has no tokens; very long texts go through in parts
+that end at a border of pieces, and a very long piece goes through the transducer byte by byte; of ties
+between merges the leftmost goes first; rows are independent, so repeated rows give repeated results;
+an empty table gives no row; only the columns doc_id and text are read, whatever others are named.
 A piece that is itself a token is that token, as the tiktoken library has it.
 """
 
@@ -24,6 +29,7 @@ import base64
 import functools
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -31,14 +37,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import extended, held, prepare, table, texts
-from .spans import SpanHash, code_points, cut_text, offsets_of, ragged
+from .common import bounded, extended, held, prepare, table, texts, vocabulary_file
+from .spans import code_points, cut_text, offsets_of, ragged
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 #: Entries of the transition tables and of the memo of whole pieces, per worker.
 MAX_TRANSITIONS = 500_000
 MAX_PIECES = 400_000
+MAX_PIECE_CHARS = 8_000_000
+#: A longer piece is encoded anew each time.
+MAX_PIECE = 256
 #: Code points that are cut into pieces together.
 CHUNK_CHARS = 2_000_000
 
@@ -381,6 +390,26 @@ def pieces_of(points: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mark)
 
 
+class _Pieces(dict):
+    """Pieces to their tokens, filled when first asked for."""
+
+    def __init__(self, encode: Callable[[bytes], list[int]]) -> None:
+        self.encode = encode
+        self.chars = 0
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = tuple(self.encode(piece.encode("utf-8", "surrogatepass")))
+        if len(piece) <= MAX_PIECE:
+            self[piece] = ids
+            self.chars += len(piece)
+        return ids
+
+    def trim(self, pieces: int, chars: int = MAX_PIECE_CHARS) -> None:
+        if len(self) > pieces or self.chars > chars:
+            self.clear()
+            self.chars = 0
+
+
 class Codec:
     """Texts to token ids and back, many at a time."""
 
@@ -390,7 +419,7 @@ class Codec:
         self.decoder = Utf8Decoder(self.transducer.bytes_of)
         self.split: Callable | None = None if pattern == KNOWN_PATTERN else regex.compile(pattern).finditer
         self.max_pieces = max_pieces
-        self.memo: dict[int, tuple[int, ...]] = {}
+        self.memo = _Pieces(self.transducer.encode)
         top = max(self.ranks.values()) + 1
         lengths = np.zeros(top, dtype=np.int64)
         for token, rank in self.ranks.items():
@@ -423,23 +452,12 @@ class Codec:
         points = code_points(text)
         filled = at[:-1][np.diff(at) > 0]
         starts = self._starts(text, points, filled, np.append(filled[1:], len(text)))
-        ends = np.append(starts[1:], len(text))
-        keys, where, inverse = np.unique(SpanHash(points)(starts, ends), return_index=True, return_inverse=True)
-        if len(self.memo) > self.max_pieces:
-            self.memo.clear()
-        get, encode, memo = self.memo.get, self.transducer.encode, self.memo
-        flat: list[int] = []
-        lengths = []
-        for key, s, e in zip(keys.tolist(), starts[where].tolist(), ends[where].tolist(), strict=True):
-            ids = get(key)
-            if ids is None:
-                ids = memo[key] = tuple(encode(text[s:e].encode("utf-8", "surrogatepass")))
-            flat += ids
-            lengths.append(len(ids))
-        begin = offsets_of(lengths)
-        counts = np.diff(begin)[inverse]
-        tokens = np.array(flat, dtype=np.int64)[ragged(begin[:-1][inverse], counts)]
+        bounds = [*starts.tolist(), len(text)]
+        self.memo.trim(self.max_pieces)
+        found = [self.memo[text[i:j]] for i, j in pairwise(bounds)]
+        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         upto = offsets_of(counts)
+        tokens = np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(upto[-1]))
         return tokens, upto[np.searchsorted(starts, at)]
 
     def decode(self, tokens: np.ndarray) -> bytes:
@@ -456,7 +474,8 @@ class Codec:
 
 
 def codec(path: str, pattern: str) -> Codec:
-    return held(f"bpe:{path}:{pattern}", lambda: Codec(path, pattern))
+    """A worker's codec; a name without a folder is looked up where the worker runs."""
+    return held(f"bpe:{path}:{pattern}", lambda: Codec(vocabulary_file(path), pattern))
 
 
 def chunks(batch: list[str], limit: int = CHUNK_CHARS) -> Iterator[list[str]]:
@@ -481,7 +500,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
+        for batch in bounded(batches, k):
             parts, lengths = [np.zeros(0, dtype=np.int64)], []
             for some in chunks(texts(batch.column(k))):
                 tokens, at = own.encode(some)
@@ -500,7 +519,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
+        for batch in bounded(batches, 1):
             rows: list[tuple[int, str, str, bool]] = []
             parts = [np.zeros(0, dtype=np.int64)]
             for some in chunks(texts(batch.column(1))):
@@ -526,7 +545,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATT
 
 
 def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+    return round_trip(table(spark, sf_dir, "documents"), RANKS)
 
 
 QUERIES = {"op5_byte_level_bpe": op5_byte_level_bpe}

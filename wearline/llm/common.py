@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +68,11 @@ def held(key: str, make: Callable[[], Held]) -> Held:
     return _HELD[key]
 
 
+def vocabulary_file(name: str) -> str:
+    """The file of a public vocabulary on this machine; a path is taken as it is."""
+    return name if os.sep in name else public_tokenizers.path(name)
+
+
 def raw_bytes(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow string column as UTF-8 bytes; null as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -4,47 +4,50 @@ Each language has probabilities of the pieces of a fixed public vocabulary. A wo
 the sum over all its segmentations into pieces, by the forward algorithm; a text's is the product
 over its words (runs of letters, lower-cased, with the vocabulary's word mark in front). Piece
 probabilities come from expected counts (forward-backward, a few rounds) over the words of a bounded
-sample: about ``max_docs`` texts a language, chosen by a hash of the id.
+sample: of each language the first ``MAX_DOCS`` texts in the order of a hash of the id, as far as they
+stay within ``MAX_FIT_BYTES`` together.
 
-Texts are scored whole. Many texts are cut into words at once, and each distinct word of such a
-batch goes through the forward algorithm once, all words side by side. Words beyond ``MAX_WORD``
-letters are cut there (every part is scored), so a "word" of a million letters costs no more than
-others.
+Texts are scored whole, with all lower-case letter pieces of the vocabulary and words of any length.
+Many texts are cut into words at once, and each distinct word of such a batch goes through the forward
+algorithm once, all words side by side; those beyond ``LONG`` letters go through it one by one, in time
+proportional to their length.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so is every text
-where no language could be learned; ties go to the first language by name; rows with a null lang
-teach nothing; a null doc_id is scored, not held out, and teaches nothing; repeated rows give
-repeated results; empty tables give no row; other columns stay.
+where no language could be learned; very long texts go through in parts that end between words; ties
+go to the first language by name; rows with a null lang teach nothing; a null doc_id is scored, not held
+out, and teaches nothing; repeated rows give repeated results, and teach once each, within the bound;
+empty tables give no row; other columns stay.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import chunks
-from .common import extended, gathered, held, id_crc, prepare, table, texts
+from .common import bounded, extended, gathered, held, id_crc, prepare, table, texts, vocabulary_file
 from .spans import SpanHash, code_points, cut_text, offsets_of
 
 VOCABULARY = "piece_bpe_32k.model"
 UNDETERMINED = "und"
-#: Texts of a language that are used to fit, about.
+#: Texts of a language that are used to fit at most, and their bytes.
 MAX_DOCS = 400
-#: Letters of a word that are scored together, and of a piece.
-MAX_WORD = 48
-MAX_PIECE = 8
+MAX_FIT_BYTES = 8 << 20
+#: Letters of a word from which on it goes through the lattice alone.
+LONG = 48
 ROUNDS = 3
 #: Words whose log probabilities a task remembers.
 MAX_MEMO = 400_000
+MAX_MEMO_CHARS = 8_000_000
 BATCH_BYTES = 2 << 20
 BATCH_CHARS = 2_000_000
 _MARK = 0x2581
@@ -63,9 +66,10 @@ class Vocabulary:
             if model.is_control(i) or model.is_unknown(i) or model.is_byte(i):
                 continue
             letters = piece.removeprefix(chr(_MARK))
-            if (letters.isalpha() or not letters) and letters.lower() == letters and len(piece) <= MAX_PIECE:
+            if (letters.isalpha() or not letters) and letters.lower() == letters:
                 pieces.append(piece)
         self.pieces = pieces
+        self.longest = max(map(len, pieces))
         at = offsets_of([len(p) for p in pieces])
         self.keys = SpanHash(code_points("".join(pieces)))(at[:-1], at[1:])
         #: One more: a letter that is no piece; and one that stands for "no such piece".
@@ -116,7 +120,7 @@ def _letters() -> np.ndarray:
 class Words(NamedTuple):
     """The distinct words of a batch as one sequence of code points, and where each text has them."""
 
-    keys: np.ndarray
+    words: list[str]
     symbols: np.ndarray
     starts: np.ndarray
     lengths: np.ndarray
@@ -124,54 +128,66 @@ class Words(NamedTuple):
     inverse: np.ndarray
     docs: np.ndarray
 
+    @classmethod
+    def of(cls, words: list[str], inverse: np.ndarray, docs: np.ndarray) -> Words:
+        lengths = np.array([len(w) + 1 for w in words], dtype=np.int64)
+        symbols = code_points("".join(chr(_MARK) + w for w in words))
+        return cls(words, symbols, offsets_of(lengths)[:-1], lengths, inverse, docs)
+
+    def only(self, which: np.ndarray) -> Words:
+        """Some of the distinct words."""
+        return Words.of([self.words[i] for i in which.tolist()], self.inverse, self.docs)
+
 
 def words_of(batch: list[str]) -> Words:
     low = [t.lower() for t in batch]
-    at = offsets_of([len(t) + 1 for t in low])
-    # A mark before each text: no letter, so it ends words and gives the first letter room for its own mark.
-    points = code_points("\n" + "\n".join(low) + "\n")
-    letter = _letters()[points]
+    whole = "\n".join(["", *low, ""])
+    letter = _letters()[code_points(whole)]
     starts = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
     ends = np.flatnonzero(letter[:-1] & ~letter[1:]) + 1
-    if len(starts) and (ends - starts).max() > MAX_WORD:
-        parts = -(-(ends - starts) // MAX_WORD)
-        index = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        last = np.repeat(ends, parts)
-        starts = np.repeat(starts, parts) + index * MAX_WORD
-        ends = np.minimum(starts + MAX_WORD, last)
-    keys = SpanHash(points)(starts, ends)
-    keys, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    lengths = (ends - starts)[where] + 1
-    own = offsets_of(lengths)
-    symbols = np.empty(int(own[-1]), dtype=np.uint32)
-    take = np.arange(len(symbols)) - np.repeat(own[:-1], lengths) + np.repeat(starts[where] - 1, lengths)
-    symbols[:] = points[take]
-    symbols[own[:-1]] = _MARK
-    return Words(keys, symbols, own[:-1], lengths, inverse, np.searchsorted(starts, at))
+    index: dict[str, int] = {}
+    inverse = np.fromiter((index.setdefault(whole[i:j], len(index)) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)), dtype=np.int64, count=len(starts))
+    # A line feed stands before each text.
+    return Words.of(list(index), inverse, np.searchsorted(starts, offsets_of([len(t) + 1 for t in low])))
 
 
 class Lattice:
-    """All segmentations of words into pieces; words are held longest first."""
+    """All segmentations of words into pieces; words are held longest first, the first ones each alone."""
 
     def __init__(self, words: Words, known: Vocabulary) -> None:
         self.order = np.argsort(-words.lengths, kind="stable")
-        self.starts, self.lengths = words.starts[self.order], words.lengths[self.order]
+        starts, lengths = words.starts[self.order], words.lengths[self.order]
         self.known = known
         self.hash = SpanHash(words.symbols)
+        self.alone = int(np.searchsorted(-lengths, -LONG, side="left"))
+        self.single = list(zip(starts[: self.alone].tolist(), lengths[: self.alone].tolist(), strict=True))
+        self.starts, self.lengths = starts[self.alone :], lengths[self.alone :]
         self.longest = int(self.lengths[0]) if len(self.lengths) else 0
 
     def pieces(self, end: int, size: int) -> np.ndarray:
         """For each word of at least ``end`` symbols, the piece of ``size`` symbols that ends there."""
         n = self.active(end)
-        stop = self.starts[:n] + end
+        return self._found(self.starts[:n] + end, size)
+
+    def _found(self, stop: np.ndarray, size: int) -> np.ndarray:
         found = self.known.find(self.hash(stop - size, stop))
-        if size == 1:
-            found = np.where(found == self.known.none, self.known.unknown, found)
-        return found
+        return np.where(found == self.known.none, self.known.unknown, found) if size == 1 else found
 
     def active(self, end: int) -> int:
         return int(np.searchsorted(-self.lengths, -end, side="right"))
 
+    def arcs(self, start: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The lattice of one word: where each piece in it begins and ends, and which it is, by end."""
+        found = []
+        for size in range(1, min(self.known.longest, length) + 1):
+            ends = np.arange(size, length + 1)
+            piece = self._found(start + ends, size)
+            there = np.flatnonzero(piece != self.known.none)
+            found.append(np.stack([ends[there] - size, ends[there], piece[there]]))
+        begin, end, piece = np.concatenate(found, axis=1)
+        order = np.argsort(end, kind="stable")
+        return begin[order], end[order], piece[order]
+
     def forward(self, probability: np.ndarray) -> np.ndarray:
         """Log probability of each word (in the caller's order) under each column of (pieces + 2, languages)."""
         n, k = len(self.lengths), probability.shape[1]
@@ -181,9 +197,14 @@ class Lattice:
         for end in range(1, self.longest + 1):
             active = self.active(end)
             total = np.zeros((active, k))
-            for size in range(1, min(end, MAX_PIECE) + 1):
-                total += ring[-size][:active] * probability[self.pieces(end, size)]
-            ring = [*ring[-(MAX_PIECE - 1) :], total]
+            for size in range(1, min(end, self.known.longest) + 1):
+                found = self.pieces(end, size)
+                there = np.flatnonzero(found != self.known.none)
+                if 2 * len(there) > active:
+                    total += ring[-size][:active] * probability[found]
+                elif len(there):
+                    total[there] += ring[-size][there] * probability[found[there]]
+            ring = [*ring[-(self.known.longest - 1) :], total]
             if end % 8 == 0:
                 # Far from underflow again: what was divided out goes to the logarithms.
                 most = np.maximum.reduce([r[:active] for r in ring])
@@ -191,56 +212,86 @@ class Lattice:
                 ring = [r[:active] / most for r in ring]
             done = self.active(end + 1)
             out[done:active] = np.log(ring[-1][done:active]) + logs[done:active]
-        back = np.empty_like(out)
-        back[self.order] = out
+        back = np.empty((len(self.order), k))
+        back[self.order[self.alone :]] = out
+        if self.single:
+            with np.errstate(divide="ignore"):
+                weights = np.log(probability)
+            for place, (start, length) in zip(self.order[: self.alone].tolist(), self.single, strict=True):
+                begin, end, piece = self.arcs(start, length)
+                back[place] = [_chain(begin, end, weights[piece, c], length)[-1] for c in range(k)]
         return back
 
     def expected(self, probability: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece by words with these counts (in the caller's order)."""
-        n, counts = len(self.lengths), counts[self.order].astype(float)
+        counts = counts[self.order].astype(float)
+        out = np.zeros(len(probability))
+        with np.errstate(divide="ignore"):
+            weights = np.log(probability)
+        for times, (start, length) in zip(counts[: self.alone].tolist(), self.single, strict=True):
+            begin, end, piece = self.arcs(start, length)
+            ahead = _chain(begin, end, weights[piece], length)
+            behind = _chain(length - end[::-1], length - begin[::-1], weights[piece[::-1]], length)[::-1]
+            uses = times * np.exp(ahead[begin] + weights[piece] + behind[end] - ahead[-1])
+            out += np.bincount(piece, weights=uses, minlength=len(out))
+        n, counts = len(self.lengths), counts[self.alone :]
         alpha = [np.ones(n)]
         used = []
         for end in range(1, self.longest + 1):
             active = self.active(end)
             total = np.zeros(active)
-            for size in range(1, min(end, MAX_PIECE) + 1):
+            for size in range(1, min(end, self.known.longest) + 1):
                 found = self.pieces(end, size)
-                used.append((end, size, found))
-                total += alpha[end - size][:active] * probability[found]
+                there = np.flatnonzero(found != self.known.none)
+                if len(there):
+                    used.append((end, size, there, found[there]))
+                    total[there] += alpha[end - size][there] * probability[found[there]]
             alpha.append(total)
         whole = np.concatenate([alpha[e][self.active(e + 1) : self.active(e)] for e in range(self.longest, 0, -1)]) if n else np.zeros(0)
         share = counts / np.maximum(whole, 1e-300)
         beta = [np.zeros(len(a)) for a in alpha]
         for e in range(1, self.longest + 1):
             beta[e][self.active(e + 1) : self.active(e)] = 1.0
-        out = np.zeros(len(probability))
-        for end, size, found in reversed(used):
-            flow = probability[found] * beta[end]
-            beta[end - size][: len(found)] += flow
-            out += np.bincount(found, weights=alpha[end - size][: len(found)] * flow * share[: len(found)], minlength=len(out))
+        for end, size, there, found in reversed(used):
+            flow = probability[found] * beta[end][there]
+            beta[end - size][there] += flow
+            out += np.bincount(found, weights=alpha[end - size][there] * flow * share[there], minlength=len(out))
         return out
 
 
+def _chain(begin: np.ndarray, end: np.ndarray, weights: np.ndarray, length: int) -> np.ndarray:
+    """Log sums over all paths from 0 to each place; arcs are in the order of their ends, and each place has one."""
+    order = np.argsort(end, kind="stable")
+    first = np.searchsorted(end[order], np.arange(1, length + 2)).tolist()
+    begin, weights = begin[order].tolist(), weights[order].tolist()
+    out = [0.0] * (length + 1)
+    exp, log = math.exp, math.log
+    for e in range(1, length + 1):
+        terms = [out[begin[j]] + weights[j] for j in range(first[e - 1], first[e])]
+        most = max(terms)
+        out[e] = most + log(sum([exp(t - most) for t in terms])) if most > -math.inf else most
+    return np.array(out)
+
+
 class Model(NamedTuple):
     languages: tuple[str, ...]
     #: (pieces + 2, languages); the last row, for "no such piece", is 0.
     probability: np.ndarray
 
 
-def fit_texts(by_language: dict[str, list[str]], known: Vocabulary, rounds: int = ROUNDS, longest: int = 24) -> Model:
-    """Piece probabilities by expected counts; words beyond ``longest`` symbols do not teach."""
+def fit_texts(by_language: dict[str, list[str]], known: Vocabulary, rounds: int = ROUNDS) -> Model:
+    """Piece probabilities by expected counts."""
     columns, names = [], []
     for name in sorted(by_language):
         words = words_of(by_language[name])
         if not len(words.lengths):
             continue
         counts = np.bincount(words.inverse, minlength=len(words.lengths))
-        keep = words.lengths <= longest
-        lattice = Lattice(words._replace(starts=words.starts[keep], lengths=words.lengths[keep]), known)
+        lattice = Lattice(words, known)
         p = np.full(known.none + 1, 1.0 / known.none)
         p[known.none] = 0.0
         for _ in range(rounds):
-            uses = lattice.expected(p, counts[keep])
+            uses = lattice.expected(p, counts)
             # A unit spread over all pieces: none is impossible, and an unknown letter is as rare as the rarest.
             p = (uses + 1.0 / known.none) / (uses.sum() + 1.0)
             p[known.none] = 0.0
@@ -249,18 +300,19 @@ def fit_texts(by_language: dict[str, list[str]], known: Vocabulary, rounds: int
     return Model(tuple(names), np.stack(columns, axis=1) if columns else np.zeros((known.none + 1, 0)))
 
 
-def fit(rows: DataFrame, path: str, max_docs: int = MAX_DOCS) -> Model:
-    """Fit on about ``max_docs`` texts of each language of ``rows`` (doc_id, text, lang)."""
+def fit(rows: DataFrame, path: str, max_docs: int = MAX_DOCS, max_bytes: int = MAX_FIT_BYTES) -> Model:
+    """Fit on the first ``max_docs`` texts of each language of ``rows`` (doc_id, text, lang) in the order of a hash, within ``max_bytes``."""
     rows = rows.filter("lang IS NOT NULL AND doc_id IS NOT NULL")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, max_docs / n))).otherwise(share)
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(_SLOTS)) < share * _SLOTS)
+    slot = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(_SLOTS))
+    # The share of a language's rows that surely holds so many: the rest need not be sorted.
+    share = F.least(F.lit(1.0), 2.0 * max_docs / F.col("n") + 20.0 / F.col("n"))
+    some = rows.withColumn("slot", slot).join(F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("n"))), "lang").filter(F.col("slot") < share * _SLOTS)
+    order = Window.partitionBy("lang").orderBy("slot", "doc_id", F.md5("text"))
+    ranked = some.select("lang", "text", F.row_number().over(order).alias("k"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("bytes"))
     by_language: dict[str, list[str]] = {}
-    for row in sorted(chosen.select("lang", "text").collect(), key=lambda r: (r[0], r[1] or "")):
-        by_language.setdefault(row[0], []).append(row[1] or "")
-    return fit_texts(by_language, vocabulary(path))
+    for row in ranked.filter((F.col("k") <= max_docs) & (F.col("bytes") <= max_bytes)).select("lang", "k", "text").sort("lang", "k").collect():
+        by_language.setdefault(row[0], []).append(row[2] or "")
+    return fit_texts(by_language, vocabulary(vocabulary_file(path)))
 
 
 class Scorer:
@@ -268,19 +320,20 @@ class Scorer:
 
     def __init__(self, model: Model, known: Vocabulary, max_words: int = MAX_MEMO) -> None:
         self.model, self.known, self.max_words = model, known, max_words
-        self.rows: dict[int, int] = {}
+        self.rows: dict[str, int] = {}
+        self.chars = 0
         self.values = np.empty((1 << 12, len(model.languages)))
 
     def __call__(self, words: Words) -> np.ndarray:
         """A row for each distinct word."""
-        if len(self.rows) > self.max_words:
+        if len(self.rows) > self.max_words or self.chars > MAX_MEMO_CHARS:
             self.rows.clear()
+            self.chars = 0
         get = self.rows.get
-        keys = words.keys.tolist()
-        at = np.array([get(k, -1) for k in keys], dtype=np.int64)
+        at = np.array([get(w, -1) for w in words.words], dtype=np.int64)
         new = np.flatnonzero(at < 0)
         if len(new):
-            own = words._replace(starts=words.starts[new], lengths=words.lengths[new])
+            own = words.only(new)
             first = len(self.rows)
             at[new] = np.arange(first, first + len(new))
             if first + len(new) > len(self.values):
@@ -288,13 +341,14 @@ class Scorer:
                 bigger[:first] = self.values[:first]
                 self.values = bigger
             self.values[first : first + len(new)] = Lattice(own, self.known).forward(self.model.probability)
-            self.rows.update(zip(words.keys[new].tolist(), at[new].tolist(), strict=True))
+            self.rows.update(zip(own.words, at[new].tolist(), strict=True))
+            self.chars += len(own.symbols)
         return self.values[at]
 
 
 def _scorer(model: Model, path: str) -> Scorer:
     """A worker keeps the scorer of the last model from task to task."""
-    return held(f"language:{path}:{hash(model.languages)}:{hash(model.probability.tobytes())}", lambda: Scorer(model, vocabulary(path)))
+    return held(f"language:{path}:{hash(model.languages)}:{hash(model.probability.tobytes())}", lambda: Scorer(model, vocabulary(vocabulary_file(path))))
 
 
 #: Where a long text may be cut: after a character that is no letter.
@@ -339,7 +393,7 @@ def identify(docs: DataFrame, model: Model, path: str, text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared.value, path)
-        for batch in gathered(batches, k, BATCH_BYTES):
+        for batch in gathered(bounded(batches, k), k, BATCH_BYTES):
             names: list[str] = []
             scores: list[float] = []
             for some in chunks(texts(batch.column(k)), BATCH_CHARS):
@@ -358,7 +412,7 @@ def teaches() -> Column:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    path = public_tokenizers.path(VOCABULARY)
+    path = VOCABULARY
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.select("doc_id", "text", "lang").filter(teaches()), path)
     found = identify(docs.select("doc_id", "text"), model, path)
