@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as references
 import re
+import time
 
 import pytest
 
@@ -68,3 +69,34 @@ def test_table_cases(spark):
     found = {(r["page_id"], r["html"] is None): r["text"] for r in html.extract(own).collect()}
     assert found[None, False] == "x" and found[1, True] == found[1, False] == "" and found[2, False] == "\n".join(["word"] * 30_000)
     assert html.extract(own.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["div", "section"])
+def test_pages_without_article_element(sf, name, spark):
+    """The curve finds the same text where nothing but weights can tell."""
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        renamed = re.sub(r"(</?)article>", rf"\1{name}>", r["html"])
+        assert html.main_text(renamed) == html.main_text(r["html"]), r["page_id"]
+
+
+@pytest.mark.parametrize("tag", ['<p style="overflow:hidden">', '<p aria-hidden="false">', '<p data-role="dialog">', '<p title="no hidden fees">', '<section id="social-contract">', '<p class="search-history">', '<h2 id="related-work">', '<p id="comments">'])
+def test_attributes_are_read_as_attributes(tag):
+    name = re.match(r"<(\w+)", tag)[1]
+    assert html.main_text(f"<article>{tag}Some text of the article.</{name}><p>More.</p></article>") == "Some text of the article.\nMore."
+
+
+def test_what_names_a_side_part_inside_an_article():
+    for tag in ('<div class="related-posts">', '<div id="share-buttons">', '<div hidden>', '<div role="dialog">', '<div class="comment-list">'):
+        assert html.main_text(f"<article><p>Text here.</p>{tag}<p>Not this, though it is long enough.</p></div></article>") == "Text here."
+
+
+@pytest.mark.parametrize("unit", ["<p ", "<p '", '<p "<p \'', "<!--", "<script>", "<a href=x", "<", "<p>x", "<!", "</", "<div>", "</div>", "<p class='a b'>"])
+def test_time_follows_length(unit):
+    def seconds(n):
+        page = unit * (n // len(unit))
+        began = time.perf_counter()
+        html.main_text(page)
+        return time.perf_counter() - began
+
+    small, large = min(seconds(250_000) for _ in range(2)), min(seconds(1_000_000) for _ in range(2))
+    assert large < max(0.5, 8 * small) and large < 6

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import random
 
 import numpy as np
@@ -69,3 +70,46 @@ def test_table_cases(spark, sf):
     assert len(result) == len(docs)
     for r in result:
         assert ("CC-BY-NC-4.0" in r["licenses"]) == ("Licensed under CC BY-NC 4.0." in docs[r["doc_id"]])
+
+
+def test_versions_are_told_apart():
+    own = licenses.Scanner()
+    names = lambda t: [m.license for m in own.matches(licenses.words_of(t.encode()))]
+    assert names("It is licensed under the GNU General Public License, version 2 here") == ["GPL-2.0"]
+    assert names("It is licensed under the GNU General Public License, version 3 here") == ["GPL-3.0"]
+    assert names("It is licensed under the GNU General Public License, version 1 here") == []
+    assert names("All rights reserved.") == ["rights-reserved"]
+
+
+def test_time_follows_length():
+    own = licenses.Scanner()
+
+    def seconds(n):
+        words = licenses.words_of(("Licensed under the MIT License and more words here " * n).encode())
+        began = time.perf_counter()
+        assert len(own.matches(words)) == n
+        return time.perf_counter() - began
+
+    small, large = seconds(2000), seconds(8000)
+    assert large < max(0.5, 8 * small)
+
+
+def test_query_against_alignment_of_everything(spark, sf):
+    """Fingerprints lose nothing: each template aligned with each window of each text finds the same licenses."""
+    own = licenses.Scanner()
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    found = {r["doc_id"]: r for r in licenses.op8_license_scan(spark, sf).collect()}
+    assert len(found) == len(rows)
+    for row in rows:
+        words = licenses.words_of((row["text"] or "").encode())
+        expected = set()
+        ids = [own.ids.get(w, 0) for w in words]
+        for t, sequence in enumerate(own.sequences):
+            template = sequence.tolist()
+            # Short templates occur whole or with a word or two changed: compared at every place, word by word.
+            for at in range(len(ids) - len(template) + 1):
+                if template[0] in ids[at : at + 2] and sum(a == b for a, b in zip(ids[at:], template, strict=False)) == len(template):
+                    expected.add(own.names[t])
+        assert expected <= set(filter(None, found[row["doc_id"]]["licenses"].split(",")))
+        if not expected:
+            assert found[row["doc_id"]]["coverage"] < 1.0

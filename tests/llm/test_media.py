@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import gzip
 import hashlib
 import io
@@ -46,11 +47,26 @@ def ogg():
 
 
 def pdf():
-    return b"%PDF-1.4\n1 0 obj\nstartxref\n9\n%%EOF"
+    return b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\nstartxref\n9\n%%EOF"
 
 
 def flac():
-    return b"fLaC\x80\0\0\x22" + b"\0" * 34 + b"frames"
+    """Two frames of 192 equal 8-bit samples each."""
+    def crc(data, polynomial, bits):
+        value = 0
+        for bit in "".join(f"{b:08b}" for b in data) + "0" * bits:
+            top = value >> (bits - 1)
+            value = (value << 1 | int(bit)) & ((1 << bits) - 1)
+            value ^= polynomial if top else 0
+        return value.to_bytes(bits // 8, "big")
+
+    info = struct.pack(">HH", 192, 192) + b"\0" * 6 + ((8000 << 44) | (7 << 36) | 384).to_bytes(8, "big") + b"\0" * 16
+    out = b"fLaC\x80\0\0\x22" + info
+    for number in (0, 1):
+        head = bytes((0xFF, 0xF8, 0x10, 0x02, number))
+        frame = head + crc(head, 0x07, 8) + b"\0" + bytes((100 + number,))
+        out += frame + crc(frame, 0x8005, 16)
+    return out
 
 
 ALL = {"image/png": png(), "image/gif": gif(), "application/zip": zipped(), "image/bmp": bmp(), "image/jpeg": jpeg(), "audio/ogg": ogg(), "application/pdf": pdf(), "audio/flac": flac(), "application/gzip": gzip.compress(b"text"), "audio/wav": media.wrap(b"12345678")}
@@ -60,10 +76,9 @@ ALL = {"image/png": png(), "image/gif": gif(), "application/zip": zipped(), "ima
 def test_formats_alone_carved_and_broken(mime):
     blob = ALL[mime]
     assert media.sniff(blob)[0] == mime
-    found = media.sniff(b"junk " + blob + (b"" if mime in ("audio/flac",) else b" tail"))
+    found = media.sniff(b"junk " + blob + b" tail")
     assert found[0] == media.UNKNOWN and media.Found(mime, 5, len(blob)) in found[1]
-    if mime != "audio/flac":
-        assert media.sniff(blob[: len(blob) // 2])[0] == media.UNKNOWN
+    assert media.sniff(blob[: len(blob) // 2])[0] == media.UNKNOWN
 
 
 def test_carving_takes_the_outermost():
@@ -99,3 +114,43 @@ def test_query_and_cases(spark, sf):
     found = sorted((r["n_bytes"], r["payload_bytes"]) for r in media.text_as_media(rows).collect())
     assert found == [(0, 64), (0, 64), (1_000_000, 1_000_000)]
     assert media.text_as_media(rows.limit(0)).count() == 0
+
+
+def test_objects_end_where_they_end():
+    for mime in ("application/pdf", "audio/flac", "application/zip"):
+        one = ALL[mime]
+        two = media.sniff(b"x" + one + b"between" + one + b"after")[1]
+        assert [(f.mime, f.offset, f.length) for f in two if f.mime == mime] == [(mime, 1, len(one)), (mime, 8 + len(one), len(one))]
+    updated = pdf() + b"\n2 0 obj\n<<>>\nendobj\nstartxref\n%d\n%%%%EOF" % (len(pdf()) + 1)
+    assert media.sniff(updated + b" tail " + pdf())[1] == [media.Found("application/pdf", len(updated) + 6, len(pdf()))]
+    assert media.objects(updated)[0].length == len(updated)
+    assert media.sniff(flac()[:-1] + b"\0")[0] == media.UNKNOWN
+
+
+@pytest.mark.parametrize("unit", [b"%PDF-1.4 ", b"PK\3\4", b"%PDF-1.4 startxref\n1\n%%EOF ", b"GIF89a", b"\xff\xd8\xff", b"BM", b"OggS\0"])
+def test_time_follows_length(unit):
+    def seconds(n):
+        blob = unit * (n // len(unit))
+        began = time.perf_counter()
+        media.sniff(blob)
+        return time.perf_counter() - began
+
+    small, large = min(seconds(250_000) for _ in range(2)), min(seconds(1_000_000) for _ in range(2))
+    assert large < max(0.5, 8 * small)
+
+
+def test_query_against_brute_force(spark, sf):
+    """Every column of the query worked out beside it, from the text alone."""
+    from wearline.llm.media import op7_media_columns
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    for r in op7_media_columns(spark, sf).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
+        size = len(payload)
+        file = b"RIFF" + (36 + size).to_bytes(4, "little") + b"WAVEfmt " + bytes.fromhex("1000000001000100401f0000401f000001000800") + b"data" + size.to_bytes(4, "little") + payload
+        assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len(raw), size, len(file))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["media_sha256"] == hashlib.sha256(file).hexdigest()
+        assert r["tail_crc32"] == zlib.crc32(payload[-64:])
+        crossed = sum((a >= 128) != (b >= 128) for a, b in zip(payload, payload[1:], strict=False))
+        assert r["feature"].startswith(f"audio/wav;samples={size};sum={sum(payload)};crossings={crossed};embedded=[")

@@ -101,81 +101,86 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     """Format rows (conv_id, turn, role, text) into one row per conversation.
 
     Returns conv_id, formatted, turns (read back), loss_spans (start and end, in code points, of
-    each assistant text as it stands in ``formatted``), escape_level (0 none, 1 the turns that need
-    it, 2 all) and round_trip (true: what is read back equals the source).
+    each assistant text as it stands in ``formatted``), loss_text (what stands under these spans,
+    unescaped), escape_level (0 none, 1 the turns that need it, 2 all) and round_trip (true: what is
+    read back equals the source).
     """
     source = rows.select(
         "conv_id",
-        "turn",
-        F.coalesce(F.col("role"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        F.struct("turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text")).alias("said"),
     )
-    bare = render_turn(F.col("role"), F.col("text"))
-    alone = F.array(F.struct("role", "text"))
-    safe = F.coalesce(parse(bare) == alone, F.lit(False))
-    full = render_turn(
-        F.when(F.col("role").isin("user", "assistant"), F.col("role")).otherwise(escape(F.col("role"))), escape(F.col("text"))
-    )
-    source = source.withColumn("safe", safe).withColumn("full", full).withColumn("piece", F.when(F.col("safe"), bare).otherwise(F.col("full")))
-    grouped = source.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "safe", "piece", "full"))).alias("t"))
-    grouped = grouped.select(
+    grouped = source.groupBy("conv_id").agg(F.sort_array(F.collect_list("said")).alias("said"))
+    grouped = grouped.select("conv_id", F.transform("said", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("source"))
+    full = lambda x: render_turn(F.when(x["role"].isin("user", "assistant"), x["role"]).otherwise(escape(x["role"])), escape(x["text"]))
+    bare = lambda x: render_turn(x["role"], x["text"])
+    safe = lambda x: F.coalesce(parse(bare(x)) == F.array(x), F.lit(False))
+    pieces = grouped.withColumn("safe", F.transform("source", safe)).select(
         "conv_id",
-        F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("source"),
-        F.array_join(F.transform("t", lambda x: x["piece"]), "").alias("mixed"),
-        F.array_join(F.transform("t", lambda x: x["full"]), "").alias("escaped"),
-        F.exists("t", lambda x: ~x["safe"]).alias("some"),
+        "source",
+        F.array_join(F.zip_with("source", "safe", lambda x, ok: F.when(ok, bare(x)).otherwise(full(x))), "").alias("mixed"),
+        F.exists("safe", lambda ok: ~ok).alias("some"),
     )
     # The conversation as a whole: identical, or escaped throughout.
-    first = grouped.withColumn("read", parse(F.col("mixed"))).withColumn("fits", F.coalesce(F.col("read") == F.col("source"), F.lit(False)))
+    first = pieces.withColumn("fits", F.coalesce(parse(F.col("mixed")) == F.col("source"), F.lit(False)))
     chosen = first.select(
         "conv_id",
         "source",
-        F.when(F.col("fits"), F.col("mixed")).otherwise(F.col("escaped")).alias("formatted"),
+        F.when(F.col("fits"), F.col("mixed")).otherwise(F.array_join(F.transform("source", full), "")).alias("formatted"),
         F.when(F.col("fits"), F.col("some").cast("int")).otherwise(F.lit(2)).alias("escape_level"),
-        F.when(F.col("fits"), F.col("read")).otherwise(parse(F.col("escaped"))).alias("turns"),
-    )
-    return chosen.select(
-        "conv_id",
-        "formatted",
-        "turns",
-        "escape_level",
-        F.coalesce(F.col("turns") == F.col("source"), F.lit(False)).alias("round_trip"),
     )
+    return _masked(chosen.select("conv_id", "formatted", "escape_level", F.coalesce(parse(F.col("formatted")) == F.col("source"), F.lit(False)).alias("round_trip")))
 
 
-def loss_spans(formatted: DataFrame) -> DataFrame:
-    """The loss mask of formatted conversations as rows (conv_id, start, end), ends exclusive.
+def _masked(formatted: DataFrame) -> DataFrame:
+    """Add turns, loss_spans and loss_text to formatted conversations.
 
-    The offsets come from a running sum over the rendered turns, one row each; they count code
-    points of ``formatted`` and cover each assistant text as it stands there, escapes included.
+    A turn becomes a row, so that a running sum of lengths gives its place, and the rows meet again:
+    all by conv_id, as the conversations are already dealt. The mask covers an assistant's turn but
+    for the control strings at its ends; the text under it is cut out of the turn by the mask's offsets.
     """
-    turns = formatted.select("conv_id", F.posexplode(F.regexp_extract_all("formatted", F.lit(_TURN), F.lit(0))).alias("k", "piece"))
+    pieces = F.regexp_extract_all("formatted", F.lit(_TURN), F.lit(0))
+    turns = formatted.select("conv_id", "escape_level", "round_trip", F.posexplode(pieces).alias("k", "piece"))
     order = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     length = F.char_length("piece").cast("long")
-    masked = ~F.startswith("piece", F.lit(OPEN + INST)) & ~F.startswith("piece", F.lit(OPEN + ROLE))
-    ended = turns.withColumn("stop", F.sum(length).over(order)).filter(masked)
-    return ended.select(
+    loss = ~F.startswith("piece", F.lit(OPEN + INST)) & ~F.startswith("piece", F.lit(OPEN + ROLE))
+    begun = turns.withColumn("begin", F.sum(length).over(order) - length)
+    begun = begun.withColumn("start", F.when(loss, F.col("begin") + len(OPEN))).withColumn("end", F.when(loss, F.col("begin") + length - len(CLOSE)))
+    under = F.substring("piece", (F.col("start") - F.col("begin") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    rows = begun.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("k", "piece", "start", "end", under.alias("under")))).alias("t"),
+        F.first("escape_level").alias("escape_level"),
+        F.first("round_trip").alias("round_trip"),
+    )
+    masked = F.filter("t", lambda x: x["start"].isNotNull())
+    return rows.select(
         "conv_id",
-        (F.col("stop") - length + len(OPEN)).alias("start"),
-        (F.col("stop") - len(CLOSE)).alias("end"),
+        F.array_join(F.transform("t", lambda x: x["piece"]), "").alias("formatted"),
+        F.transform("t", lambda x: parse_turn(x["piece"])).alias("turns"),
+        F.transform(masked, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("loss_spans"),
+        F.array_join(F.transform(masked, lambda x: unescape(x["under"])), "").alias("loss_text"),
+        "escape_level",
+        "round_trip",
     )
 
 
+def loss_spans(formatted: DataFrame) -> DataFrame:
+    """The loss mask of formatted conversations as rows (conv_id, start, end), ends exclusive, in code points of ``formatted``."""
+    return formatted.select("conv_id", F.inline("loss_spans"))
+
+
 def _hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """The digest columns, from what the parser read back."""
-    said = F.filter("turns", lambda t: t["role"] == "assistant")
-    loss = F.array_join(F.transform(said, lambda t: t["text"]), "")
+    """The digest columns: of the turns as the parser read them back, and of the text under the loss mask."""
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return formatted.withColumn("loss", loss).select(
+    return formatted.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         _hex(whole).alias("turns_sha256"),
-        F.char_length("loss").cast("long").alias("loss_chars"),
-        _hex(F.col("loss")).alias("loss_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        _hex(F.col("loss_text")).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
         "escape_level",
         "round_trip",

@@ -8,12 +8,16 @@ shift is zero, a bucket chosen by the last words gives the few windows to compar
 Patterns of similar length share a search, so that a short item does not shorten all jumps.
 
 Benchmark items are read in blocks of at most ``MAX_BLOCK_BYTES`` of text (their sum is measured
-first); each block is broadcast once and searched in all documents, and one pass adds to what the
-passes before have found. One block is one scan without any shuffle.
+first); each block is broadcast once and searched in all documents. One block is one scan without any
+shuffle. With more, each scan reads the texts and writes only the documents it has found, by id and
+digest; what the blocks have found meets there, and joins the documents at the end. The corpus itself
+is never written, and one block's windows are in memory at a time.
 
 Defined cases: null, empty and wordless texts have no words, are never hit, and as items have no
-windows; repeated items count once per item_id; a null item_id is written as an empty string;
-repeated documents give repeated rows; empty tables give no row, or no hit; other columns stay.
+windows; very long texts are searched whole; ties (a window of several items) count for each of them;
+repeated items count once per item_id; a null item_id is written as an empty string; repeated documents
+give repeated rows; empty tables give no row, or no hit; other columns stay, those of the added names
+are replaced.
 """
 
 from __future__ import annotations
@@ -21,11 +25,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import held, prepare, raw_bytes, table
+from .common import bounded, extended, held, prepare, raw_bytes, stored, table
 
 WINDOW = 13
 #: Text of the benchmark that is broadcast at once.
@@ -114,35 +118,45 @@ def merged(places: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _FOUND = "n_words long, hit_spans array<struct<start:int,end:int>>, item_ids array<string>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _scan(docs: DataFrame, text: str, items: list[tuple[str, bytes]], window: int, again: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def _scan(docs: DataFrame, text: str, items: Broadcast, window: int, only_hit: bool = False) -> DataFrame:
+    """Add the found columns to the rows; or keep only the rows that are hit."""
     k = docs.columns.index(text)
-    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = items.value
         matcher = held(f"decontaminate:{window}:{hash(tuple(own))}", lambda: Matcher(own, window))
-        for batch in batches:
-            old = batch.columns[-2:] if again else None
-            kept = batch.columns[: -3 if again else None]
-            names = batch.schema.names[: -3 if again else None]
+        for batch in bounded(batches, k):
             n_words, spans, ids = [], [], []
-            for i, raw in enumerate(raw_bytes(batch.column(k))):
+            for raw in raw_bytes(batch.column(k)):
                 words = words_of(raw)
                 places, found = matcher(words)
-                if old is not None:
-                    places += [(x["start"], x["end"]) for x in old[0][i].as_py()]
-                    found |= set(old[1][i].as_py())
                 n_words.append(len(words))
                 spans.append([{"start": s, "end": e} for s, e in merged(places)])
                 ids.append(sorted(found))
-            new = [pa.array(n_words, pa.int64()), pa.array(spans, spans_type), pa.array(ids, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*kept, *new], [*names, "n_words", "hit_spans", "item_ids"])
+            new = [pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(ids, pa.list_(pa.string()))]
+            out = pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "n_words", "hit_spans", "item_ids"])
+            yield out.filter(pa.array([bool(s) for s in spans])) if only_hit else out
 
-    kept = docs.schema.fields[: -3 if again else None]
-    return docs.mapInArrow(run, StructType([*kept, *StructType.fromDDL(_FOUND).fields]))
+    return docs.mapInArrow(run, extended(docs, _FOUND))
+
+
+#: The words of a text, as the matcher takes them (A-Z is lower-cased, so it belongs to them).
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _merged_spans(spans: Column) -> Column:
+    """Sorted spans (start, end) of several blocks as :func:`merged` has them; only documents that are hit have any."""
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+
+    def add(out: Column, x: Column) -> Column:
+        last = F.element_at(out, -1)
+        grown = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
+        return F.when((F.size(out) > 0) & (x["start"] <= F.get(out, F.size(out) - 1)["end"]), grown).otherwise(F.concat(out, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), empty, add)
 
 
 def search_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
@@ -157,14 +171,30 @@ def search_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     items = items.filter(F.col("t").isNotNull())
     size = items.agg(F.coalesce(F.sum(F.octet_length("t") + F.octet_length("i")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // max_block_bytes))
-    out = docs
+    gathered = lambda rows: spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in rows.collect()])
+    if blocks == 1:
+        return _scan(docs, text, gathered(items), window)
+    # Equal texts are hit alike: one row stands for them.
+    narrow = docs.select(F.col(text).alias("text"))
+    found = None
     for block in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
-        rows = [(r[0], bytes(r[1])) for r in own.collect()]
-        out = _scan(out, text, rows, window, again=block > 0)
-        if block + 1 < blocks:
-            out = out.checkpoint()
-    return out
+        own = gathered(items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block))
+        hit = stored(_scan(narrow, "text", own, window, only_hit=True).select(_text_key("text").alias("k"), "hit_spans", "item_ids").dropDuplicates(["k"]))
+        own.destroy()
+        found = hit if found is None else found.unionByName(hit)
+    found = found.groupBy("k").agg(_merged_spans(F.flatten(F.collect_list("hit_spans"))).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    joined = docs.alias("d").join(stored(found).alias("f"), _text_key(f"d.{text}") == F.col("f.k"), "left")
+    words = F.coalesce(F.size(F.regexp_extract_all(F.col(f"d.{text}"), F.lit(_WORD), F.lit(0))), F.lit(0)).cast("long")
+    return joined.select(
+        "d.*",
+        words.alias("n_words"),
+        F.coalesce("f.hit_spans", F.array().cast("array<struct<start:int,end:int>>")).alias("hit_spans"),
+        F.coalesce("f.item_ids", F.array().cast("array<string>")).alias("item_ids"),
+    )
+
+
+def _text_key(text: str) -> Column:
+    return F.unhex(F.sha2(F.col(text).cast("binary"), 256))
 
 
 def n_hit() -> Column:
@@ -190,3 +220,23 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_decontamination": op4_decontamination}
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL = {
+    "op4_decontamination": f"""
+WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_SQL_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS gram
+  FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM windows),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS w FROM documents),
+grams AS (SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS gram FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS t(i)),
+hits AS (SELECT r, i, n, item FROM grams JOIN windows USING (n, gram)),
+places AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, i, n FROM hits) AS h, unnest(range(i, i + n)) AS t(p) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN places USING (r) LEFT JOIN items USING (r)
+"""
+}

@@ -6,10 +6,11 @@ a row with a template thus shares one of them. A text's sequences are looked up
 that templates have); hits of one template on nearby diagonals make a candidate, and the template is
 aligned with the text around them, inside a band of ``BAND`` diagonals on either side, for the most
 matched words in order. A candidate counts if the matched words cover enough of the template and lie
-close together; of overlapping ones the one with more matched words stays.
+close together, and if every number of the template (its version) is among them; of overlapping ones
+the one with more matched words stays.
 
-Defined cases: null and empty texts have no match; a template repeated in a text is reported each
-time; ties between overlapping matches go to the greater coverage, then to the license's name;
+Defined cases: null and empty texts have no match; very long texts are read whole, in time that grows
+with their length; a template repeated in a text is reported each time; ties between overlapping matches go to the greater coverage, then to the license's name;
 repeated rows give repeated results; an empty table gives no row; other columns stay. Spans count
 code points, ends exclusive.
 """
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import extended, prepare, table
+from .common import bounded, extended, prepare, table
 from .decontaminate import words_of
 
 GRAM = 3
@@ -46,17 +47,37 @@ TEMPLATES = (
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so'),
     ("GPL-3.0", "licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MIT", 'The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
     ("GPL-2.0", "licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("rights-reserved", "All rights reserved."),
 )
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -108,6 +129,7 @@ class Scanner:
             for word in sequence:
                 self.ids.setdefault(word, len(self.ids) + 1)
         self.sequences = [np.array([self.ids[w] for w in sequence], dtype=np.int64) for sequence in words]
+        self.numbers = [{self.ids[w] for w in sequence if w.isdigit()} for sequence in words]
         self.base = len(self.ids) + 1
         self.index: dict[int, list[tuple[int, int]]] = {}
         for t, sequence in enumerate(self.sequences):
@@ -166,15 +188,17 @@ class Scanner:
             window = np.concatenate([np.zeros(max(0, -start), dtype=np.int64), window])
             matched, first, last = align(template, window)
             coverage = matched / len(template)
-            if coverage >= COVERAGE and matched >= DENSITY * (last - first + 1):
+            close = coverage >= COVERAGE and matched >= DENSITY * (last - first + 1)
+            if close and self.numbers[t].issubset(window[first : last + 1].tolist()):
                 found.append(Match(self.names[t], start + first, start + last + 1, matched, coverage))
         found.sort(key=lambda m: (-m.matched, -m.coverage, m.license, m.first))
         kept: list[Match] = []
-        taken: list[tuple[int, int]] = []
+        taken = np.zeros(len(words), dtype=bool)
         for match in found:
-            if all(match.last <= a or b <= match.first for a, b in taken):
+            place = taken[match.first : match.last]
+            if not place.any():
                 kept.append(match)
-                taken.append((match.first, match.last))
+                place[:] = True
         return sorted(kept, key=lambda m: m.first)
 
 
@@ -192,7 +216,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scanner(templates)
-        for batch in batches:
+        for batch in bounded(batches, k):
             out = []
             for text in batch.column(k).to_pylist():
                 rows = []

@@ -10,16 +10,20 @@ outermost first, except those inside the outer one's plain samples when that is
 the carved data chunk.
 
 Defined cases: a null text is empty; an empty text is stored as 64 zero bytes; a blob that begins
-with no valid object is ``application/octet-stream``; repeated rows give repeated results; an empty
-table gives no row. Blobs are read whole; a WAV file holds less than 4 GB, a Spark string 2 GB.
+with no valid object is ``application/octet-stream``; of ties, objects with one offset, the longest
+comes first and then the first by type; repeated rows give repeated results; an empty table gives no
+row; text_as_media reads no columns but doc_id and its text, sniff_column keeps all but those that it
+adds. Blobs are read whole; a WAV file holds less than 4 GB, a Spark string 2 GB.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -28,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import extended, prepare, raw_bytes, table
+from .common import bounded, extended, prepare, raw_bytes, table
 
 UNKNOWN = "application/octet-stream"
 UNIT = 64
@@ -112,24 +116,66 @@ def _jpeg(b: bytes, at: int) -> int | None:
     return None
 
 
+_TRAILER = re.compile(rb"startxref[\r\n\t ]+(\d{1,10})[\r\n\t ]+%%EOF")
+_TABLE = re.compile(rb"xref|\d{1,10} \d{1,5} obj")
+#: Trailers of PDFs inside a PDF that come before its own first one, at most.
+INNER_TRAILERS = 16
+
+
+class _Once:
+    """What a pattern finds in a blob, for as long as that blob is asked about."""
+
+    def __init__(self, find: Callable[[bytes], object]) -> None:
+        self.find, self.blob, self.found = find, None, None
+
+    def __call__(self, blob: bytes):  # noqa: ANN204
+        if self.blob is not blob:
+            self.blob, self.found = blob, self.find(blob)
+        return self.found
+
+
+_trailers = _Once(lambda b: [(m.start(), m.end(), int(m[1])) for m in _TRAILER.finditer(b)])
+
+
 def _pdf(b: bytes, at: int) -> int | None:
-    """A version, and the last end mark after a start of cross references."""
+    """A version, and trailers whose offset, from the header on, leads to a table of cross references; the last of them ends it."""
     if not b[at + 5 : at + 6].isdigit():
         return None
-    start = b.find(b"startxref", at)
-    end = b.rfind(b"%%EOF", start) if start >= 0 else -1
-    return end + 5 - at if end >= 0 else None
+    found = _trailers(b)
+    k = bisect_left(found, (at,))
+    end, other = None, 0
+    for j in range(k, len(found)):
+        start, stop, offset = found[j]
+        # An update comes after all that it updates.
+        if (end or 0) <= at + offset < start and _TABLE.match(b, at + offset):
+            end = stop
+        elif end is not None or other == INNER_TRAILERS:
+            break
+        else:
+            other += 1
+    return end - at if end else None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    """The end record, whose counts and sizes lead back to the first entry."""
-    end = b.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(b):
+def _zip_ends(b: bytes) -> dict[int, int]:
+    """By the place of its first entry, where an archive ends: its end record leads back to it."""
+    out: dict[int, int] = {}
+    end = b.find(b"PK\x05\x06")
+    while 0 <= end and end + 22 <= len(b):
         size, offset, note = struct.unpack_from("<IIH", b, end + 12)
-        if offset + size == end - at and end + 22 + note <= len(b) and b[at + offset : at + offset + 4] == b"PK\x01\x02":
-            return end + 22 + note - at
+        start = end - size - offset
+        if start >= 0 and end + 22 + note <= len(b) and b[start + offset : start + offset + 4] == b"PK\x01\x02":
+            out.setdefault(start, end + 22 + note)
         end = b.find(b"PK\x05\x06", end + 4)
-    return None
+    return out
+
+
+_zips = _Once(_zip_ends)
+
+
+def _zip(b: bytes, at: int) -> int | None:
+    """The end record, whose counts and sizes lead back to the first entry."""
+    end = _zips(b).get(at)
+    return end - at if end else None
 
 
 def _gzip(b: bytes, at: int) -> int | None:
@@ -170,17 +216,74 @@ def _ogg(b: bytes, at: int) -> int | None:
     return None
 
 
+def _crc_table(polynomial: int, bits: int) -> list[int]:
+    top, mask, out = 1 << (bits - 1), (1 << bits) - 1, []
+    for value in range(256):
+        crc = value << (bits - 8)
+        for _ in range(8):
+            crc = (crc << 1 ^ polynomial if crc & top else crc << 1) & mask
+        out.append(crc)
+    return out
+
+
+#: Checksums of FLAC: of a frame's header (x^8 + x^2 + x + 1) and of the frame (x^16 + x^15 + x^2 + 1).
+_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+#: Samples of a block by its code, where a header does not write them out.
+_BLOCKS = {1: 192, **{k: 576 << (k - 2) for k in range(2, 6)}, **{k: 256 << (k - 8) for k in range(8, 16)}}
+#: A frame whose stream does not tell the greatest size is looked for in so many bytes.
+MAX_FRAME = 1 << 20
+
+
+def _flac_header(b: bytes, p: int) -> tuple[int, int] | None:
+    """Length of a frame's header and samples of its block, if the header is sound."""
+    if p + 6 > len(b) or b[p] != 0xFF or b[p + 1] & 0xFE != 0xF8:
+        return None
+    block, rate, lead = b[p + 2] >> 4, b[p + 2] & 15, b[p + 4]
+    more = 0 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length() - 1
+    if block == 0 or rate == 15 or lead == 0xFF or lead >= 0x80 and more < 1:
+        return None
+    q = p + 5 + more
+    extra = {6: 1, 7: 2}.get(block, 0)
+    samples = int.from_bytes(b[q : q + extra], "big") + 1 if extra else _BLOCKS[block]
+    q += extra + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    crc = 0
+    for byte in b[p : q + 1]:
+        crc = _CRC8[crc ^ byte]
+    return (q + 1 - p, samples) if q < len(b) and not crc else None
+
+
 def _flac(b: bytes, at: int) -> int | None:
-    """Metadata blocks, the first being the stream's; frames run to the end."""
+    """Metadata blocks, the first being the stream's, and frames, each up to its checksum, until all samples are there."""
     p, first = at + 4, True
-    while p + 4 <= len(b):
+    total = most = 0
+    while True:
+        if p + 4 > len(b):
+            return None
         kind, size = b[p], int.from_bytes(b[p + 1 : p + 4], "big")
         if first and (kind & 0x7F or size != 34) or p + 4 + size > len(b):
             return None
+        if first:
+            most = int.from_bytes(b[p + 11 : p + 14], "big") or MAX_FRAME
+            total = int.from_bytes(b[p + 17 : p + 22], "big") & 0xFFFFFFFFF
         p, first = p + 4 + size, False
         if kind & 0x80:
-            return len(b) - at
-    return None
+            break
+    done, end = 0, None
+    while (header := _flac_header(b, p)) is not None and not (total and done >= total):
+        crc, least = 0, p + header[0] + 3
+        done += header[1]
+        last = total and done >= total
+        stop = None
+        for q, byte in enumerate(memoryview(b)[p : p + most], p + 1):
+            crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ byte]
+            # A frame with its checksum leaves 0; another frame, the stream's end or the blob's follows.
+            if not crc and q >= least and (last or q == len(b) or _flac_header(b, q) is not None or not total):
+                stop = q
+                break
+        if stop is None:
+            return None
+        p = end = stop
+    return end - at if end and (not total or done >= total) else None
 
 
 class Format(NamedTuple):
@@ -289,7 +392,7 @@ def sniff_column(rows: DataFrame, blob: str, declared: str | None = None) -> Dat
     carved_type = pa.list_(pa.struct([("mime", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, k):
             found = [sniff(b) for b in raw_bytes(batch.column(k))]
             said = batch.column(d).to_pylist() if d is not None else [None] * len(found)
             new = [
@@ -329,7 +432,7 @@ def text_as_media(docs: DataFrame, text: str = "text") -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             columns = list(zip(*map(store_and_read, raw_bytes(batch.column(1))), strict=True)) or [()] * len(_RESULT)
             arrays = [pa.array(list(c), t) for c, (_, t, _) in zip(columns, _RESULT, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", *(n for n, _, _ in _RESULT)])

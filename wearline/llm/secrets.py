@@ -8,16 +8,23 @@ before, so a value reaches a sensitive name through constants too. A literal's s
 sensitivity of the names it flows to, times how much it looks like a key and not like a word or a
 placeholder. Literals that score at least ``THRESHOLD`` and lie in no base span are added.
 
-Defined cases: a null text is empty; an empty text has no span; repeated rows give repeated results;
-an empty table gives no row. Spans count code points, ends exclusive.
+Names and values have any length; a bare word ends at ``=`` (but for the padding of base64), so each
+character belongs to one name and one value and a text is read in time proportional to its length.
+
+Defined cases: a null text is empty; an empty text has no span; very long texts are read whole; of
+ties, spans with one start are listed as :data:`KINDS` has them and then by their end; repeated rows
+give repeated results; an empty table gives no row; other columns stay, but one called ``secrets``, which
+is replaced. Spans count code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -25,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import extended, prepare, table, texts
+from .common import bounded, extended, prepare, table, texts
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "literal")
@@ -47,17 +54,18 @@ _STEMS = ("pass", "secret", "token", "key", "pwd", "pw", "credential", "bearer",
 #: Values that stand for a secret and are none.
 PLACEHOLDERS = frozenset("changeme example placeholder password secret token none null true false undefined redacted hidden default dummy test your_password your_token".split())
 THRESHOLD = 0.5
+#: What is put together from more literals is a text and no key: its names pass nothing on, its own literals are judged by themselves.
+MAX_PARTS = 64
 
 _OPERATOR = re.compile(r":=|=>|[=:]")
-_NAME = re.compile(r"[A-Za-z_][\w.\-]*\Z", re.ASCII)
+#: A name, read backwards from its end.
+_EMAN = re.compile(r"[\w.\-]+", re.ASCII)
 _ATOM = re.compile(
-    r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|(?:(?:b|r|f|u)(?=["']))?([A-Za-z0-9_+/.=~!@#$%^&*-]+))""", re.ASCII
+    r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|(?:(?:b|r|f|u)(?=["']))?([A-Za-z0-9_+/.~!@#$%^&*-]+(?:={1,2}(?![=\w"'`]))?))""", re.ASCII
 )
 _PLUS = re.compile(r"[ \t]*\+(?![+=])")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z", re.ASCII)
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.ASCII)
-#: A name before an operator is looked for in so many characters.
-MAX_NAME = 128
 
 
 class Span(NamedTuple):
@@ -109,13 +117,16 @@ class Assignment(NamedTuple):
 
 def assignments(text: str) -> Iterator[Assignment]:
     """The assignments of a text, in order."""
+    border = 0
     for op in _OPERATOR.finditer(text):
-        at = op.start()
+        at, since, border = op.start(), border, op.end()
         if text[op.end() : op.end() + 1] in ("=", "/", ">") or text[at - 1 : at] in ("=", "!", "<", ">", ":"):
             continue
-        left = text[max(0, at - MAX_NAME) : at].rstrip(" \t").rstrip("\"'`] \t")
-        name = _NAME.search(left)
-        if name is None:
+        # A name holds no operator, so it begins after the last one.
+        left = text[since:at].rstrip(" \t").rstrip("\"'`] \t")
+        run = _EMAN.match(left[::-1])
+        name = run[0][::-1].lstrip("0123456789.-") if run else ""
+        if not name:
             continue
         parts: list[tuple[int, int] | str] = []
         end = op.end()
@@ -131,7 +142,7 @@ def assignments(text: str) -> Iterator[Assignment]:
                 break
             end = plus.end()
         if parts:
-            yield Assignment(name[0], tuple(parts))
+            yield Assignment(name, tuple(parts))
 
 
 def literal_spans(text: str) -> list[Span]:
@@ -149,6 +160,9 @@ def literal_spans(text: str) -> list[Span]:
             else:
                 places.append(part)
         places = list(dict.fromkeys(places))
+        if len(places) > MAX_PARTS:
+            places = [p for p in found.parts if not isinstance(p, str)]
+            places = places if len(places) <= MAX_PARTS else []
         known[found.name] = tuple(places)
         weight = sensitivity(found.name)
         if weight and places:
@@ -162,8 +176,10 @@ def literal_spans(text: str) -> list[Span]:
 def spans_of(text: str) -> list[Span]:
     """All spans, by start and then by kind."""
     base = base_spans(text)
-    covered = [(s.start, s.end) for s in base]
-    added = [s for s in literal_spans(text) if not any(a <= s.start and s.end <= b for a, b in covered)]
+    # Of the base spans that begin at or before a literal, the furthest end decides whether one covers it.
+    starts = sorted(s.start for s in base)
+    ends = list(accumulate((s.end for s in sorted(base, key=lambda s: s.start)), max))
+    added = [s for s in literal_spans(text) if not (k := bisect_right(starts, s.start)) or ends[k - 1] < s.end]
     return sorted([*base, *added], key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
 
@@ -187,7 +203,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     fields = (("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value_start", pa.int32()), ("value_end", pa.int32()), ("score", pa.float64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, k):
             lists = [[s._asdict() for s in spans_of(t)] for t in texts(batch.column(k))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.struct(list(fields))))], [*batch.schema.names, "secrets"])
 
@@ -201,7 +217,7 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> Dat
     n = docs.columns.index(n_chars) if n_chars in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, k):
             columns = list(batch.columns)
             old = columns[k].to_pylist()
             new = [t if not t or not (spans := spans_of(t)) else redacted(t, spans) for t in old]
