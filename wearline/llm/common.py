@@ -18,18 +18,24 @@ from wearline.shipping import checkpoint_dir, ship
 
 Held = TypeVar("Held")
 
-#: Rows in an Arrow batch at most: 512 texts of 0.1 MB are 50 MB in a worker.
+#: Rows and bytes of an Arrow batch at most (Spark ends a batch after the row that passes the bytes).
 BATCH_ROWS = 512
+BATCH_BYTES = 32 << 20
 #: Text bytes that an operator works on at once, where texts are shorter than that.
 BATCH_TEXT = 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package, set the checkpoint folder and bound the Arrow batches."""
+    """Ship the package, set the checkpoint folder and bound the session's Arrow batches.
+
+    The bounds stay set: plans run after the operator has returned. A caller's smaller bounds are kept.
+    """
     ship(spark)
     checkpoint_dir(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").lower().removesuffix("b"))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,18 +2,20 @@
 
 Two zstandard dictionaries are built, one from good and one from bad labelled texts. A text is cut
 into chunks of ``CHUNK`` bytes (all of them), and each chunk is compressed with either dictionary.
-The normalised difference of the two total sizes says which dictionary knows the text better; with
-how far the text could be compressed at all, it goes into a logistic calibration, fitted on labelled
-texts that the dictionaries have not seen and weighted back to the share of each label.
+The difference of a chunk's two sizes, divided by their sum, says which dictionary knows it better; the
+mean of that over the text's chunks, by their lengths, is the text's normalised difference. It alone goes into a logistic calibration, fitted on labelled texts that the dictionaries have not seen
+and weighted back to the share of each label; the text's length is no feature.
 
-Fitting uses a bounded sample: about ``max_rows`` texts a label, chosen by a hash of the id, half
-for the dictionaries and half for the calibration. Only the sample is collected; scoring reads
-every text whole.
+Fitting uses a bounded sample: of each label the first ``MAX_ROWS`` rows in the order of a hash of the
+id, one text an id, as far as the texts stay within ``MAX_FIT_BYTES`` together; three in four go to the
+dictionaries and the fourth to the calibration. Only the sample is collected; scoring reads every text whole.
 
 Defined cases: null and empty texts are one empty chunk and get the score that the calibration gives
-those sizes; a null label teaches nothing; without texts of both labels every score is the share of
-label 1 (0.5 without labels); repeated rows give repeated results; repeated labels count repeatedly;
-a null doc_id is scored and never held out; empty tables give no row.
+a difference of 0; very long texts are compressed chunk by chunk; a null label teaches nothing; without
+texts of both labels every score is the share of label 1 (0.5 without labels); repeated rows give
+repeated results; repeated labels count repeatedly; of several texts of one id the first by digest
+teaches; ties in the order of the sample go by id; a null doc_id is scored and never held out; empty
+tables give no row; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,15 +26,18 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held, id_crc, prepare, raw_bytes, table
+from .common import bounded, held, id_crc, prepare, raw_bytes, table
 
-#: Labelled texts of either label that are used to fit, about.
+#: Labelled rows of either label that are used to fit at most, and the bytes of their texts.
 MAX_ROWS = 800
-DICT_BYTES = 1 << 16
-CHUNK = 1024
+MAX_FIT_BYTES = 32 << 20
+DICT_BYTES = 1 << 17
+CHUNK = 512
+#: Of so many texts of the sample one goes to the calibration.
+CALIBRATE = 4
 LEVEL = 3
 #: The least score that is predicted as label 1.
 CUT = 0.3
@@ -46,13 +51,11 @@ def cut(text: bytes, size: int = CHUNK) -> list[bytes]:
 class Model(NamedTuple):
     good: bytes
     bad: bytes
-    #: Calibration: means, scales, weights with the bias last.
-    mean: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
-    #: The range of scaled features seen in calibration: others are taken to its ends.
-    low: np.ndarray
-    high: np.ndarray
+    #: Calibration: slope and bias of the log odds over the difference, and the range of differences seen there.
+    slope: float
+    bias: float
+    low: float
+    high: float
     #: The score where no dictionaries could be built.
     share: float
 
@@ -68,19 +71,18 @@ class Sizer:
             known.precompute_compress(compression_params=params)
             self.both.append(zstandard.ZstdCompressor(dict_data=known, compression_params=params).compress)
 
-    def __call__(self, text: bytes) -> tuple[int, int]:
+    def sizes(self, text: bytes) -> list[tuple[int, int, int]]:
+        """Of each chunk its length and its compressed sizes (good, bad)."""
         good, bad = self.both
-        chunks = cut(text)
-        return sum(len(good(c)) for c in chunks), sum(len(bad(c)) for c in chunks)
+        return [(len(c), len(good(c)), len(bad(c))) for c in cut(text)]
 
-
-def features(sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """From sizes (good, bad) and lengths: the normalised difference, the compression, and their products."""
-    good, bad = sizes[:, 0].astype(float), sizes[:, 1].astype(float)
-    difference = (bad - good) / (bad + good)
-    ratio = np.log(np.minimum(good, bad) / (lengths + 1.0))
-    short = 1.0 / np.sqrt(lengths + 16.0)
-    return np.stack([difference, ratio, difference**2, ratio**2, difference * ratio, difference**3, short, short * difference], axis=1)
+    def __call__(self, text: bytes) -> float:
+        """The normalised difference, above 0 where the good dictionary knows more."""
+        total = weights = 0.0
+        for n, good, bad in self.sizes(text):
+            total += (n + 1) * (bad - good) / (bad + good)
+            weights += n + 1
+        return total / weights
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
@@ -115,40 +117,44 @@ def fit_rows(rows: list[tuple[int, bytes]], counts: dict[int, int]) -> Model:
     share = counts.get(1, 0) / total if total else 0.5
     by = {label: [t for q, t in rows if q == label] for label in (0, 1)}
     if min(map(len, by.values())) < 2:
-        return Model(b"", b"", *[np.zeros(0)] * 5, share)
-    good, bad = (build_dictionary(by[label][::2]) for label in (1, 0))
+        return Model(b"", b"", 0.0, 0.0, 0.0, 0.0, share)
+    good, bad = (build_dictionary([t for i, t in enumerate(by[label]) if i % CALIBRATE != 1]) for label in (1, 0))
     sizer = Sizer(good, bad)
-    rest = [(label, t) for label in (0, 1) for t in by[label][1::2]]
-    x = features(np.array([sizer(t) for _, t in rest]), np.array([len(t) for _, t in rest]))
+    rest = [(label, t) for label in (0, 1) for t in by[label][1::CALIBRATE]]
+    x = np.array([sizer(t) for _, t in rest])
     y = np.array([label for label, _ in rest], dtype=float)
     own = {label: sum(1 for q, _ in rest if q == label) for label in (0, 1)}
     weight = np.array([counts[q] / own[q] for q, _ in rest]) * len(rest) / total
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    scaled = (x - mean) / scale
-    return Model(good, bad, mean, scale, logistic(scaled, y, weight), scaled.min(axis=0), scaled.max(axis=0), share)
+    # Scaled for the penalty, which holds the slope where the labels are told apart without an error.
+    scale = x.std() + 1e-9
+    slope, bias = logistic(x[:, None] / scale, y, weight)
+    return Model(good, bad, slope / scale, bias, x.min(), x.max(), share)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on about ``max_rows`` texts of either label: ``docs`` (doc_id, text), ``labels`` (doc_id, quality)."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_FIT_BYTES) -> Model:
+    """Fit on the first ``max_rows`` rows of either label: ``docs`` (doc_id, text), ``labels`` (doc_id, quality)."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IN (0, 1)")
     counts = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
     share = F.lit(0.0)
     for label, n in counts.items():
-        share = F.when(F.col("quality") == label, F.lit(min(1.0, max_rows / n))).otherwise(share)
-    # A bounded number of rows, whatever the tables hold.
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(_SLOTS)) < share * _SLOTS).limit(4 * max_rows)
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").collect()
-    ordered = sorted((r["doc_id"], r["quality"], bytes(r["text"] or b"")) for r in rows)
-    return fit_rows([(q, t) for _, q, t in ordered], counts)
+        # Surely enough rows: the rest need not be sorted.
+        share = F.when(F.col("quality") == label, F.lit(min(1.0, (2 * max_rows + 20) / n))).otherwise(share)
+    some = known.withColumn("slot", F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(_SLOTS))).filter(F.col("slot") < share * _SLOTS)
+    first = Window.partitionBy("quality").orderBy("slot", "doc_id")
+    chosen = some.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= max_rows)
+    joined = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = joined.groupBy("quality", "k").agg(F.min_by("text", F.md5("text")).alias("text"))
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("quality").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    rows = one.withColumn("upto", upto).filter(F.col("upto") <= max_bytes).select("quality", "k", "text").collect()
+    return fit_rows([(q, bytes(t)) for q, _, t in sorted(rows)], counts)
 
 
 def scores_of(model: Model, documents: list[bytes], sizer: Sizer | None = None) -> np.ndarray:
-    if not documents or not len(model.weights):
+    if not documents or not model.good:
         return np.full(len(documents), model.share)
     sizer = sizer or Sizer(model.good, model.bad)
-    x = features(np.array([sizer(t) for t in documents]), np.array([len(t) for t in documents]))
-    z = np.clip((x - model.mean) / model.scale, model.low, model.high) @ model.weights[:-1] + model.weights[-1]
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    x = np.clip(np.array([sizer(t) for t in documents]), model.low, model.high)
+    return 1 / (1 + np.exp(-np.clip(model.slope * x + model.bias, -30, 30)))
 
 
 def _sizer(good: bytes, bad: bytes) -> Sizer:
@@ -162,8 +168,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", cut_at: float = CUT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        sizer = _sizer(own.good, own.bad) if len(own.weights) else None
-        for batch in batches:
+        sizer = _sizer(own.good, own.bad) if own.good else None
+        for batch in bounded(batches, 1):
             found = scores_of(own, raw_bytes(batch.column(1)), sizer)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.float64()), pa.array((found >= cut_at).astype(np.int32), pa.int32())], ["doc_id", "score", "predicted"]
