@@ -82,7 +82,10 @@ def test_piecewise_lines():
     for t in range(100):
         line.add_point(t, 50 - t if t < 50 else 0)
     found = line.finish()
-    assert abs(found.zero() - 50) < 2 and abs(found.predict(20) - 30) < 1
+    assert abs(found.root() - 50) < 2 and abs(found(20) - 30) < 1
+    line = kernels.Polyline([((0, 4), (2, 0)), ((2, 0), (4, 0)), ((4, 0), (6, 2))])
+    assert line([-1, 0, 1, 2, 3, 5, 8]).tolist() == [6, 4, 2, 0, 0, 1, 4] and line.root() == 2
+    assert kernels.Polyline([((0, 4), (2, 3))]).root() == 8 and kernels.Polyline([((0, 4), (2, 4))]).root() == 0
 
 
 @pytest.mark.parametrize("kind", ["normal", "ties", "one", "skewed"])

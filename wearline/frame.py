@@ -16,13 +16,15 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from wearline.functions import quantiles
 from wearline.functions.quantiles import Quantile
-from wearline.shipping import ship
+from wearline.shipping import checkpoint_dir, ship
 
 NUMERIC = (T.NumericType,)
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType, T.DayTimeIntervalType, T.YearMonthIntervalType)
@@ -66,6 +68,27 @@ def _same_group(a: pd.DataFrame, b: pd.DataFrame, keys: list[str]) -> bool:
     return all(u == v or pd.isna(u) and pd.isna(v) for u, v in zip(x, y, strict=True))
 
 
+def _series(column: pa.ChunkedArray) -> pd.Series:
+    """An Arrow column in pandas; times are the session's, without a zone."""
+    out = column.to_pandas(date_as_object=True)
+    return out.dt.tz_localize(None) if isinstance(out.dtype, pd.DatetimeTZDtype) else out
+
+
+def numbered(df: DataFrame, keys: Sequence[Column | str], name: str) -> DataFrame:
+    """The rows with their number (from 0) in the order of ``keys``.
+
+    The sorted rows are written once, each with its partition and its place there; the numbers come
+    from the counts of the partitions before, a table of one row a partition.
+    """
+    checkpoint_dir(df.sparkSession)
+    placed = df.orderBy(*keys).withColumn("_id", F.monotonically_increasing_id()).checkpoint().withColumn("_part", F.shiftright("_id", 33))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_before"))
+    place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, place).drop("_id", "_part", "_before")
+
+
 class Rows:
     """One set of rows and all columns computed for it so far.
 
@@ -90,19 +113,48 @@ class Rows:
     def kernel(self, inputs: dict[str, str], outputs: dict[str, str], function: Callable[[pd.DataFrame], pd.DataFrame]) -> dict[str, str]:
         """Add columns by a function of a whole cycle (rows in order, inputs by their logical names).
 
-        ``outputs`` has the SQL type of each new column. Rows and other columns go through.
+        ``outputs`` has the SQL type of each new column. Only the inputs become pandas; rows and other
+        columns go through as Arrow data.
         """
+        ship(self.df.sparkSession)
         held = {name: f"_c{next(_names)}" for name in outputs}
-        schema = T.StructType([*self.df.schema.fields, *T.StructType.fromDDL(", ".join(f"{held[n]} {t}" for n, t in outputs.items())).fields])
-        names = list(outputs)
-
-        def run(part: pd.DataFrame) -> pd.DataFrame:
-            found = function(pd.DataFrame({n: part[h] for n, h in inputs.items()}))
-            for name in names:
-                part[held[name]] = found[name].to_numpy()
-            return part
-
-        self.df = by_group(self.df, self.by, self.pos, run, schema)
+        added = T.StructType.fromDDL(", ".join(f"{held[n]} {t}" for n, t in outputs.items())).fields
+        kinds = {n: to_arrow_type(f.dataType) for n, f in zip(outputs, added, strict=True)}
+        # The window asks for a cycle's rows together and in order; where they are so already, nothing is moved.
+        dealt = self.df.withColumn("_place", F.row_number().over(Window.partitionBy(*self.by).orderBy(self.pos)))
+
+        def computed(rows: pa.Table, starts: list[int]) -> pa.RecordBatch:
+            """Whole cycles, each from one start to the next: their columns as they are, and the new ones."""
+            read = pd.DataFrame({n: _series(rows.column(h)) for n, h in inputs.items()})
+            parts: dict[str, list[pa.Array]] = {n: [] for n in kinds}
+            for a, b in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+                found = function(read.iloc[a:b].reset_index(drop=True))
+                for n, kind in kinds.items():
+                    parts[n].append(pa.array(found[n].to_numpy(), kind, from_pandas=True))
+            whole = rows.drop_columns(["_place"]).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_arrays([*whole.columns, *(pa.concat_arrays(p) for p in parts.values())], [*whole.schema.names, *(held[n] for n in kinds)])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            waiting: list[pa.RecordBatch] = []
+            starts: list[int] = []
+            n = 0
+            for batch in batches:
+                here = np.flatnonzero(batch.column("_place").to_numpy() == 1)
+                if len(here):
+                    # All before the batch's last start is whole.
+                    starts += (here[:-1] + n).tolist()
+                    last = int(here[-1])
+                    waiting.append(batch.slice(0, last))
+                    if starts:
+                        yield computed(pa.Table.from_batches(waiting), starts)
+                    waiting, starts, n = [], [0], 0
+                    batch = batch.slice(last)
+                waiting.append(batch)
+                n += batch.num_rows
+            if starts:
+                yield computed(pa.Table.from_batches(waiting), starts)
+
+        self.df = dealt.mapInArrow(run, T.StructType([*self.df.schema.fields, *added]))
         return held
 
 
@@ -269,10 +321,7 @@ class CycleSet:
     # Cycles --------------------------------------------------------------------------------------
     def cycles(self) -> DataFrame:
         """(cycle, ordinal): cycles by id, numbered from 0; a small table of one row each."""
-        own = self.df.select(self.cycle).distinct()
-        # Ids are ordered across the cluster; numbering needs the number of ids in the parts before.
-        ordered = own.orderBy(self.cycle)
-        return ordered.withColumn("ordinal", F.monotonically_increasing_id()).withColumn("ordinal", F.row_number().over(Window.orderBy("ordinal")).cast("long") - 1)
+        return numbered(self.df.select(self.cycle).distinct(), [self.cycle], "ordinal")
 
     @property
     def n_time_series(self) -> int:
@@ -300,12 +349,18 @@ class CycleSet:
 
     def __getitem__(self, key: int | slice | Iterable[int]) -> DataFrame | FoldedSet:
         """A cycle by its ordinal (a DataFrame), or a fold of several."""
-        ids = [r[0] for r in self.cycles().orderBy("ordinal").collect()]
+        known = self.cycles()
         if isinstance(key, int):
-            return self.cycle_frame(ids[key]).orderBy("pos")
-        if isinstance(key, slice):
-            return self.fold(ids[key])
-        return self.fold([ids[i] for i in key])
+            place = key if key >= 0 else key + known.count()
+            found = known.filter(F.col("ordinal") == place).first()
+            if found is None:
+                raise IndexError(key)
+            return self.cycle_frame(found[0]).orderBy("pos")
+        size = known.count()
+        places = list(range(*key.indices(size))) if isinstance(key, slice) else [i if i >= 0 else i + size for i in key]
+        # Only the ids that are asked for come to the driver.
+        ids = {r[1]: r[0] for r in known.filter(F.col("ordinal").isin(places)).collect()}
+        return self.fold([ids[i] for i in places])
 
     def __len__(self) -> int:
         return self.n_time_series

@@ -397,31 +397,30 @@ class IsolationForest:
 # Piecewise lines -----------------------------------------------------------------------------------
 
 
-class PiecewiseLinearFunction:
-    """Lines between knots (t, y); beyond them the last line goes on."""
+class Polyline:
+    """A function of line pieces (begin, end), each a point (t, y), in the order of t; the outer pieces go on beyond their ends."""
 
-    def __init__(self, knots: list[tuple[tuple[float, float], tuple[float, float]]]) -> None:
-        self.limits = [(a[0], b[0]) for a, b in knots]
-        self.lines = []
-        for (t1, y1), (t2, y2) in knots:
-            m = (y2 - y1) / (t2 - t1) if t2 != t1 else 0.0
-            self.lines.append((m, y1 - m * t1))
+    def __init__(self, pieces: list[tuple[tuple[float, float], tuple[float, float]]]) -> None:
+        corners = np.array(pieces, dtype=float).reshape(-1, 4)
+        self.begin, self.height, self.end, top = corners.T
+        width = self.end - self.begin
+        self.slope = np.divide(top - self.height, width, out=np.zeros_like(width), where=width != 0)
 
-    def predict(self, t: float) -> float:
-        k = next((i for i, (a, b) in enumerate(self.limits) if a <= t <= b), -1)
-        m, c = self.lines[k]
-        return m * t + c
+    def __len__(self) -> int:
+        return len(self.begin)
 
-    def predict_line(self, values: np.ndarray) -> list[float]:
-        return [self.predict(t) for t in values]
+    def __call__(self, t: np.ndarray) -> np.ndarray:
+        """Values at many places: the piece of each is the last that begins at or before it."""
+        t = np.asarray(t, dtype=float)
+        piece = np.clip(np.searchsorted(self.begin, t, side="right") - 1, 0, None)
+        return self.height[piece] + self.slope[piece] * (t - self.begin[piece])
 
-    def zero(self) -> float:
-        """Where the function first is 0; else where its last line would be."""
-        for (a, b), (m, c) in zip(self.limits, self.lines, strict=True):
-            if m and a <= -c / m <= b:
-                return -c / m
-        m, c = self.lines[-1]
-        return -c / m if m else 0.0
+    def root(self) -> float:
+        """The first place in its pieces where the function is 0; else where the last piece would be, 0 if it is level."""
+        steep = self.slope != 0
+        at = np.where(steep, self.begin - np.divide(self.height, self.slope, out=np.zeros_like(self.slope), where=steep), np.nan)
+        inside = np.flatnonzero((at >= self.begin) & (at <= self.end))
+        return float(at[inside[0]] if len(inside) else at[-1] if steep[-1] else 0.0)
 
 
 class PiecewiseLinearRegression:
@@ -464,5 +463,5 @@ class PiecewiseLinearRegression:
             slope = min(slope, 0.0)
         self.last = (t, self.first[1] + slope * (t - self.first[0]))
 
-    def finish(self) -> PiecewiseLinearFunction:
-        return PiecewiseLinearFunction([*self.done, (self.first, self.last)])
+    def finish(self) -> Polyline:
+        return Polyline([*self.done, (self.first, self.last)] if self.first is not None else [])

@@ -150,16 +150,35 @@ class DoG(Step):
 
 
 class EWMAFilter(Step):
-    """Exponentially weighted mean by span, adjusted, with NULLs left out of the decay: one pass of a cycle."""
+    """Exponentially weighted mean by span, adjusted, with NULLs left out of the decay, as window sums.
+
+    With r = 1 - 2 / (span + 1) and k the number of values before, the mean is the sum of x r^(k - k_i)
+    over that of r^(k - k_i). The sum runs over r^-k_i within blocks of values short enough for that to
+    stay in range; of what comes before a block only the block before counts: r^(a block) is below 1e-130.
+    """
 
     def __init__(self, span: float, *, name: str | None = None) -> None:
         super().__init__(name=name)
         self.span = span
 
     def apply(self, frame: Frame) -> Frame:
-        span, names = self.span, frame.numeric
-        done = frame.kernel({n: "double" for n in names}, lambda part: part.astype(float).ewm(span=span, ignore_na=True).mean(), names)
-        return Frame(frame.rows, {n: done.held.get(n, h) for n, h in frame.held.items()})
+        r, rows = 1 - 2 / (self.span + 1), frame.rows
+        if r <= 0:
+            return frame.each(lambda x: F.last(x.cast("double"), ignorenulls=True).over(frame.expanding))
+        size = max(1, int(-300 / math.log(r)))
+        out = {}
+        for name in frame.numeric:
+            x = frame.col(name).cast("double")
+            k = F.col(rows.add({"k": F.count(x).over(frame.expanding) - 1})["k"])
+            held = rows.add({"block": F.floor(k / size).cast("long"), "place": F.pmod(k, F.lit(size)).cast("double")})
+            block, place = F.col(held["block"]), F.col(held["place"])
+            within = Window.partitionBy(*rows.by, block).orderBy(frame.pos).rowsBetween(Window.unboundedPreceding, 0)
+            own = F.col(rows.add({"own": F.sum(x * F.pow(F.lit(1 / r), place)).over(within) * F.pow(F.lit(r), place)})["own"])
+            before = F.col(rows.add({"before": F.lag(own).over(frame.ordered)})["before"])
+            carried = F.coalesce(F.first(before).over(within), F.lit(0.0)) * F.pow(F.lit(r), place + 1)
+            out[name] = F.when(k >= 0, (own + carried) * (1 - r) / (1 - F.pow(F.lit(r), k + 1)))
+        new = rows.add(out)
+        return Frame(rows, {n: new.get(n, h) for n, h in frame.held.items()})
 
 
 class ExpandingCentering(Step):

@@ -37,9 +37,30 @@ class SavitzkyGolayTransformer(Step):
             raise ValueError("the window must be odd and longer than the order")
         self.window, self.order = window, order
 
+    #: Windows of more rows are fitted by a kernel: the expression has a term for each pair of rows.
+    MAX_TERMS = 31
+
     def apply(self, frame: Frame) -> Frame:
         window, order = self.window, self.order
-        return _each(frame, lambda x: kernels.savitzky_golay(x, window, order))
+        if window > self.MAX_TERMS:
+            return _each(frame, lambda x: kernels.savitzky_golay(x, window, order))
+        half = window // 2
+        powers = np.vander(np.arange(window) - half, order + 1, increasing=True).astype(float)
+        #: Row i gives the polynomial's value at the window's place i from the window's values.
+        weights = powers @ np.linalg.pinv(powers)
+        place = frame.rows.add({"at": F.row_number().over(frame.ordered) - 1, "n": F.count(F.lit(1)).over(frame.whole)})
+        at, n = F.col(place["at"]), F.col(place["n"])
+
+        def smooth(x: Column) -> Column:
+            x = x.cast("double")
+            near = {k: F.lag(x, -k).over(frame.ordered) if k < 0 else F.lead(x, k).over(frame.ordered) if k else x for k in range(1 - window, window)}
+            value = lambda i: sum((near[j - i] * float(weights[i, j]) for j in range(window)), F.lit(0.0))
+            out = F.when(n <= window, x)
+            for i in range(half):
+                out = out.when(at == i, value(i)).when(at == n - 1 - i, value(window - 1 - i))
+            return out.otherwise(value(half))
+
+        return frame.each(smooth)
 
 
 class Peaks(Step):

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wearline.frame import Frame, Rows
+from wearline.frame import Frame, Rows, numbered
 from wearline.operators.selection import RelativePosition, RelativeToStart
 
 FORECAST, SEQ_TO_SEQ = "forecast", "seq_to_seq"
@@ -229,16 +229,10 @@ class WindowedDatasetIterator:
     def batches(self, batch_size: int) -> DataFrame:
         """The samples with a batch number, in order; the last batch may be short and none is empty.
 
-        The order is global, so numbers come from the counts of the sorted partitions before (one
-        small row each) and the place within.
+        The order is global: :func:`wearline.frame.numbered` has the places.
         """
-        ordered = self.ordered().withColumn("_part", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id())
-        counts = ordered.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_k").alias("_first"))
-        before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        starts = counts.select("_part", "_first", before.alias("_before"))
-        numbered = ordered.join(F.broadcast(starts), "_part")
-        place = F.col("_before") + F.col("_k") - F.col("_first")
-        return numbered.withColumn("batch", F.floor(place / batch_size).cast("long")).withColumn("place", place).drop("_part", "_k", "_n", "_first", "_before")
+        placed = numbered(self.samples(), self.shuffler.keys(self.x.cycle, self.x.pos), "place")
+        return placed.withColumn("batch", F.floor(F.col("place") / batch_size).cast("long"))
 
 
 def _plain(value: object) -> object:

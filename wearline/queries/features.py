@@ -236,6 +236,29 @@ def flagship(spark, sf):
     return rounded(graph.fit_transform(cycles(spark, sf)).df, 5)
 
 
+# The projection of five values on their parabola: the first two rows of its matrix, and the middle one.
+_PARABOLA = ((31, 9, -3, -5, 3), (9, 13, 12, 6, -5), (-3, 12, 17, 12, -3))
+
+
+def _parabola(row: int, offset: int, sign: int = 1) -> str:
+    """A row of the matrix over values ``offset`` rows away and on, in the direction of ``sign``."""
+    terms = []
+    for i, w in enumerate(_PARABOLA[row]):
+        k = sign * (i + offset)
+        x = f"lag(value, {-k}) OVER wc" if k < 0 else f"lead(value, {k}) OVER wc" if k else "value"
+        terms.append(f"{w} * {x}")
+    return f"({' + '.join(terms)}) / 35"
+
+
+@query(
+    "savitzky_golay",
+    BASE + f"""SELECT cycle_id, CAST(pos AS BIGINT) AS pos, {r('v')} AS value FROM (SELECT *, CASE WHEN n <= 5 THEN value WHEN pos = 0 THEN {_parabola(0, 0)} WHEN pos = 1 THEN {_parabola(1, -1)}
+WHEN pos = n - 1 THEN {_parabola(0, 0, -1)} WHEN pos = n - 2 THEN {_parabola(1, -1, -1)} ELSE {_parabola(2, -2)} END AS v FROM (SELECT *, count(*) OVER whole AS n FROM d {WINDOWS}) {WINDOWS})""",
+)
+def savitzky_golay(spark, sf):
+    return rounded(op.SavitzkyGolayTransformer(5, 2).transform(sensors(spark, sf)).df)
+
+
 # Kernels: no SQL says them; tests compare them with definitions. ---------------------------------------
 
 
@@ -246,7 +269,6 @@ def _kernel(name: str, step, names: tuple[str, ...] = ("value",), prepare=None):
         return rounded(step().fit_transform(prepare(frame) if prepare else frame).df)
 
 
-_kernel("savitzky_golay", lambda: op.SavitzkyGolayTransformer(5, 2))
 _kernel("peaks", lambda: op.Peaks(3))
 _kernel("emd", lambda: op.EMD(3))
 _kernel("emd_filter", lambda: op.EMDFilter(3, 1, 3))

@@ -30,13 +30,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one is set only where the setting is absent."""
+    """The shared folder of ``spark.checkpoint.dir``; without the setting, a folder of this machine if Spark runs on it alone."""
     jsc = spark.sparkContext._jsc.sc()
     current = jsc.getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a shared folder")
         configured = tempfile.mkdtemp(prefix="wearline-checkpoint-")
     spark.sparkContext.setCheckpointDir(configured)
     return configured
