@@ -74,3 +74,31 @@ def test_cycles_by_place(spark):
     assert cycles[1:5:2].ids == [1, 3] and cycles[[5, -6]].ids == [5, 0]
     with pytest.raises(IndexError):
         cycles[6]
+
+
+def test_lines_of_lives_are_those_of_each_life(spark):
+    from wearline import results
+    from wearline.queries.evaluation import predictions
+
+    timed = results.with_time(results.split_lives(predictions(spark, "/root/testdata/sf0.001")))
+    rows = timed.toPandas().sort_values(["model", "fold", "life", "pos"])
+    found = {(r["model"], r["fold"], r["life"]): r for r in results.lines_of_lives(timed).collect()}
+    lives = dict(tuple(rows.groupby(["model", "fold", "life"])))
+    assert set(found) == set(lives)
+    for key, part in lives.items():
+        line = kernels.PiecewiseLinearRegression(True)
+        for t, y in zip(part["time"], part["y_pred"], strict=True):
+            line.add_point(t, y)
+        whole = line.finish()
+        assert len(found[key]["pieces"]) == len(whole) and np.isclose(found[key]["root"], whole.root(), equal_nan=True)
+
+
+@pytest.mark.parametrize(("size", "window", "step"), [(10, 3, 2), (10, 3, 1), (10, 3, 3), (2, 3, 1), (10, 2, 5), (7, 7, 2)])
+def test_rolling_data_as_defined(spark, size, window, step):
+    x = np.random.RandomState(size).standard_normal(size)
+    whole = max((size - window) // step + 1, 0)
+    parts = [x[i * step : i * step + window] for i in range(whole)] + ([x[whole * window :]] if whole * window < size else [])
+    if step == window:
+        parts = [x[i : i + window] for i in range(0, size, window)]
+    found = op.apply_rolling_data(from_cycles(spark, [pd.DataFrame({"a": x, "RUL": 0.0})]).frame(["a"]), F.sum, window, step=step)
+    assert np.allclose(series(found)[0], [p.sum() for p in parts])

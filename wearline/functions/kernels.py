@@ -401,6 +401,7 @@ class Polyline:
     """A function of line pieces (begin, end), each a point (t, y), in the order of t; the outer pieces go on beyond their ends."""
 
     def __init__(self, pieces: list[tuple[tuple[float, float], tuple[float, float]]]) -> None:
+        self.pieces = list(pieces)
         corners = np.array(pieces, dtype=float).reshape(-1, 4)
         self.begin, self.height, self.end, top = corners.T
         width = self.end - self.begin

@@ -294,9 +294,26 @@ class LocalEntropyMeasures(Step):
         return frame.compute(out)
 
 
-def apply_rolling_data(frame: Frame, function: Callable[[Column], Column], window: int, names: Sequence[str] | None = None) -> Frame:
-    """An aggregate of consecutive, non-overlapping windows of rows; the last may be short."""
+def apply_rolling_data(frame: Frame, function: Callable[[Column], Column], window: int, names: Sequence[str] | None = None, step: int | None = None) -> Frame:
+    """An aggregate of windows of rows that begin every ``step`` rows (by default every ``window`` rows).
+
+    Windows that follow each other leave a last one that may be short. Others are the whole windows of
+    a cycle, and one more of the rows beyond ``window`` times their number, where there are any; a
+    cycle shorter than a window is one short window. Rows are copied into their windows, no more often
+    than a row has windows, and meet by cycle, as they are already dealt.
+    """
     names = list(names or frame.numeric)
-    block = F.floor(F.col(frame.pos) / window).cast("long").alias(frame.pos)
-    df = frame.rows.df.groupBy(*frame.rows.by, block).agg(*(function(frame.col(n)).alias(n) for n in names))
+    step = step or window
+    if step == window:
+        place, df = F.floor(F.col(frame.pos) / window).cast("long"), frame.rows.df
+    else:
+        held = frame.rows.add({"n": F.count(F.lit(1)).over(frame.whole), "at": F.row_number().over(frame.ordered).cast("long") - 1})
+        n, at = F.col(held["n"]), F.col(held["at"])
+        whole = F.greatest(F.floor((n - window) / step) + 1, F.lit(0)).cast("long")
+        first = F.greatest(F.ceil((at - window + 1) / step), F.lit(0)).cast("long")
+        last = F.least(F.floor(at / step).cast("long"), whole - 1)
+        none = F.array().cast("array<bigint>")
+        own = F.concat(F.when(first <= last, F.sequence(first, last)).otherwise(none), F.when(at >= whole * window, F.array(whole)).otherwise(none))
+        df, place = frame.rows.df.withColumn("_window", F.explode(own)), F.col("_window")
+    df = df.groupBy(*frame.rows.by, place.alias(frame.pos)).agg(*(function(frame.col(n)).alias(n) for n in names))
     return Frame(Rows(df, frame.cycle, frame.pos, frame.rows.unit), {n: n for n in names})

@@ -29,6 +29,9 @@ def hash_random(seed: int, *columns: str) -> Column:
 class Shuffler:
     """The order of samples: sort keys, of columns cycle, pos and size."""
 
+    #: A condition of (pos, size) for the rows that are samples, instead of every ``step``-th one.
+    chosen: Callable[[Column, Column], Column] | None = None
+
     def __init__(self, seed: int = 0) -> None:
         self.seed = seed
 
@@ -41,7 +44,23 @@ class NotShuffled(Shuffler):
 
 
 class AllShuffled(Shuffler):
-    """Rows of all cycles at random."""
+    """Rows of all cycles at random: evenly spaced ones, or ones whose distances from the end are powers of the cycle's size.
+
+    Of those powers (as many as there are steps in the cycle) the whole part counts; a row that several of them meet is taken once.
+    """
+
+    def __init__(self, seed: int = 0, evenly_sampled: bool = True, step: int = 1) -> None:
+        super().__init__(seed)
+        self.step = step
+        if not evenly_sampled:
+            self.chosen = self._powers
+
+    def _powers(self, pos: Column, size: Column) -> Column:
+        size = size.cast("double")
+        left, last = size - pos, F.ceil(size / self.step) - 1
+        # The exponent i / last gives this row where left <= size ^ (i / last) < left + 1.
+        i = F.ceil(last * F.log(left) / F.log(size) - 1e-9)
+        return F.when((size <= 1) | (last < 1), pos == 0).otherwise((i <= last) & (F.pow(size, i / last) < left + 1 - 1e-9))
 
     def keys(self, cycle: str, pos: str) -> list[Column]:
         return [hash_random(self.seed, cycle, pos), F.col(cycle), F.col(pos)]
@@ -175,7 +194,9 @@ class WindowedDatasetIterator:
         start = self._at(self.start_index, size)
         end = size if self.end_index is None else F.least(self._at(self.end_index, size), size)
         grid = (pos - start) % self.step == 0
-        if isinstance(self.shuffler, InverseOrder):
+        if self.shuffler.chosen is not None:
+            grid = self.shuffler.chosen(pos, size)
+        elif isinstance(self.shuffler, InverseOrder):
             grid = (end - 1 - pos) % self.shuffler.step == 0
         elif self.last_point:
             grid = grid | (pos == end - 1)

@@ -12,6 +12,7 @@ from wearline.sources import (
     IncreasingFeatureCycleSplitter,
     LifeIdCycleSplitter,
     NumberOfRowsRULColumn,
+    catalog,
 )
 
 
@@ -198,3 +199,44 @@ def mean_of_blocks(spark, sf):
     return rounded(op.apply_rolling_data(sensors(spark, sf), F.avg, 4).df)
 
 
+
+
+@query(
+    "rolling_data_steps",
+    BASE + f""", f AS (SELECT *, CAST(greatest(floor((n - 4) / 2.0) + 1, 0) AS BIGINT) AS whole FROM (SELECT *, count(*) OVER whole AS n FROM d {WINDOWS}))
+SELECT cycle_id, CAST(w AS BIGINT) AS pos, {r('max(value)')} AS value FROM f, unnest(range(0, n + 1)) AS t(w)
+WHERE (w < whole AND pos BETWEEN 2 * w AND 2 * w + 3) OR (w = whole AND pos >= 4 * whole) GROUP BY 1, 2""",
+)
+def rolling_data_steps(spark, sf):
+    return rounded(op.apply_rolling_data(sensors(spark, sf), F.max, 4, step=2).df)
+
+
+@query("rul_of_train", "SELECT l_orderkey AS unit, CAST(l_linenumber AS INTEGER) AS cycle, CAST(max(l_linenumber) OVER (PARTITION BY l_orderkey) - l_linenumber AS INTEGER) AS rul FROM lineitem")
+def rul_of_train(spark, sf):
+    found = catalog.rul_of_train(_turbines(spark, sf))
+    return found.select(F.col("UnitNumber").alias("unit"), F.col("Cycle").alias("cycle"), F.col("RUL").cast("int").alias("rul"))
+
+
+@query(
+    "rul_of_test",
+    "SELECT l_orderkey AS unit, CAST(l_linenumber AS INTEGER) AS cycle, CAST(max(l_linenumber) OVER (PARTITION BY l_orderkey) + o_custkey % 50 - l_linenumber AS BIGINT) AS rul FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey",
+)
+def rul_of_test(spark, sf):
+    truth = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("UnitNumber"), (F.col("o_custkey") % 50).alias("truth"))
+    found = catalog.rul_of_test(_turbines(spark, sf), truth)
+    return found.select(F.col("UnitNumber").alias("unit"), F.col("Cycle").alias("cycle"), F.col("RUL").cast("long").alias("rul"))
+
+
+def _turbines(spark, sf):
+    """Order lines as the runs of units: a unit's cycles are numbered."""
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("UnitNumber"), F.col("l_linenumber").cast("int").alias("Cycle"))
+
+
+@query("sum_of_other_rows", BASE + f"""SELECT coalesce(a.cycle_id, b.cycle_id) AS cycle_id, CAST(coalesce(a.pos, b.pos) AS BIGINT) AS pos, {r('coalesce(a.value, 0) + coalesce(b.value, 0)')} AS value
+FROM (SELECT cycle_id, pos, value FROM d WHERE event_type <> 'click') a FULL JOIN (SELECT cycle_id, pos, value * value AS value FROM d WHERE k % 2 = 0) b ON a.cycle_id = b.cycle_id AND a.pos = b.pos""")
+def sum_of_other_rows(spark, sf):
+    """Branches with rows of their own meet in a full join."""
+    frame = sensors(spark, sf, ("event_type", "value", "k"))
+    one = frame.where(frame.col("event_type") != "click").select(["value"])
+    two = op.Square().transform(frame.where(frame.col("k") % 2 == 0).select(["value"]))
+    return rounded(op.Sum().transform(one, two).df)

@@ -82,6 +82,14 @@ def batches(spark, sf):
     return _iterator(spark, sf, window_size=3).batches(100).groupBy("batch").agg(F.count("*").alias("n"))
 
 
+# Powers of the size up to it, as many as it has rows: the whole parts are distances from the end.
+@query("log_spaced_order", BASE + """, n AS (SELECT cycle_id, count(*) AS n FROM d GROUP BY 1)
+SELECT DISTINCT cycle_id, CAST(n - floor(CASE WHEN i = n - 1 THEN n WHEN i = 0 THEN 1 ELSE pow(n * 1e0, i / (n - 1e0)) + 1e-9 END) AS BIGINT) AS pos FROM n, unnest(range(0, n)) AS t(i) WHERE n > 1
+UNION ALL SELECT cycle_id, 0 FROM n WHERE n = 1""")
+def log_spaced_order(spark, sf):
+    return _iterator(spark, sf, window_size=1, padding=True, last_point=False, shuffler=samples.AllShuffled(evenly_sampled=False)).batches(64).select("cycle_id", "pos")
+
+
 # Profiles ------------------------------------------------------------------------------------------
 
 
@@ -229,6 +237,19 @@ def fitted_lives(spark, sf):
     return rounded(found, 4)
 
 
+@query("life_shape", _TIMED + f""", q AS (SELECT model, fold, life, regr_slope(p, time) AS a, regr_intercept(p, time) AS b, regr_slope(y, time) AS c FROM t GROUP BY 1, 2, 3)
+SELECT model, fold, CAST(life AS BIGINT) AS life, {r('avg(abs(p - a * time - b))', 4)} AS noisiness, {r('1 - abs(atan((c - a) / nullif(1 + c * a, 0)) / pow(pi() / 2, 2))', 4)} AS slope_resemblance
+FROM t JOIN q USING (model, fold, life) GROUP BY model, fold, life, a, b, c""")
+def life_shape(spark, sf):
+    return rounded(results.lives_of(predictions(spark, sf)).select("model", "fold", "life", "noisiness", "slope_resemblance"), 4)
+
+
+@query("piecewise_lines")
+def piecewise_lines(spark, sf):
+    timed = results.with_time(results.split_lives(predictions(spark, sf)))
+    return rounded(results.lines_of_lives(timed).select("model", "fold", "life", F.size("pieces").alias("n_pieces"), F.array_max("pieces")["t2"].alias("last"), "root"), 4)
+
+
 _SWEEP = _TIMED + ", m AS (SELECT unnest(range(5)) * 12.0 AS m)"
 
 
@@ -294,6 +315,19 @@ def weibull(spark, sf):
     return rounded(rows.select("id", *(found[n].alias(n) for n in ("median", "mean", "quantile"))), 5)
 
 
+_KL = "ln((1 + i / 10.0) / pow(i, 1 + i / 10.0)) - ln(2 / 400e0) + (i / 10.0 - 1) * (ln(i) - 0.5772 / (1 + i / 10.0)) + pow(i / 20e0, 2) * exp(lgamma(2 / (1 + i / 10.0) + 1)) - 1"
+
+
+@query("weibull_shape", "SELECT CAST(i AS BIGINT) AS id, " + f"""{r('i * pow((i / 10.0) / (1 + i / 10.0), 1 / (1 + i / 10.0))', 5)} AS mode, {r('i * i * (exp(lgamma(1 + 2 / (1 + i / 10.0))) - pow(exp(lgamma(1 + 1 / (1 + i / 10.0))), 2))', 4)} AS variance,
+{r('ln((1 + i / 10.0) / i) + i / 10.0 * ln(7e0 / i) - pow(7e0 / i, 1 + i / 10.0)', 4)} AS log_likelihood, {r(_KL, 4)} AS divergence FROM (SELECT unnest(range(1, 40)) AS i)""")
+def weibull_shape(spark, sf):
+    scale, shape = F.col("id").cast("double"), 1 + F.col("id") / 10.0
+    found = results.weibull(scale, shape)
+    of = {"mode": found["mode"], "variance": found["variance"], "log_likelihood": results.weibull_log_likelihood(F.lit(7.0), scale, shape), "divergence": results.weibull_divergence(scale, shape, F.lit(20.0), F.lit(2.0))}
+    rows = spark.range(1, 40).select("id", *(c.alias(n) for n, c in of.items()))
+    return rounded(rounded(rows.select("id", "mode"), 5).join(rounded(rows.drop("mode"), 4), "id"), 5)
+
+
 @query("baseline_model", BASE + f""", v AS (SELECT avg(x) AS v FROM (SELECT max(rul) AS x FROM d GROUP BY cycle_id))
 SELECT cycle_id, CAST(pos AS BIGINT) AS pos, {r('rul')} AS y_true, {r('least(greatest(v - (m.rul2 - 0), 0), v)')} AS y_pred
 FROM (SELECT a.cycle_id, a.pos, a.rul, b.rul AS rul2 FROM (SELECT *, count(*) OVER whole AS n FROM d {WINDOWS}) a JOIN d b ON a.cycle_id = b.cycle_id AND b.pos = a.n - 1 - a.pos) m, v""")

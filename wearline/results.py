@@ -9,9 +9,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wearline.frame import by_group
+from wearline.functions.kernels import PiecewiseLinearRegression
 from wearline.functions.stats import ratio
 
 FOLD = ("model", "fold")
@@ -93,6 +96,25 @@ def fitted_lives(timed: DataFrame) -> DataFrame:
     return lines.withColumn("noisiness", off / F.col("n_rows")).withColumn("slope_resemblance", 1 - F.abs(angle / (math.pi / 2) ** 2)).drop("_points")
 
 
+def lines_of_lives(timed: DataFrame, value: str = "y_pred", not_increasing: bool = True) -> DataFrame:
+    """Per life (rows of :func:`with_time`): the line pieces that follow a value over time, and where they reach 0.
+
+    Returns the life's keys, ``pieces`` (t1, y1, t2, y2) and ``root``. A life is fitted point by point by one task.
+    """
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        line = PiecewiseLinearRegression(not_increasing)
+        for t, y in zip(part["time"], part[value], strict=True):
+            line.add_point(float(t), float(y))
+        found = line.finish()
+        pieces = [{"t1": a[0], "y1": a[1], "t2": b[0], "y2": b[1]} for a, b in found.pieces]
+        return pd.DataFrame([{**part[list(LIFE)].iloc[0].to_dict(), "pieces": pieces, "root": found.root()}])
+
+    kinds = ", ".join(f"{c} {timed.schema[c].dataType.simpleString()}" for c in LIFE)
+    source = timed.select(*LIFE, "pos", "time", value).filter(F.col("time").isNotNull() & F.col(value).isNotNull())
+    return by_group(source, LIFE, "pos", run, f"{kinds}, pieces array<struct<t1:double,y1:double,t2:double,y2:double>>, root double")
+
+
 def lives_of(predictions: DataFrame, rul_threshold: float | None = None) -> DataFrame:
     return fitted_lives(with_time(split_lives(predictions), rul_threshold))
 
@@ -246,6 +268,17 @@ def weibull(scale: Column, shape: Column, q: float = 0.5) -> dict[str, Column]:
     }
 
 
+#: Euler's constant, as the divergence has it.
+EULER = 0.5772
+
+
+def weibull_divergence(scale: Column, shape: Column, other_scale: Column, other_shape: Column) -> Column:
+    """Kullback-Leibler divergence of a Weibull distribution from another."""
+    densities = F.log(shape / F.pow(scale, shape)) - F.log(other_shape / F.pow(other_scale, other_shape))
+    means = (shape - other_shape) * (F.log(scale) - EULER / shape)
+    return densities + means + F.pow(scale / other_scale, other_shape) * F.exp(log_gamma(other_shape / shape + 1)) - 1
+
+
 def weibull_log_likelihood(y: Column, scale: Column, shape: Column) -> Column:
     z = F.greatest(y, F.lit(1e-12)) / scale
     return F.ln(shape / scale) + (shape - 1) * F.ln(z) - F.pow(z, shape)
