@@ -44,12 +44,12 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 #: Entries of the transition tables and of the memo of whole pieces, per worker.
 MAX_TRANSITIONS = 500_000
-MAX_PIECES = 400_000
+MAX_PIECES = 250_000
 MAX_PIECE_CHARS = 8_000_000
 #: A longer piece is encoded anew each time.
-MAX_PIECE = 256
+MAX_PIECE = 64
 #: Code points that are cut into pieces together.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 300_000
 
 #: The split that :func:`pieces_of` does without a pattern engine; other patterns go through ``regex``.
 KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,9 +22,9 @@ Held = TypeVar("Held")
 
 #: Rows and bytes of an Arrow batch at most (Spark ends a batch after the row that passes the bytes).
 BATCH_ROWS = 512
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 #: Text bytes that an operator works on at once, where texts are shorter than that.
-BATCH_TEXT = 16 << 20
+BATCH_TEXT = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -67,9 +69,13 @@ def held(key: str, make: Callable[[], Held]) -> Held:
     """What a worker keeps from task to task: the state of the operator it ran last, and no other.
 
     Workers live as long as the application; tables and memos of all operators would add up in them.
+    What the last one held goes back to the system, where the C library can do that.
     """
     if key not in _HELD:
         _HELD.clear()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            gc.collect()
+            trim(0)
         _HELD[key] = make()
     return _HELD[key]
 

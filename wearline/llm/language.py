@@ -46,7 +46,7 @@ MAX_FIT_BYTES = 8 << 20
 LONG = 48
 ROUNDS = 3
 #: Words whose log probabilities a task remembers.
-MAX_MEMO = 400_000
+MAX_MEMO = 250_000
 MAX_MEMO_CHARS = 8_000_000
 BATCH_BYTES = 2 << 20
 BATCH_CHARS = 2_000_000
@@ -306,7 +306,7 @@ def fit(rows: DataFrame, path: str, max_docs: int = MAX_DOCS, max_bytes: int = M
     slot = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(_SLOTS))
     # The share of a language's rows that surely holds so many: the rest need not be sorted.
     share = F.least(F.lit(1.0), 2.0 * max_docs / F.col("n") + 20.0 / F.col("n"))
-    some = rows.withColumn("slot", slot).join(F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("n"))), "lang").filter(F.col("slot") < share * _SLOTS)
+    some = rows.withColumn("slot", slot).join(rows.groupBy("lang").agg(F.count("*").alias("n")), "lang").filter(F.col("slot") < share * _SLOTS)
     order = Window.partitionBy("lang").orderBy("slot", "doc_id", F.md5("text"))
     ranked = some.select("lang", "text", F.row_number().over(order).alias("k"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("bytes"))
     by_language: dict[str, list[str]] = {}

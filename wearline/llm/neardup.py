@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, prepare, raw_bytes, stored, table
+from .common import bounded, held, prepare, raw_bytes, stored, table
 from .graph import components
 from .spans import mix, offsets_of, ragged
 
@@ -70,7 +70,7 @@ RUN_ROWS = 1 << 15
 #: Nodes of clusters (about 100 bytes each) that are broadcast to find their texts; more are joined by a shuffle.
 MAX_BROADCAST_ROWS = 100_000
 #: Words whose hashes a worker remembers, and the longest of them.
-MAX_WORDS = 300_000
+MAX_WORDS = 200_000
 MAX_WORD_BYTES = 64
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -105,9 +105,6 @@ class _WordHashes(dict):
         return value
 
 
-_WORDS = _WordHashes()
-
-
 def shingle_sets(batch: list[bytes], words: int, limit: int = LONG_BYTES) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a text beyond the limit goes through in overlapping parts."""
     if not batch:
@@ -117,12 +114,13 @@ def shingle_sets(batch: list[bytes], words: int, limit: int = LONG_BYTES) -> lis
         for part in parts:
             whole = np.union1d(whole, shingle_sets([part], words, len(part))[0])
         return [whole]
-    if len(_WORDS) > MAX_WORDS:
-        _WORDS.clear()
+    known = held("neardup", _WordHashes)
+    if len(known) > MAX_WORDS:
+        known.clear()
     # bytes.split() knows the same white space as the rule: space and 0x09 to 0x0D.
     split = [t.translate(_LOWER).split() for t in batch]
     n_words = np.array([len(w) for w in split], dtype=np.int64)
-    hashes = np.fromiter((_WORDS[w] for some in split for w in some), dtype=np.uint64, count=int(n_words.sum()))
+    hashes = np.fromiter((known[w] for some in split for w in some), dtype=np.uint64, count=int(n_words.sum()))
     counts = np.where(n_words >= words, n_words - words + 1, (n_words > 0).astype(np.int64))
     begin = ragged(offsets_of(n_words)[:-1], counts)
     shingles = np.zeros(len(begin), dtype=np.uint64)
