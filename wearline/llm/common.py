@@ -52,6 +52,15 @@ def stored(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+#: Rows (of a few hundred bytes at most) that are broadcast; more go through a shuffle.
+MAX_BROADCAST_ROWS = 100_000
+
+
+def small(rows: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A stored table of narrow rows, to be broadcast if it has so many at most."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def id_crc(column: str = "doc_id") -> Column:
     """crc32 of an id written as text; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

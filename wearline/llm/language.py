@@ -4,7 +4,7 @@ Each language has probabilities of the pieces of a fixed public vocabulary. A wo
 the sum over all its segmentations into pieces, by the forward algorithm; a text's is the product
 over its words (runs of letters, lower-cased, with the vocabulary's word mark in front). Piece
 probabilities come from expected counts (forward-backward, a few rounds) over the words of a bounded
-sample: of each language the first ``MAX_DOCS`` texts in the order of a hash of the id, as far as they
+sample: of each language the first ``MAX_DOCS`` ids in the order of a hash, one text an id, as far as they
 stay within ``MAX_FIT_BYTES`` together.
 
 Texts are scored whole, with all lower-case letter pieces of the vocabulary and words of any length.
@@ -15,7 +15,8 @@ proportional to their length.
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so is every text
 where no language could be learned; very long texts go through in parts that end between words; ties
 go to the first language by name; rows with a null lang teach nothing; a null doc_id is scored, not held
-out, and teaches nothing; repeated rows give repeated results, and teach once each, within the bound;
+out, and teaches nothing; repeated rows give repeated results and teach once; of several texts of one
+id in one language the first by digest teaches;
 empty tables give no row; other columns stay.
 """
 
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import chunks
-from .common import bounded, extended, gathered, held, id_crc, prepare, table, texts, vocabulary_file
+from .common import bounded, extended, gathered, held, id_crc, prepare, small, stored, table, texts, vocabulary_file
 from .spans import SpanHash, code_points, cut_text, offsets_of
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -303,15 +304,19 @@ def fit_texts(by_language: dict[str, list[str]], known: Vocabulary, rounds: int
 def fit(rows: DataFrame, path: str, max_docs: int = MAX_DOCS, max_bytes: int = MAX_FIT_BYTES) -> Model:
     """Fit on the first ``max_docs`` texts of each language of ``rows`` (doc_id, text, lang) in the order of a hash, within ``max_bytes``."""
     rows = rows.filter("lang IS NOT NULL AND doc_id IS NOT NULL")
-    slot = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(_SLOTS))
-    # The share of a language's rows that surely holds so many: the rest need not be sorted.
-    share = F.least(F.lit(1.0), 2.0 * max_docs / F.col("n") + 20.0 / F.col("n"))
-    some = rows.withColumn("slot", slot).join(rows.groupBy("lang").agg(F.count("*").alias("n")), "lang").filter(F.col("slot") < share * _SLOTS)
-    order = Window.partitionBy("lang").orderBy("slot", "doc_id", F.md5("text"))
-    ranked = some.select("lang", "text", F.row_number().over(order).alias("k"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("bytes"))
+    # Texts are read only for the ids that are chosen.
+    narrow = rows.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(_SLOTS)).alias("slot"))
+    counts = stored(narrow.groupBy("lang").agg(F.count("*").alias("n")))
+    # Surely enough of a language's ids, so that the rest need not be sorted.
+    share = F.least(F.lit(1.0), (2.0 * max_docs + 20) / F.col("n"))
+    some = narrow.join(small(counts), "lang").filter(F.col("slot") < share * _SLOTS).select("lang", "doc_id", "slot").distinct()
+    first = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("slot", "doc_id"))).filter(F.col("k") <= max_docs)
+    chosen = stored(first.select("lang", "doc_id", "k"))
+    one = rows.join(small(chosen), ["lang", "doc_id"]).groupBy("lang", "k").agg(F.min_by(F.coalesce("text", F.lit("")), F.coalesce(F.md5("text"), F.lit(""))).alias("text"))
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
     by_language: dict[str, list[str]] = {}
-    for row in ranked.filter((F.col("k") <= max_docs) & (F.col("bytes") <= max_bytes)).select("lang", "k", "text").sort("lang", "k").collect():
-        by_language.setdefault(row[0], []).append(row[2] or "")
+    for name, _, text in sorted(one.withColumn("upto", upto).filter(F.col("upto") <= max_bytes).select("lang", "k", "text").collect()):
+        by_language.setdefault(name, []).append(text)
     return fit_texts(by_language, vocabulary(vocabulary_file(path)))
 
 

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, held, prepare, raw_bytes, stored, table
+from .common import bounded, held, prepare, raw_bytes, small, stored, table
 from .graph import components
 from .spans import mix, offsets_of, ragged
 
@@ -67,8 +67,6 @@ CHUNK_BYTES = 1 << 20
 LONG_BYTES = 4 << 20
 #: Rows of an order that are compared together.
 RUN_ROWS = 1 << 15
-#: Nodes of clusters (about 100 bytes each) that are broadcast to find their texts; more are joined by a shuffle.
-MAX_BROADCAST_ROWS = 100_000
 #: Words whose hashes a worker remembers, and the longest of them.
 MAX_WORDS = 200_000
 MAX_WORD_BYTES = 64
@@ -529,8 +527,7 @@ def _sets(docs: DataFrame, chosen: DataFrame, rule: Rule, text: str) -> DataFram
     """The shingle sets of the chosen nodes, from the text of one row each (rep: its id and key)."""
     held = docs.select("doc_id", F.col(text).alias("text"), text_key(F.col(text)).alias("key"))
     same = F.col("d.doc_id").eqNullSafe(F.col("c.rep.doc_id")) & F.col("d.key").eqNullSafe(F.col("c.rep.key"))
-    few = chosen.count() <= MAX_BROADCAST_ROWS
-    joined = held.alias("d").join((F.broadcast(chosen) if few else chosen).alias("c"), same)
+    joined = held.alias("d").join(small(chosen).alias("c"), same)
     joined = joined.select("text", "node", "cluster", "block", "blocks")
     schema = pa.schema([("cluster", pa.binary()), ("block", pa.int64()), ("blocks", pa.int64()), ("node", pa.binary()), ("shingles", pa.binary())])
 
