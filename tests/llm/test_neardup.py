@@ -171,7 +171,8 @@ def test_words_of_one_pattern_stay_apart(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(k, k) for k in range(6)]
 
 
-def test_recall_in_a_crowd(spark):
+@pytest.mark.parametrize("changed", [6, 12])
+def test_recall_in_a_crowd(spark, changed):
     """Texts that share half their words crowd every region; pairs just over the threshold are planted among them."""
     random.seed(8)
     rule = neardup.Rule(3, 85)
@@ -183,7 +184,7 @@ def test_recall_in_a_crowd(spark):
         rows.append((2 * k, " ".join(words)))
         if k % 3 == 0:
             twin = list(words)
-            twin[150:156] = [f"w{next(fresh)}" for _ in range(6)]
+            twin[150 : 150 + changed] = [f"w{next(fresh)}" for _ in range(changed)]
             rows.append((2 * k + 1, " ".join(twin)))
             a, b = shingles(rows[-1][1], 3), shingles(rows[-2][1], 3)
             if 100 * len(a & b) >= 85 * len(a | b):
@@ -191,8 +192,11 @@ def test_recall_in_a_crowd(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, rule).collect()}
     assert len(pairs) == 1000
-    assert sum(found[a] == found[b] for a, b in pairs) == 1000
-    assert len(set(found.values())) == 3000
+    # 6 words leave a similarity of 0.91, 12 of 0.854.
+    caught = sum(found[a] == found[b] for a, b in pairs)
+    print("caught", caught)
+    assert caught >= (1000 if changed == 6 else 995)
+    assert len(set(found.values())) == 4000 - caught
 
 
 def test_links_of_a_dense_group_are_few(spark):
