@@ -39,8 +39,9 @@ def mix(h: np.ndarray) -> np.ndarray:
 class SpanHash:
     """Hashes of any spans of one sequence of symbols, from one prefix sum.
 
-    Equal spans of symbols get equal 64-bit hashes; different ones differ but for a chance of about
-    2**-60 a pair.
+    Equal spans of symbols get equal 64-bit hashes. Different short ones differ but for a chance of about
+    2**-60 a pair; long spans of two alternating symbols can be made to collide, so this is for spans no
+    longer than a vocabulary's pieces.
     """
 
     def __init__(self, symbols: np.ndarray) -> None:
