@@ -150,7 +150,7 @@ class MedianCentering(ColumnStep):
 class PerCategoricalMinMaxScaler(Step):
     """A scaler for each category, and one of all rows for unseen ones: one aggregation by category.
 
-    The categories are a small table: they become literals up to ``MAX_LITERALS``, and a join beyond.
+    The categories are a small table that becomes literals; more than ``MAX_LITERALS`` are refused.
     """
 
     fitted = True
