@@ -102,3 +102,26 @@ def test_rolling_data_as_defined(spark, size, window, step):
         parts = [x[i : i + window] for i in range(0, size, window)]
     found = op.apply_rolling_data(from_cycles(spark, [pd.DataFrame({"a": x, "RUL": 0.0})]).frame(["a"]), F.sum, window, step=step)
     assert np.allclose(series(found)[0], [p.sum() for p in parts])
+
+
+def test_sets_of_one_file_a_cycle(spark, tmp_path):
+    from wearline.sources import load_cycle_files
+
+    folder = tmp_path / "processed" / "cycles"
+    folder.mkdir(parents=True)
+    frames = [pd.DataFrame({"a": np.arange(float(n)), "s": [f"x{i}" for i in range(n)], "RUL": np.arange(float(n))[::-1]}) for n in (3, 5, 4, 2)]
+    frames[0].to_csv(folder / "one.csv", index=False)
+    frames[1].to_parquet(folder / "two.parquet")
+    frames[2].to_feather(folder / "three.feather")
+    frames[3].drop(columns="s").to_pickle(folder / "four.pkl")
+    names = ["one.csv", "two.parquet", "three.feather", "four.pkl", "one.csv"]
+    pd.DataFrame({"Filename": [str(folder / n) if k % 2 else f"processed/cycles/{n}" for k, n in enumerate(names)], "n": 1}).to_csv(folder / "cycles.csv", index=False)
+    found = load_cycle_files(spark, str(tmp_path))
+    assert len(found) == 5 and found.rul_column == "RUL" and set(found.features) == {"a", "s", "RUL"}
+    for i, k in enumerate([0, 1, 2, 3, 0]):
+        own = found[i].toPandas()
+        assert own["a"].tolist() == frames[k]["a"].tolist() and own["RUL"].tolist() == frames[k]["RUL"].tolist()
+        assert own["s"].tolist() == (frames[k]["s"].tolist() if k != 3 else [None, None])
+    (folder / "cycles.csv").write_text("Filename\n")
+    with pytest.raises(ValueError):
+        load_cycle_files(spark, str(tmp_path))

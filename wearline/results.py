@@ -83,17 +83,18 @@ def fitted_lives(timed: DataFrame) -> DataFrame:
     """One row per life: errors, line fits, and true and predicted ends of life."""
     e = F.col("y_true") - F.col("y_pred")
     t = F.col("time")
-    lines = timed.groupBy(*LIFE).agg(
-        F.regr_slope("y_pred", t).alias("slope_pred"), F.regr_intercept("y_pred", t).alias("intercept_pred"),
+    whole = Window.partitionBy(*LIFE)
+    line = timed.withColumns({"_slope": F.regr_slope("y_pred", t).over(whole), "_intercept": F.regr_intercept("y_pred", t).over(whole)})
+    lines = line.groupBy(*LIFE).agg(
+        F.first("_slope").alias("slope_pred"), F.first("_intercept").alias("intercept_pred"),
+        F.avg(F.abs(F.col("y_pred") - F.col("_slope") * t - F.col("_intercept"))).alias("noisiness"),
         F.regr_slope("y_true", t).alias("slope_true"), F.regr_intercept("y_true", t).alias("intercept_true"),
         F.count("*").alias("n_rows"), F.first("start").alias("degrading_start"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
         F.coalesce(F.min(F.when(F.col("y_pred") == 0, F.struct("pos", "time")))["time"], F.max_by(t + F.col("y_pred"), "pos")).alias("predicted_end_of_life"),
         F.coalesce(F.min(F.when(F.col("y_true") == 0, F.struct("pos", "time")))["time"], F.max_by(t + F.col("y_true"), "pos")).alias("end_of_life"),
-        F.collect_list(F.struct("time", "y_pred")).alias("_points"),
     )
-    off = F.aggregate("_points", F.lit(0.0), lambda s, p: s + F.abs(p["y_pred"] - F.col("slope_pred") * p["time"] - F.col("intercept_pred")))
     angle = F.atan(ratio(F.col("slope_true") - F.col("slope_pred"), 1 + F.col("slope_true") * F.col("slope_pred")))
-    return lines.withColumn("noisiness", off / F.col("n_rows")).withColumn("slope_resemblance", 1 - F.abs(angle / (math.pi / 2) ** 2)).drop("_points")
+    return lines.withColumn("slope_resemblance", 1 - F.abs(angle / (math.pi / 2) ** 2))
 
 
 def lines_of_lives(timed: DataFrame, value: str = "y_pred", not_increasing: bool = True) -> DataFrame:

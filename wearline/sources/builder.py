@@ -207,6 +207,9 @@ class LocalStorageOutputMode(OutputMode):
         """One file per cycle, written by the tasks: the folder must be one that all of them share."""
         import os
 
+        master = cycles.df.sparkSession.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("feather files are written to one machine's folder: use Parquet or CSV on a cluster")
         ship(cycles.df.sparkSession)
         os.makedirs(where, exist_ok=True)
         cycle = cycles.cycle

@@ -8,16 +8,21 @@ any store that Spark reaches will do.
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from functools import reduce
+from urllib.parse import unquote
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wearline.frame import CycleSet
 from wearline.shipping import ship
 
-__all__ = ["load_cycles", "load_dataframe", "read_file"]
+__all__ = ["load_cycle_files", "load_cycles", "load_dataframe", "read_file"]
 
 _CSV = {"header": "true", "inferSchema": "true"}
 
@@ -98,3 +103,57 @@ def load_cycles(spark: SparkSession, path: str, rul: str = "RUL") -> CycleSet:
     cycle = kind["cycle_column"]
     df = df.withColumn(cycle, F.col(cycle).cast(metadata.schema[cycle].dataType))
     return CycleSet(df, cycle, "pos", rul, [c for c in df.columns if c not in (cycle, "pos")], positions=False)
+
+
+def load_cycle_files(spark: SparkSession, path: str, rul: str = "RUL", schema: StructType | str | None = None) -> CycleSet:
+    """A set stored as one file a cycle: ``path/processed/cycles/cycles.csv`` lists them, in order, in its column Filename.
+
+    Files are csv, xls(x), parquet, feather, HDF or pickle, also mixed; each is read whole by one task. A
+    cycle's id is its place in the list, and a file that is listed twice is two cycles. Relative names
+    start at ``path``. Without a schema the columns are those of the first file of each format; a
+    column that a file lacks is NULL, others are left out.
+    """
+    ship(spark)
+    listed = spark.read.option("header", "true").csv(f"{path}/processed/cycles/cycles.csv").select("Filename")
+    # The list itself is needed here: Spark is told which files to read.
+    names = [r[0] if r[0].startswith("/") or "://" in r[0] else f"{path.rstrip('/')}/{r[0]}" for r in listed.collect()]
+    if not names:
+        raise ValueError(f"{path} lists no cycles")
+    places: dict[str, list[int]] = {}
+    for i, name in enumerate(names):
+        places.setdefault(_local(name), []).append(i)
+    of_kind: dict[str, list[str]] = {}
+    for name in dict.fromkeys(names):
+        of_kind.setdefault(_suffix(name), []).append(name)
+    files = {suffix: spark.read.format("binaryFile").load(some).select("path", "content") for suffix, some in of_kind.items()}
+    if schema is None:
+        first = [_nulls(read_file(bytes(df.first()["content"]), suffix)) for suffix, df in files.items()]
+        fields = {f.name: f for own in first for f in spark.createDataFrame(own.head(100)).schema.fields}
+        schema = StructType(list(fields.values()))
+    features = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    whole = StructType([*StructType.fromDDL("cycle_id long, pos long").fields, *features.fields])
+
+    def reader(suffix: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                for name, content in zip(part["path"], part["content"], strict=True):
+                    own = _nulls(read_file(bytes(content), suffix).reindex(columns=features.names))
+                    for i in places[_local(name)]:
+                        yield own.assign(cycle_id=i, pos=range(len(own)))[whole.names]
+
+        return run
+
+    found = [df.mapInPandas(reader(suffix), whole) for suffix, df in files.items()]
+    return CycleSet(reduce(DataFrame.unionByName, found), "cycle_id", "pos", rul, features.names, positions=False)
+
+
+def _local(name: str) -> str:
+    """A path without its scheme, as Spark and a list may write it differently."""
+    return "/" + re.sub(r"^[a-z][a-z0-9+.-]*:", "", unquote(name)).lstrip("/")
+
+
+def _nulls(frame: pd.DataFrame) -> pd.DataFrame:
+    """Columns of other than numbers, truth values and times as plain objects, with None for what is missing."""
+    own = [c for c in frame.columns if not isinstance(frame[c].dtype, np.dtype) or frame[c].dtype.kind not in "biufmM" or frame[c].isna().all()]
+    plain = {c: frame[c].astype(object).where(frame[c].notna(), None) for c in own}
+    return frame.assign(**plain).reset_index(drop=True)
