@@ -87,7 +87,7 @@ def test_query(spark):
         assert set(filter(None, listed.split(","))) <= set(r["spans"].split(","))
 
 
-@pytest.mark.parametrize("unit", ["a=ba", "token=", "password=abcdef99 ", "x = '", 'a="b"+', "key: ", "k" * 200 + "=", " \t=", "secret_" + "x" * 300 + "='Ab3dEf9hIj2k'\n"])
+@pytest.mark.parametrize("unit", ["a=ba", "token=", "password=abcdef99 ", "x = '", 'a="b"+', "key: ", "k" * 200 + "=", " \t=", "t = t + 'x1'\n", "secret_" + "x" * 300 + "='Ab3dEf9hIj2k'\n"])
 def test_time_follows_length(unit):
     def seconds(n):
         text = "token " + unit * (n // len(unit))
@@ -119,3 +119,28 @@ def test_covered_literals_by_brute_force():
         base = secrets.base_spans(text)
         added = [s for s in secrets.literal_spans(text) if not any(b.start <= s.start and s.end <= b.end for b in base)]
         assert sorted((s.start, s.end, s.kind) for s in secrets.spans_of(text)) == sorted((s.start, s.end, s.kind) for s in [*base, *added])
+
+
+@pytest.mark.parametrize("n", [2, 64, 65, 500])
+def test_put_together_from_any_number_of_literals(n):
+    keys = [random.Random(i).choice("abcXYZ019") + str(i) for i in range(n)]
+    step_by_step = "part = ''\n" + "".join(f"part = part + '{k}'\n" for k in keys) + "db_password = part\n"
+    at_once = "client_secret_value = " + " + ".join(f"'{k}'" for k in keys)
+    for text in (step_by_step, at_once):
+        found = [text[s.start : s.end] for s in secrets.spans_of(text) if s.kind == "literal"]
+        assert found == (keys if len("".join(keys)) >= 8 else [])
+
+
+def test_profiles_of_parts():
+    rng = random.Random(3)
+    for _ in range(300):
+        parts = ["".join(rng.choice("aB3-é ßЖ{$") for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 5))]
+        whole = secrets.Profile.of(parts[0])
+        for part in parts[1:]:
+            whole = whole.joined(secrets.Profile.of(part))
+        assert whole.keyness() == pytest.approx(secrets.keyness("".join(parts)))
+
+
+def test_values_that_double_themselves():
+    text = "a = 'Ab3dEf9hIj2k'\n" + "a = a + a\n" * 3000 + "my_token = a\n"
+    assert [text[s.start : s.end] for s in secrets.spans_of(text) if s.kind == "literal"] == ["Ab3dEf9hIj2k"]

@@ -4,9 +4,10 @@ Three base patterns come first (an assignment to a sensitive word, an access key
 hexadecimal run). Then a lexer reads each assignment around ``=``, ``:``, ``:=`` or ``=>``: the name
 on its left (an identifier, bare or quoted, dotted or dashed) and the expression on its right (string
 literals, bare words and names, joined by ``+``). Names stand for the literal last assigned to them
-before, so a value reaches a sensitive name through constants too. A literal's score is the
-sensitivity of the names it flows to, times how much it looks like a key and not like a word or a
-placeholder. Literals that score at least ``THRESHOLD`` and lie in no base span are added.
+before, so a value reaches a sensitive name through constants too, from however many literals it is
+put together. A literal's score is the sensitivity of the names it flows to, times how much the whole
+value looks like a key and not like a word or a placeholder. Literals that score at least ``THRESHOLD``
+and lie in no base span are added.
 
 Names and values have any length; a bare word ends at ``=`` (but for the padding of base64), so each
 character belongs to one name and one value and a text is read in time proportional to its length.
@@ -24,6 +25,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 from typing import NamedTuple
 
@@ -54,8 +56,8 @@ _STEMS = ("pass", "secret", "token", "key", "pwd", "pw", "credential", "bearer",
 #: Values that stand for a secret and are none.
 PLACEHOLDERS = frozenset("changeme example placeholder password secret token none null true false undefined redacted hidden default dummy test your_password your_token".split())
 THRESHOLD = 0.5
-#: What is put together from more literals is a text and no key: its names pass nothing on, its own literals are judged by themselves.
-MAX_PARTS = 64
+#: The first characters of a value that are kept: more than a placeholder or a telling prefix has.
+_HEAD = 16
 
 _OPERATOR = re.compile(r":=|=>|[=:]")
 #: A name, read backwards from its end.
@@ -97,16 +99,56 @@ def sensitivity(name: str) -> float:
     return max((SENSITIVE.get(w, 0.0) for w in [*words, *pairs]), default=0.0)
 
 
+class Profile(NamedTuple):
+    """What tells a key from other values; that of a joined value follows from those of its parts."""
+
+    size: float
+    head: str
+    #: Which kinds of characters occur: lower case, upper case, digits, others; and the space.
+    kinds: tuple[bool, bool, bool, bool, bool]
+    #: How often each character occurs; those beyond ASCII share 128 symbols.
+    counts: dict[int, float]
+
+    @classmethod
+    def of(cls, literal: str) -> Profile:
+        found = Counter(literal)
+        counts: Counter[int] = Counter()
+        for c, n in found.items():
+            counts[ord(c) if ord(c) < 128 else 128 + ord(c) % 128] += n
+        kinds = *(any(f(c) for c in found) for f in (str.islower, str.isupper, str.isdigit)), any(not c.isalnum() for c in found), " " in found
+        return cls(len(literal), literal[:_HEAD], kinds, counts)
+
+    def joined(self, other: Profile) -> Profile:
+        # Only proportions matter in long values, such as names that double themselves line by line.
+        scale = 2.0**-30 if self.size + other.size > 2.0**60 else 1.0
+        counts = {c: n * scale for c, n in self.counts.items()}
+        for c, n in other.counts.items():
+            counts[c] = counts.get(c, 0.0) + n * scale
+        kinds = tuple(a or b for a, b in zip(self.kinds, other.kinds, strict=True))
+        return Profile((self.size + other.size) * scale, (self.head + other.head)[:_HEAD], kinds, counts)
+
+    def keyness(self) -> float:
+        low = self.head.lower()
+        lower, upper, digit, other, space = self.kinds
+        if self.size < 8 or (self.size <= _HEAD and low in PLACEHOLDERS) or low.startswith(("${", "<", "{{", "%(", "http://", "https://", "/", "./")) or space:
+            return 0.0
+        bits = -sum(c / self.size * math.log2(c / self.size) for c in self.counts.values() if c)
+        mixed = digit or lower + upper + digit + other >= 3
+        return min(1.0, bits / 3.0) * (1.0 if mixed else 0.4)
+
+
 def keyness(literal: str) -> float:
     """From 0 to 1, how much a literal looks like a key: long enough, mixed, no placeholder, no prose."""
-    low = literal.lower()
-    if len(literal) < 8 or low in PLACEHOLDERS or low.startswith(("${", "<", "{{", "%(", "http://", "https://", "/", "./")) or " " in literal:
-        return 0.0
-    counts = Counter(literal)
-    bits = -sum(c / len(literal) * math.log2(c / len(literal)) for c in counts.values())
-    kinds = sum(any(f(c) for c in literal) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in literal)
-    mixed = any(c.isdigit() for c in literal) or kinds >= 3
-    return min(1.0, bits / 3.0) * (1.0 if mixed else 0.4)
+    return Profile.of(literal).keyness()
+
+
+class Value:
+    """The literals that a value is put together from: one of its own, or those of other values."""
+
+    __slots__ = ("parts", "place", "seen")
+
+    def __init__(self, place: tuple[int, int] | None, parts: tuple[Value, ...] = ()) -> None:
+        self.place, self.parts, self.seen = place, parts, False
 
 
 class Assignment(NamedTuple):
@@ -150,27 +192,39 @@ def literal_spans(text: str) -> list[Span]:
     low = text.lower()
     if not ("=" in low or ":" in low) or not any(stem in low for stem in _STEMS):
         return []
-    known: dict[str, tuple[tuple[int, int], ...]] = {}
-    scores: dict[tuple[int, int], float] = {}
+    known: dict[str, tuple[Value, Profile]] = {}
+    judged: list[tuple[float, Value]] = []
     for found in assignments(text):
-        places: list[tuple[int, int]] = []
+        parts: list[tuple[Value, Profile]] = []
         for part in found.parts:
-            if isinstance(part, str):
-                places += known.get(part, ())
-            else:
-                places.append(part)
-        places = list(dict.fromkeys(places))
-        if len(places) > MAX_PARTS:
-            places = [p for p in found.parts if not isinstance(p, str)]
-            places = places if len(places) <= MAX_PARTS else []
-        known[found.name] = tuple(places)
-        weight = sensitivity(found.name)
-        if weight and places:
-            # What is put together is judged together: each part belongs to the key.
-            value = keyness("".join(text[s:e] for s, e in places))
-            for place in places:
-                scores[place] = max(scores.get(place, 0.0), weight * value)
-    return [Span(s, e, "literal", s, e, round(x, 4)) for (s, e), x in scores.items() if x >= THRESHOLD and e > s]
+            if not isinstance(part, str):
+                parts.append((Value(part), Profile.of(text[part[0] : part[1]])))
+            elif part in known:
+                parts.append(known[part])
+        if not parts:
+            known.pop(found.name, None)
+            continue
+        value, profile = parts[0]
+        if len(parts) > 1:
+            value, profile = Value(None, tuple(v for v, _ in parts)), reduce(Profile.joined, (p for _, p in parts))
+        known[found.name] = value, profile
+        # What is put together is judged together: each part belongs to the key.
+        score = sensitivity(found.name) * profile.keyness()
+        if score >= THRESHOLD:
+            judged.append((score, value))
+    # The highest scores first: each value hands its literals the first score that reaches it.
+    scores: dict[tuple[int, int], float] = {}
+    for score, value in sorted(judged, key=lambda j: -j[0]):
+        reached = [value]
+        while reached:
+            now = reached.pop()
+            if now.seen:
+                continue
+            now.seen = True
+            if now.place is not None:
+                scores.setdefault(now.place, score)
+            reached += now.parts
+    return [Span(s, e, "literal", s, e, round(x, 4)) for (s, e), x in scores.items() if e > s]
 
 
 def spans_of(text: str) -> list[Span]:
