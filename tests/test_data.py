@@ -211,6 +211,48 @@ def test_baselines(spark):
     assert [r["y_pred"] for r in fixed][:5] == [2, 1, 0, 0, 0]
 
 
+class Descent:
+    """Least squares by gradient steps, with an intercept."""
+
+    def __init__(self):
+        self.w = None
+
+    def partial_fit(self, x, y):
+        x = np.c_[x.astype(float), np.ones(len(x))]
+        self.w = np.zeros(x.shape[1]) if self.w is None else self.w
+        self.w -= 0.3 * x.T @ (x @ self.w - y) / len(y)
+
+    def predict(self, x):
+        return np.c_[x.astype(float), np.ones(len(x))] @ self.w
+
+
+def test_model_objects_learn_by_batches(spark):
+    data = ramp(spark, 12, 9).frame()
+    scaled = op.MinMaxScaler((0, 1)).fit_transform(data.select(["RUL"]))
+    own = samples.WindowedDatasetIterator(scaled, scaled, 2)
+    model, history = models.fit_batch(Descent(), samples.Batcher(own, 4), own, n_epochs=6)
+    assert len(history) == 6 and history[-1] < history[0] / 4
+    found = models.predict_batch(model, own).orderBy("cycle_id", "pos").collect()
+    x, y, _ = own.get_data()
+    assert len(found) == len(x) and np.allclose([r["y_pred"] for r in found], model.predict(x)) and np.allclose([r["y_true"] for r in found], y[:, 0])
+    assert models.fit_batch(Descent(), samples.Batcher(own, 4), n_epochs=1)[1] == []
+
+
+def test_regressor_of_cycles(spark):
+    own = ramp(spark, 12, 9)
+    windows = models.TimeSeriesWindowTransformer(Transformer(op.ByNameFeatureSelector(["a", "RUL"]), op.ByNameFeatureSelector(["RUL"])), 2, padding=False)
+    fitted = models.CycleRegressor(windows, LinearRegression()).fit(own)
+    assert fitted.score(own) > 0.999 and fitted.score(own, "rmse") < 1e-3
+    assert fitted.score(own, F.max(F.abs(F.col("y_true") - F.col("y_pred")))) < 1e-2
+    assert windows.true_values(own).count() == fitted.predict(own).count() == 19
+    assert windows.get_params()["window_size"] == 2
+    scaled = Transformer(make_pipeline(op.ByNameFeatureSelector(["RUL"]), op.MinMaxScaler((0, 1))), op.ByNameFeatureSelector(["RUL"]))
+    stepwise = models.CycleRegressor(models.TimeSeriesWindowTransformer(scaled, 2), Descent(), batch_size=8, n_epochs=3)
+    with pytest.raises(ValueError):
+        stepwise.predict(own)
+    assert stepwise.fit(own).predict(own).count() == 21
+
+
 def test_regression_on_windows(spark):
     data = ramp(spark, 30, 25).frame()
     own = samples.WindowedDatasetIterator(data.select(["a", "RUL"]), data.select(["RUL"]), 2)

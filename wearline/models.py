@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -13,7 +16,8 @@ from pyspark.sql import functions as F
 
 from wearline.frame import CycleSet
 from wearline.functions.quantiles import Quantile, exact
-from wearline.plans.samples import WindowedDatasetIterator
+from wearline.plans.graph import Transformer
+from wearline.plans.samples import Batcher, WindowedDatasetIterator
 from wearline.results import LIFE, with_time
 
 
@@ -79,6 +83,111 @@ def predict(model: Model, samples: WindowedDatasetIterator) -> DataFrame:
     return model.transform(training_rows(samples)).select(samples.x.cycle, samples.x.pos, F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
 
 
+def _table(x: np.ndarray) -> np.ndarray:
+    return x.reshape(len(x), -1)
+
+
+def fit_batch(model: Any, train: Batcher, validation: WindowedDatasetIterator | None = None, n_epochs: int = 15) -> tuple[Any, list[float]]:
+    """Fit an object with ``partial_fit(X, y)`` on every batch, epoch by epoch, and its mean squared error on the validation samples after each.
+
+    A row of X is a window, row by row. The samples are cut and sorted once and kept by the executors (what
+    is lost with one is made again). The batches come to the driver one partition at a time, so sets of
+    any size go through it; the errors are taken where the samples are.
+    """
+    history = []
+    ordered = train.iterator.ordered().persist()
+    held = None if validation is None else _windows(validation).persist()
+    try:
+        for _ in range(n_epochs):
+            for x, y, _ in train.of(ordered):
+                model.partial_fit(_table(x), y[:, 0] if y.ndim == 2 and y.shape[1] == 1 else y)
+            if held is not None:
+                error = F.col("y_true") - F.col("y_pred")
+                history.append(_scored(model, held).agg(F.avg(error * error)).first()[0])
+    finally:
+        ordered.unpersist()
+        if held is not None:
+            held.unpersist()
+    return model, history
+
+
+def _windows(samples: WindowedDatasetIterator) -> DataFrame:
+    return samples.samples().select(samples.x.cycle, samples.x.pos, F.col("y")[0].cast("double").alias("y_true"), F.flatten("X").alias("_x"))
+
+
+def predict_batch(model: Any, samples: WindowedDatasetIterator) -> DataFrame:
+    """(cycle, pos, y_true, y_pred) of an object with ``predict(X)``, which goes to the executors and sees Arrow batches of windows."""
+    return _scored(model, _windows(samples))
+
+
+def _scored(model: Any, rows: DataFrame) -> DataFrame:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                y = np.asarray(model.predict(np.stack(part["_x"].to_list()).astype(np.float32)), dtype=float)
+                yield part.drop(columns="_x").assign(y_pred=y.reshape(len(part), -1)[:, 0])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_x").schema)
+    return rows.mapInPandas(run, f"{kinds}, y_pred double")
+
+
+class TimeSeriesWindowTransformer:
+    """Cycles into windows: a transformer, and how windows are cut from what it gives."""
+
+    def __init__(self, transformer: Transformer, window_size: int, padding: bool = True, **windows: Any) -> None:
+        self.transformer, self.windows = transformer, {"window_size": window_size, "padding": padding, **windows}
+
+    def fit(self, cycles: CycleSet) -> TimeSeriesWindowTransformer:
+        self.transformer.fit(cycles)
+        return self
+
+    def transform(self, cycles: CycleSet) -> WindowedDatasetIterator:
+        data = self.transformer.transform(cycles)
+        return WindowedDatasetIterator(data.x, data.y, **self.windows)
+
+    def true_values(self, cycles: CycleSet) -> DataFrame:
+        """(cycle, pos, y_true)."""
+        samples = self.transform(cycles)
+        return samples.samples().select(samples.x.cycle, samples.x.pos, F.col("y")[0].cast("double").alias("y_true"))
+
+    def get_params(self) -> dict:
+        return {**self.windows, "transformer": self.transformer.get_params()}
+
+
+class CycleRegressor:
+    """A window transformer and a regressor as one: fitted on cycles, it predicts cycles.
+
+    The regressor is a ``pyspark.ml`` estimator, or an object with ``partial_fit`` and ``predict``
+    that learns ``batch_size`` samples at a time.
+    """
+
+    def __init__(self, windows: TimeSeriesWindowTransformer, regressor: Any, batch_size: int = 256, n_epochs: int = 1) -> None:
+        self.windows, self.regressor, self.batch_size, self.n_epochs = windows, regressor, batch_size, n_epochs
+        self.model: Any = None
+
+    def fit(self, cycles: CycleSet) -> CycleRegressor:
+        samples = self.windows.fit(cycles).transform(cycles)
+        if isinstance(self.regressor, Estimator):
+            self.model = train_model(self.regressor, samples)
+        else:
+            self.model, _ = fit_batch(self.regressor, Batcher(samples, self.batch_size), n_epochs=self.n_epochs)
+        return self
+
+    def predict(self, cycles: CycleSet) -> DataFrame:
+        """(cycle, pos, y_true, y_pred)."""
+        if self.model is None:
+            raise ValueError("the regressor is not fitted")
+        samples = self.windows.transform(cycles)
+        return predict(self.model, samples) if isinstance(self.model, Model) else predict_batch(self.model, samples)
+
+    def score(self, cycles: CycleSet, metric: str | Column = "r2") -> float:
+        """A metric of ``RegressionEvaluator`` by name, or any aggregate of y_true and y_pred."""
+        found = self.predict(cycles)
+        if isinstance(metric, Column):
+            return found.agg(metric).first()[0]
+        return RegressionEvaluator(labelCol="y_true", predictionCol="y_pred", metricName=metric).evaluate(found)
+
+
 def fold_of(cycle: Column, folds: int, seed: int = 0) -> Column:
     """A fold for whole cycles, by a hash of their id."""
     return F.pmod(F.xxhash64(cycle, F.lit(seed)), F.lit(folds)).cast("int")

@@ -237,8 +237,7 @@ class WindowedDatasetIterator:
         return self.samples().count()
 
     def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-        for row in self.ordered().toLocalIterator():
-            yield np.array(row["X"], dtype=np.float32), np.array(row["y"], dtype=np.float32), row["weight"]
+        return _arrays(self.ordered())
 
     def get_data(self, flatten: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All samples as float32 arrays on the driver: for sets that fit there."""
@@ -256,6 +255,11 @@ class WindowedDatasetIterator:
         return placed.withColumn("batch", F.floor(F.col("place") / batch_size).cast("long"))
 
 
+def _arrays(rows: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    for row in rows.toLocalIterator():
+        yield np.array(row["X"], dtype=np.float32), np.array(row["y"], dtype=np.float32), row["weight"]
+
+
 def _plain(value: object) -> object:
     return list(value) if isinstance(value, list | tuple | np.ndarray) else value
 
@@ -274,8 +278,12 @@ class Batcher:
         return -(-len(self.iterator) // self.batch_size)
 
     def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        return self.of(self.iterator.ordered())
+
+    def of(self, ordered: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The batches of samples that are in order already."""
         held: list = []
-        for sample in self.iterator:
+        for sample in _arrays(ordered):
             held.append(sample)
             if len(held) == self.batch_size:
                 yield self._stack(held)

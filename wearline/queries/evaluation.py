@@ -336,6 +336,27 @@ def baseline_model(spark, sf):
     return rounded(models.BaselineModel("mean").fit(own).predict(own).select("cycle_id", "pos", "y_true", "y_pred"))
 
 
+class _MeanOfWindow:
+    """Fits nothing: the mean of a window of two features, the second halved."""
+
+    def partial_fit(self, x, y):
+        return self
+
+    def predict(self, x):
+        cells = x.astype(float).reshape(len(x), -1, 2)
+        return cells[:, :, 0].mean(axis=1) + cells[:, :, 1].mean(axis=1) / 2
+
+
+@query(
+    "window_model_object",
+    BASE + f"""SELECT d.cycle_id, CAST(d.pos AS BIGINT) AS pos, {r('max(CAST(CAST(d.rul AS FLOAT) AS DOUBLE))', 2)} AS y_true,
+{r('avg(CAST(CAST(x.value AS FLOAT) AS DOUBLE)) + avg(x.k) / 2', 2)} AS y_pred
+FROM d JOIN d x ON x.cycle_id = d.cycle_id AND x.pos BETWEEN d.pos - 2 AND d.pos WHERE d.pos >= 2 GROUP BY 1, 2""",
+)
+def window_model_object(spark, sf):
+    return rounded(models.predict_batch(_MeanOfWindow(), _iterator(spark, sf, window_size=3)), 2)
+
+
 @query("window_regression")
 def window_regression(spark, sf):
     """Windows into a ridge regression; the model's predictions."""
