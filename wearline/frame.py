@@ -31,11 +31,12 @@ TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType, T.DayTimeIntervalTy
 _names = itertools.count()
 
 
-def by_group(df: DataFrame, keys: Sequence[str], order: str, function: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str) -> DataFrame:
+def by_group(df: DataFrame, keys: Sequence[str], order: str, function: Callable[..., pd.DataFrame], schema: T.StructType | str, together: bool = False) -> DataFrame:
     """Apply a function to the rows of each group, in order.
 
     Groups meet in partitions by one shuffle and follow each other there after a sort that can spill,
     so a task holds one group and one batch, and thousands of small groups cost one Arrow stream.
+    With ``together`` the function gets all whole groups of a batch, and where each starts.
     """
     ship(df.sparkSession)
     keys = list(keys)
@@ -60,7 +61,37 @@ def by_group(df: DataFrame, keys: Sequence[str], order: str, function: Callable[
         if held:
             yield function(pd.concat(held, ignore_index=True))
 
-    return dealt.mapInPandas(run, schema)
+    def run_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def whole() -> pd.DataFrame:
+            rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+            return function(rows, _starts(rows, keys))
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = int(_starts(batch, keys)[-1])
+            if held and (last or not _same_group(held[-1], batch, keys)):
+                # All before the batch's last group is whole.
+                held.append(batch.iloc[:last])
+                yield whole()
+                held = []
+            elif last:
+                held = [batch.iloc[:last]]
+                yield whole()
+                held = []
+            held.append(batch.iloc[last:])
+        if held:
+            yield whole()
+
+    return dealt.mapInPandas(run_together if together else run, schema)
+
+
+def _starts(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Where groups start, in rows whose groups follow each other."""
+    number = rows.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+    return np.append(0, np.flatnonzero(np.diff(number)) + 1)
 
 
 def _same_group(a: pd.DataFrame, b: pd.DataFrame, keys: list[str]) -> bool:
@@ -110,11 +141,12 @@ class Rows:
         self.df = self.df.withColumns({held[name]: c for name, c in columns.items()})
         return held
 
-    def kernel(self, inputs: dict[str, str], outputs: dict[str, str], function: Callable[[pd.DataFrame], pd.DataFrame]) -> dict[str, str]:
+    def kernel(self, inputs: dict[str, str], outputs: dict[str, str], function: Callable, together: bool = False) -> dict[str, str]:
         """Add columns by a function of a whole cycle (rows in order, inputs by their logical names).
 
         ``outputs`` has the SQL type of each new column. Only the inputs become pandas; rows and other
-        columns go through as Arrow data.
+        columns go through as Arrow data. With ``together`` the function gets all whole cycles of a
+        batch, and where each starts, and returns arrays by name: short cycles then cost no call each.
         """
         ship(self.df.sparkSession)
         held = {name: f"_c{next(_names)}" for name in outputs}
@@ -127,7 +159,10 @@ class Rows:
             """Whole cycles, each from one start to the next: their columns as they are, and the new ones."""
             read = pd.DataFrame({n: _series(rows.column(h)) for n, h in inputs.items()})
             parts: dict[str, list[pa.Array]] = {n: [] for n in kinds}
-            for a, b in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+            if together:
+                found = function(read, np.array(starts, dtype=np.int64))
+                parts = {n: [v if isinstance(v := found[n], pa.Array) else pa.array(v, kind, from_pandas=True)] for n, kind in kinds.items()}
+            for a, b in zip(starts, [*starts[1:], rows.num_rows], strict=True) if not together else ():
                 found = function(read.iloc[a:b].reset_index(drop=True))
                 for n, kind in kinds.items():
                     parts[n].append(pa.array(found[n].to_numpy(), kind, from_pandas=True))
@@ -243,9 +278,9 @@ class Frame:
         df = self.rows.df.withColumn(self.pos, F.row_number().over(self.ordered).cast("long") - 1)
         return Frame(Rows(df, self.cycle, self.pos, self.rows.unit), self.held)
 
-    def kernel(self, outputs: dict[str, str], function: Callable[[pd.DataFrame], pd.DataFrame], inputs: Sequence[str] | None = None, keep: bool = False) -> Frame:
+    def kernel(self, outputs: dict[str, str], function: Callable, inputs: Sequence[str] | None = None, keep: bool = False, together: bool = False) -> Frame:
         chosen = {n: self.held[n] for n in (self.columns if inputs is None else inputs)}
-        new = self.rows.kernel(chosen, outputs, function)
+        new = self.rows.kernel(chosen, outputs, function, together)
         return Frame(self.rows, {**self.held, **new} if keep else new)
 
     # Results -------------------------------------------------------------------------------------

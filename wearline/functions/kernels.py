@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -74,25 +75,25 @@ def find_peaks(x: np.ndarray, distance: float = 1) -> np.ndarray:
 # Frequencies ---------------------------------------------------------------------------------------
 
 
-def moments_of_spectrum(y: np.ndarray, compat: bool = False) -> tuple[float, float, float, float]:
+def moments_of_spectrum(y: np.ndarray, compat: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Centroid, variance, skewness and kurtosis of bin numbers weighted by ``y``; NaN below a variance of 0.5.
 
     ``compat`` gives the kurtosis with a plain centroid in its last term, as some published code has it.
+    Several spectra are rows of a matrix.
     """
-    total = y.sum()
-    if total <= 0:
-        return (math.nan,) * 4
-    i = np.arange(len(y), dtype=float)
-    m1, m2, m3, m4 = ((y * i**k).sum() / total for k in (1, 2, 3, 4))
-    var = m2 - m1 * m1
-    if var < 0.5:
-        return m1, var, math.nan, math.nan
-    last = m1 if compat else m1**4
-    return m1, var, (m3 - 3 * m1 * var - m1**3) / var**1.5, (m4 - 4 * m1 * m3 + 6 * m2 * m1**2 - 3 * last) / var**2
-
-
-def frequency_features(x: np.ndarray, compat: bool = False) -> list[float]:
-    """The moments of the magnitudes and of the powers of a series' spectrum."""
+    total = y.sum(axis=-1)
+    i = np.arange(y.shape[-1], dtype=float)
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        total = np.where(total > 0, total, math.nan)
+        m1, m2, m3, m4 = ((y * i**k).sum(axis=-1) / total for k in (1, 2, 3, 4))
+        var = m2 - m1 * m1
+        shaped = np.where(var < 0.5, math.nan, var)
+        last = m1 if compat else m1**4
+        return m1, var, (m3 - 3 * m1 * var - m1**3) / shaped**1.5, (m4 - 4 * m1 * m3 + 6 * m2 * m1**2 - 3 * last) / shaped**2
+
+
+def frequency_features(x: np.ndarray, compat: bool = False) -> list[np.ndarray]:
+    """The moments of the magnitudes and of the powers of a series' spectrum; several series are rows of a matrix."""
     magnitude = np.abs(np.fft.rfft(x))
     return [*moments_of_spectrum(magnitude, compat), *moments_of_spectrum(magnitude**2, compat)]
 
@@ -100,41 +101,54 @@ def frequency_features(x: np.ndarray, compat: bool = False) -> list[float]:
 # Self-similarity and complexity --------------------------------------------------------------------
 
 
-def _slope(sizes: np.ndarray, values: np.ndarray) -> float:
-    good = np.isfinite(values) & (values > 0)
-    return float(np.polyfit(np.log(sizes[good]), np.log(values[good]), 1)[0]) if good.sum() > 1 else math.nan
+# Several series of one length are rows of a matrix; the result is then a number for each.
 
 
-def hurst_rs(x: np.ndarray, min_chunk: int = 8, max_chunk: int = 200, chunks: int = 5) -> float:
+def _slope(sizes: np.ndarray, values: list[np.ndarray], like: np.ndarray) -> np.ndarray:
+    """Least-squares slope of log values against log sizes, where values are positive."""
+    if not len(sizes):
+        return np.full(like.shape[:-1], math.nan)
+    found, t = np.stack(values, axis=-1), np.log(sizes)
+    good = np.isfinite(found) & (found > 0)
+    y, n = np.log(np.where(good, found, 1.0)), good.sum(axis=-1, keepdims=True)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        dt = np.where(good, t - (t * good).sum(axis=-1, keepdims=True) / n, 0.0)
+        dy = np.where(good, y - y.sum(axis=-1, keepdims=True) / n, 0.0)
+        return np.where(n[..., 0] > 1, (dt * dy).sum(axis=-1) / (dt * dt).sum(axis=-1), math.nan)
+
+
+def hurst_rs(x: np.ndarray, min_chunk: int = 8, max_chunk: int = 200, chunks: int = 5) -> np.ndarray:
     """Slope of the mean rescaled range of increments against the chunk size."""
     steps = np.diff(x)
     sizes = np.unique(np.linspace(min_chunk, max_chunk + 1, chunks).astype(int))
-    sizes = sizes[(sizes >= 2) & (sizes <= len(steps))]
+    sizes = sizes[(sizes >= 2) & (sizes <= steps.shape[-1])]
     means = []
     for size in sizes:
-        parts = steps[: len(steps) // size * size].reshape(-1, size)
-        walk = np.cumsum(parts - parts.mean(axis=1, keepdims=True), axis=1)
-        spread = parts.std(axis=1)
-        means.append(np.mean(np.ptp(walk, axis=1)[spread > 0] / spread[spread > 0]) if (spread > 0).any() else math.nan)
-    return _slope(sizes, np.array(means))
+        parts = steps[..., : steps.shape[-1] // size * size].reshape(*steps.shape[:-1], -1, size)
+        walk = np.cumsum(parts - parts.mean(axis=-1, keepdims=True), axis=-1)
+        spread = parts.std(axis=-1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            means.append(np.where(spread > 0, np.ptp(walk, axis=-1) / spread, 0.0).sum(axis=-1) / (spread > 0).sum(axis=-1))
+    return _slope(sizes, means, x)
 
 
-def hurst_dma(x: np.ndarray, min_chunk: int = 8, max_chunk: int = 200, step: int = 5) -> float:
+def hurst_dma(x: np.ndarray, min_chunk: int = 8, max_chunk: int = 200, step: int = 5) -> np.ndarray:
     """Slope of the deviation from a moving average against its length."""
-    top = min(max_chunk + 1, len(x) - 1)
+    top = min(max_chunk + 1, x.shape[-1] - 1)
     sizes = np.arange(min_chunk, top, step)
-    sums = np.concatenate([[0.0], np.cumsum(x)])
-    spread = [np.sqrt(np.mean((x[n - 1 :] - (sums[n:] - sums[:-n]) / n)[max(0, top - n + 1) :] ** 2)) for n in sizes]
-    return _slope(sizes, np.array(spread))
+    sums = np.concatenate([np.zeros((*x.shape[:-1], 1)), np.cumsum(x, axis=-1)], axis=-1)
+    spread = [np.sqrt(np.mean((x[..., n - 1 :] - (sums[..., n:] - sums[..., :-n]) / n)[..., max(0, top - n + 1) :] ** 2, axis=-1)) for n in sizes]
+    return _slope(sizes, spread, x)
 
 
-def hurst_dsod(x: np.ndarray) -> float:
+def hurst_dsod(x: np.ndarray) -> np.ndarray:
     """Half the log ratio of the second differences at twice the lag."""
-    if len(x) < 6:
-        return math.nan
-    near = np.mean((x[2:] - 2 * x[1:-1] + x[:-2]) ** 2)
-    far = np.mean((x[4:] - 2 * x[2:-2] + x[:-4]) ** 2)
-    return float(0.5 * np.log2(far / near)) if near > 0 and far > 0 else math.nan
+    if x.shape[-1] < 6:
+        return np.full(x.shape[:-1], math.nan)
+    near = np.mean((x[..., 2:] - 2 * x[..., 1:-1] + x[..., :-2]) ** 2, axis=-1)
+    far = np.mean((x[..., 4:] - 2 * x[..., 2:-2] + x[..., :-4]) ** 2, axis=-1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where((near > 0) & (far > 0), 0.5 * np.log2(far / near), math.nan)
 
 
 HURST = {"RS": hurst_rs, "DMA": hurst_dma, "DSOD": lambda x, *_: hurst_dsod(x)}
@@ -270,6 +284,7 @@ def daubechies(vanishing: int) -> np.ndarray:
     return out / out.sum() * math.sqrt(2)
 
 
+@functools.lru_cache(maxsize=16)
 def _filters(wavelet: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Analysis low and high, synthesis low and high."""
     if wavelet != "haar" and not (wavelet.startswith("db") and wavelet[2:].isdigit()):
@@ -280,15 +295,24 @@ def _filters(wavelet: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return low[::-1], high[::-1], low, high
 
 
+def _convolved(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The part of a convolution of rows in which the weights are covered wholly."""
+    n, size = x.shape[-1], len(weights)
+    return sum(w * x[..., size - 1 - i : n - i] for i, w in enumerate(weights))
+
+
+def _padded(x: np.ndarray, by: int, mode: str) -> np.ndarray:
+    return np.pad(x, [(0, 0)] * (x.ndim - 1) + [(by, by)], mode=mode)
+
+
 def wavelet_decompose(x: np.ndarray, wavelet: str, level: int) -> list[np.ndarray]:
-    """Approximation, then details from coarse to fine; ends are mirrored."""
+    """Approximation, then details from coarse to fine; ends are mirrored. Several series are rows of a matrix."""
     low, high, _, _ = _filters(wavelet)
     a, details = np.asarray(x, dtype=float), []
     for _ in range(level):
-        pad = len(low) - 1
-        longer = np.pad(a, pad, mode="symmetric")
-        details.append(np.convolve(longer, high, mode="valid")[1::2])
-        a = np.convolve(longer, low, mode="valid")[1::2]
+        longer = _padded(a, len(low) - 1, "symmetric")
+        details.append(_convolved(longer, high)[..., 1::2])
+        a = _convolved(longer, low)[..., 1::2]
     return [a, *details[::-1]]
 
 
@@ -300,11 +324,11 @@ def wavelet_part(coefficients: list[np.ndarray], part: str, wavelet: str, level:
     depth = len(coefficients) - 1 if part == "a" else level
     out = coefficients[0] if part == "a" else coefficients[-level]
     for i in range(depth, 0, -1):
-        wide = np.zeros(2 * len(out) - 1)
-        wide[::2] = out
-        full = np.convolve(wide, high if part == "d" and i == depth else low)
+        wide = np.zeros((*out.shape[:-1], 2 * out.shape[-1] - 1))
+        wide[..., ::2] = out
+        full = _convolved(_padded(wide, len(low) - 1, "constant"), high if part == "d" and i == depth else low)
         # The filter's overhang goes, and what mirrored ends have added.
-        out = full[len(low) - 2 :][: len(coefficients[-(i - 1)]) if i > 1 else size]
+        out = full[..., len(low) - 2 :][..., : coefficients[-(i - 1)].shape[-1] if i > 1 else size]
     return out
 
 
@@ -418,10 +442,18 @@ class Polyline:
 
     def root(self) -> float:
         """The first place in its pieces where the function is 0; else where the last piece would be, 0 if it is level."""
-        steep = self.slope != 0
-        at = np.where(steep, self.begin - np.divide(self.height, self.slope, out=np.zeros_like(self.slope), where=steep), np.nan)
-        inside = np.flatnonzero((at >= self.begin) & (at <= self.end))
-        return float(at[inside[0]] if len(inside) else at[-1] if steep[-1] else 0.0)
+        return root_of(self.pieces)
+
+
+def root_of(pieces: list[tuple[tuple[float, float], tuple[float, float]]]) -> float:
+    """:meth:`Polyline.root`, without making one."""
+    at = slope = 0.0
+    for (begin, height), (end, top) in pieces:
+        slope = (top - height) / (end - begin) if end != begin else 0.0
+        at = begin - height / slope if slope != 0 else math.nan
+        if begin <= at <= end:
+            return float(at)
+    return float(at) if slope != 0 else 0.0
 
 
 class PiecewiseLinearRegression:
@@ -438,31 +470,40 @@ class PiecewiseLinearRegression:
 
     def _begin(self, point: tuple[float, float]) -> None:
         self.first, self.last, self.n = point, point, 1
-        self.means = np.zeros(3)
-        self.residuals: list[float] = []
+        self.means = (0.0, 0.0, 0.0)
+        # Mean and sum of squared deviations of the residuals so far: a point costs the same however long its segment is.
+        self.mean = self.squares = 0.0
 
-    def _grown(self, t: float, y: float) -> tuple[np.ndarray, float, float]:
+    def _grown(self, t: float, y: float) -> tuple[tuple[float, float, float], float, float]:
         """Means of t², ty and y² with a point more, the slope through the first point, the squared residual."""
         dt, dy = t - self.first[0], y - self.first[1]
-        means = self.means + (np.array([dt * dt, dt * dy, dy * dy]) - self.means) / (self.n + 1)
-        slope = means[1] / means[0] if means[0] > 0 else 0.0
-        return means, slope, means[2] - slope * means[1]
+        a, b, c = self.means
+        n = self.n + 1
+        a, b, c = a + (dt * dt - a) / n, b + (dt * dy - b) / n, c + (dy * dy - c) / n
+        slope = b / a if a > 0 else 0.0
+        return (a, b, c), slope, c - slope * b
 
     def add_point(self, t: float, y: float) -> None:
         if self.first is None:
             self._begin((t, y))
             return
-        if self.n >= self.LEAST:
-            residual = self._grown(t, y)[2] * self.n
-            if residual > np.mean(self.residuals) + self.SPREADS * np.std(self.residuals):
-                self.done.append((self.first, self.last))
-                self._begin(self.last)
-        means, slope, residual = self._grown(t, y)
-        self.means, self.n = means, self.n + 1
-        self.residuals.append(residual * self.n)
+        grown = self._grown(t, y)
+        if self.n >= self.LEAST and grown[2] * self.n > self.mean + self.SPREADS * math.sqrt(self.squares / (self.n - 1)):
+            self.done.append((self.first, self.last))
+            self._begin(self.last)
+            grown = self._grown(t, y)
+        self.means, slope, residual = grown
+        self.n += 1
+        residual *= self.n
+        off = residual - self.mean
+        self.mean += off / (self.n - 1)
+        self.squares += off * (residual - self.mean)
         if self.not_increasing:
             slope = min(slope, 0.0)
         self.last = (t, self.first[1] + slope * (t - self.first[0]))
 
+    def pieces(self) -> list[tuple[tuple[float, float], tuple[float, float]]]:
+        return [*self.done, (self.first, self.last)] if self.first is not None else []
+
     def finish(self) -> Polyline:
-        return Polyline([*self.done, (self.first, self.last)] if self.first is not None else [])
+        return Polyline(self.pieces())

@@ -6,13 +6,14 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wearline.frame import Frame, Rows, by_group
-from wearline.functions import kernels
+from wearline.functions import kernels, ragged
 from wearline.plans.graph import Step
 
 __all__ = [
@@ -28,6 +29,13 @@ def _each(frame: Frame, function: Callable[[np.ndarray], np.ndarray]) -> Frame:
     return Frame(frame.rows, {n: done.held.get(n, h) for n, h in frame.held.items()})
 
 
+def _each_together(frame: Frame, function: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Frame:
+    """As :func:`_each`, of all cycles of a batch: flat values, and where each cycle starts."""
+    names = frame.numeric
+    done = frame.kernel({n: "double" for n in names}, lambda part, starts: {n: function(part[n].to_numpy(dtype=float), starts) for n in names}, names, together=True)
+    return Frame(frame.rows, {n: done.held.get(n, h) for n, h in frame.held.items()})
+
+
 class SavitzkyGolayTransformer(Step):
     """Least-squares polynomial smoothing; cycles no longer than the window stay."""
 
@@ -73,21 +81,12 @@ class Peaks(Step):
     def apply(self, frame: Frame) -> Frame:
         distance = self.distance
 
-        def mark(x: np.ndarray) -> np.ndarray:
+        def mark(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
             out = np.zeros(len(x))
-            out[kernels.find_peaks(x, distance)] = 1
+            out[ragged.find_peaks(x, starts, distance)] = 1
             return out
 
-        return _each(frame, mark)
-
-
-def _modes(x: np.ndarray, n: int) -> np.ndarray:
-    """Exactly n columns, NaN where there are fewer modes or the series has gaps."""
-    out = np.full((len(x), n), np.nan)
-    if np.isfinite(x).all() and len(x):
-        found = kernels.sift(x, n)
-        out[:, : found.shape[1]] = found
-    return out
+        return _each_together(frame, mark)
 
 
 class EMD(Step):
@@ -100,10 +99,11 @@ class EMD(Step):
     def apply(self, frame: Frame) -> Frame:
         n = self.n
 
-        def run(part: pd.DataFrame) -> pd.DataFrame:
-            return pd.concat([pd.DataFrame(_modes(part[c].to_numpy(dtype=float), n), columns=[f"{c}_{j}" for j in range(n)]) for c in part.columns], axis=1)
+        def run(part: pd.DataFrame, starts: np.ndarray) -> dict[str, np.ndarray]:
+            found = {c: ragged.sift(part[c].to_numpy(dtype=float), starts, n) for c in part.columns}
+            return {f"{c}_{j}": modes[:, j] for c, modes in found.items() for j in range(n)}
 
-        return frame.kernel({f"{c}_{j}": "double" for c in frame.numeric for j in range(n)}, run, frame.numeric)
+        return frame.kernel({f"{c}_{j}": "double" for c in frame.numeric for j in range(n)}, run, frame.numeric, together=True)
 
 
 class EMDFilter(Step):
@@ -116,15 +116,12 @@ class EMDFilter(Step):
     def apply(self, frame: Frame) -> Frame:
         n, a, b = self.n, self.min_imf, self.max_imf
 
-        def run(x: np.ndarray) -> np.ndarray:
-            return kernels.sift(x, n)[:, a:b].sum(axis=1) if len(x) and np.isfinite(x).all() else x
-
-        return _each(frame, run)
+        def run(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+            modes = ragged.sift(x, starts, n)
+            # The first mode is there wherever there are any.
+            return np.where(np.isnan(modes[:, 0]), x, np.nan_to_num(modes[:, a:b]).sum(axis=1))
 
-
-def _blocked(x: np.ndarray, size: int, function: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """A function of consecutive blocks of rows, put together again."""
-    return np.concatenate([function(x[i : i + size]) for i in range(0, len(x), size)])
+        return _each_together(frame, run)
 
 
 class SlidingNonOverlappingEMD(Step):
@@ -140,14 +137,14 @@ class SlidingNonOverlappingEMD(Step):
     def apply(self, frame: Frame) -> Frame:
         size, most, keep = self.window_size, self.max_imfs, self.keep
 
-        def run(part: pd.DataFrame) -> pd.DataFrame:
-            out = {}
+        def run(part: pd.DataFrame, starts: np.ndarray) -> dict[str, np.ndarray]:
+            out, own = {}, ragged.blocks(starts, len(part), size)
             for c in part.columns:
-                found = _blocked(part[c].to_numpy(dtype=float), size, lambda x: np.nan_to_num(_modes(x, most)[:, :keep]))
+                found = np.nan_to_num(ragged.sift(part[c].to_numpy(dtype=float), own, most)[:, :keep])
                 out |= {f"imf_{i}_{c}": found[:, i] for i in range(keep)}
-            return pd.DataFrame(out)
+            return out
 
-        return frame.kernel({f"imf_{i}_{c}": "double" for c in frame.numeric for i in range(keep)}, run, frame.numeric)
+        return frame.kernel({f"imf_{i}_{c}": "double" for c in frame.numeric for i in range(keep)}, run, frame.numeric, together=True)
 
 
 class SlidingNonOverlappingWaveletDecomposition(Step):
@@ -160,18 +157,18 @@ class SlidingNonOverlappingWaveletDecomposition(Step):
     def apply(self, frame: Frame) -> Frame:
         size, level, wavelet, keep = self.window_size, self.level, self.wavelet, self.keep
 
-        def bands(x: np.ndarray) -> np.ndarray:
-            found = kernels.wavelet_decompose(x, wavelet, level)
-            return np.stack([kernels.wavelet_part(found, b[0].lower(), wavelet, int(b[1:]), len(x)) for b in keep], axis=1)
-
-        def run(part: pd.DataFrame) -> pd.DataFrame:
-            out = {}
-            for c in part.columns:
-                found = _blocked(part[c].to_numpy(dtype=float), size, bands)
-                out |= {f"wavelet_{b}_{c}": found[:, i] for i, b in enumerate(keep)}
-            return pd.DataFrame(out)
+        def run(part: pd.DataFrame, starts: np.ndarray) -> dict[str, np.ndarray]:
+            own = ragged.sizes_of(ragged.blocks(starts, len(part), size), len(part))
+            out = {f"wavelet_{b}_{c}": np.empty(len(part)) for c in part.columns for b in keep}
+            values = {c: part[c].to_numpy(dtype=float) for c in part.columns}
+            for _, rows in ragged.by_length(own):
+                for c, x in values.items():
+                    found = kernels.wavelet_decompose(x[rows], wavelet, level)
+                    for b in keep:
+                        out[f"wavelet_{b}_{c}"][rows] = kernels.wavelet_part(found, b[0].lower(), wavelet, int(b[1:]), rows.shape[1])
+            return out
 
-        return frame.kernel({f"wavelet_{b}_{c}": "double" for c in frame.numeric for b in keep}, run, frame.numeric)
+        return frame.kernel({f"wavelet_{b}_{c}": "double" for c in frame.numeric for b in keep}, run, frame.numeric, together=True)
 
 
 class ROCKET(Step):
@@ -184,8 +181,12 @@ class ROCKET(Step):
     def apply(self, frame: Frame) -> Frame:
         names = frame.numeric
         rocket = kernels.Rocket(len(names), self.n_kernels, self.kernel_sizes, self.random_state)
-        run = lambda part: pd.DataFrame({"rocket": list(rocket(part.to_numpy(dtype=float)))})
-        return frame.kernel({"rocket": "array<double>"}, run, names)
+
+        def run(part: pd.DataFrame, _: np.ndarray) -> dict[str, pa.Array]:
+            found = rocket(part.to_numpy(dtype=float))
+            return {"rocket": pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1], found.ravel())}
+
+        return frame.kernel({"rocket": "array<double>"}, run, names, together=True)
 
 
 class _PerCycle(Step):
@@ -194,7 +195,8 @@ class _PerCycle(Step):
     def names(self) -> list[str]:
         raise NotImplementedError
 
-    def values(self, x: np.ndarray) -> list[float]:
+    def values(self, x: np.ndarray) -> np.ndarray:
+        """The numbers of several series of one length: a row each."""
         raise NotImplementedError
 
     def apply(self, frame: Frame) -> Frame:
@@ -203,12 +205,19 @@ class _PerCycle(Step):
         columns = [f"{c}_{n}" for c in chosen for n in names]
         source = frame.rows.df.select(cycle, pos, *(frame.col(c).cast("double").alias(c) for c in chosen))
 
-        def run(part: pd.DataFrame) -> pd.DataFrame:
-            found = [v for c in chosen for v in step.values(part[c].dropna().to_numpy())]
-            return pd.DataFrame([[part[cycle].iloc[0], 0, *(None if np.isnan(v) else v for v in found)]], columns=[cycle, pos, *columns])
+        def run(part: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+            out = {cycle: part[cycle].iloc[starts].reset_index(drop=True), pos: 0}
+            for c in chosen:
+                x = part[c].to_numpy(dtype=float)
+                good = ~np.isnan(x)
+                x, found = x[good], np.full((len(starts), len(names)), np.nan)
+                for series, rows in ragged.by_length(ragged.kept(good, starts)):
+                    found[series] = step.values(x[rows])
+                out |= {f"{c}_{n}": found[:, i] for i, n in enumerate(names)}
+            return pd.DataFrame(out)
 
         schema = ", ".join([f"`{cycle}` {kind}", f"`{pos}` long", *(f"`{c}` double" for c in columns)])
-        return Frame(Rows(by_group(source, [cycle], pos, run, schema), cycle, pos), {c: c for c in columns})
+        return Frame(Rows(by_group(source, [cycle], pos, run, schema, together=True), cycle, pos), {c: c for c in columns})
 
 
 class FrequencyFeatures(_PerCycle):
@@ -221,8 +230,8 @@ class FrequencyFeatures(_PerCycle):
     def names(self) -> list[str]:
         return [f"{of}_{m}" for of in ("fft", "power") for m in ("centroid", "variance", "skew", "kurtosis")]
 
-    def values(self, x: np.ndarray) -> list[float]:
-        return kernels.frequency_features(x, self.compat) if len(x) else [np.nan] * 8
+    def values(self, x: np.ndarray) -> np.ndarray:
+        return np.stack(kernels.frequency_features(x, self.compat), axis=-1) if x.shape[1] else np.full((len(x), 8), np.nan)
 
 
 class HurstExponent(_PerCycle):
@@ -238,8 +247,10 @@ class HurstExponent(_PerCycle):
     def names(self) -> list[str]:
         return [f"hurst_{m.lower()}" for m in self.methods]
 
-    def values(self, x: np.ndarray) -> list[float]:
-        return [kernels.HURST[m](x, *self.sizes) if len(x) > self.sizes[0] + 1 else np.nan for m in self.methods]
+    def values(self, x: np.ndarray) -> np.ndarray:
+        if x.shape[1] <= self.sizes[0] + 1:
+            return np.full((len(x), len(self.methods)), np.nan)
+        return np.stack([kernels.HURST[m](x, *self.sizes) for m in self.methods], axis=-1)
 
 
 class _KMeans(Step):
