@@ -9,12 +9,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wearline.frame import by_group
-from wearline.functions.kernels import PiecewiseLinearRegression
+from wearline.functions.kernels import PiecewiseLinearRegression, root_of
 from wearline.functions.stats import ratio
 
 FOLD = ("model", "fold")
@@ -103,17 +104,24 @@ def lines_of_lives(timed: DataFrame, value: str = "y_pred", not_increasing: bool
     Returns the life's keys, ``pieces`` (t1, y1, t2, y2) and ``root``. A life is fitted point by point by one task.
     """
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        line = PiecewiseLinearRegression(not_increasing)
-        for t, y in zip(part["time"], part[value], strict=True):
-            line.add_point(float(t), float(y))
-        found = line.finish()
-        pieces = [{"t1": a[0], "y1": a[1], "t2": b[0], "y2": b[1]} for a, b in found.pieces]
-        return pd.DataFrame([{**part[list(LIFE)].iloc[0].to_dict(), "pieces": pieces, "root": found.root()}])
-
+    def run(part: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        t, y = part["time"].astype(float).tolist(), part[value].astype(float).tolist()
+        corners, roots = [], []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True):
+            line = PiecewiseLinearRegression(not_increasing)
+            for i in range(a, b):
+                line.add_point(t[i], y[i])
+            pieces = line.pieces()
+            corners.append([(*begin, *end) for begin, end in pieces])
+            roots.append(root_of(pieces))
+        keys = {k: part[k].iloc[starts].reset_index(drop=True) for k in LIFE}
+        return pd.DataFrame({**keys, **{n: [[c[i] for c in own] for own in corners] for i, n in enumerate(ends)}, "root": roots})
+
+    ends = ("t1", "y1", "t2", "y2")
     kinds = ", ".join(f"{c} {timed.schema[c].dataType.simpleString()}" for c in LIFE)
     source = timed.select(*LIFE, "pos", "time", value).filter(F.col("time").isNotNull() & F.col(value).isNotNull())
-    return by_group(source, LIFE, "pos", run, f"{kinds}, pieces array<struct<t1:double,y1:double,t2:double,y2:double>>, root double")
+    found = by_group(source, LIFE, "pos", run, f"{kinds}, {', '.join(f'{n} array<double>' for n in ends)}, root double", together=True)
+    return found.select(*LIFE, F.arrays_zip(*ends).alias("pieces"), "root")
 
 
 def lives_of(predictions: DataFrame, rul_threshold: float | None = None) -> DataFrame:
