@@ -9,10 +9,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wearline import analysis
+from wearline import analysis, results
 from wearline.frame import CycleSet, by_group
 from wearline.functions import kernels, ragged
-from wearline.queries.common import rounded, sensors
+from wearline.queries.common import cycles, rounded, sensors
+from wearline.queries.evaluation import predictions
 
 
 def plan(df) -> str:
@@ -137,3 +138,39 @@ def test_a_long_segment_costs_a_point_the_same():
         line.add_point(float(t), 5.0 - 2.0 * t)
     assert len(line.pieces()) == 1 and np.isclose(line.finish().root(), 2.5)
     assert not hasattr(line, "residuals")
+
+
+def sorts(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Sort [")
+
+
+def test_lives_are_sorted_once_and_never_gathered(spark, sf):
+    """A task held a sort of its rows for each of five steps, and lives as arrays."""
+    made = predictions(spark, sf)
+    lives = results.split_lives(made)
+    timed = results.with_time(lives)
+    assert sorts(timed) == sorts(lives)
+    assert "collect_list" not in plan(timed)
+    assert sorts(results.fitted_lives(timed)) <= sorts(lives) + 2
+
+
+def test_time_of_lives_with_level_starts(spark):
+    # Steps 2, 1, 3 from the second row on; the first two rows are level, and take the median step.
+    y = [9.0, 9.0, 7.0, 6.0, 3.0]
+    rows = [("a", 1, i, v, v) for i, v in enumerate([*y, 4.0, 1.0])]
+    df = spark.createDataFrame(rows, "model string, fold long, idx long, y_true double, y_pred double")
+    found = results.with_time(results.split_lives(df)).orderBy("idx").select("life", "start", "time").collect()
+    assert [tuple(r) for r in found] == [(0, 1, 2.0), (0, 1, 4.0), (0, 1, 7.0), (0, 1, 8.0), (0, 1, 10.0), (1, 0, 0.0), (1, 0, 3.0)]
+
+
+def test_metrics_of_cells_need_one_order(spark, sf):
+    found = analysis.analyze(cycles(spark, sf), ["correlation", "number_of_unique_elements", "std", "autocorrelation"], ["k", "value"])
+    text = plan(found)
+    # One order by value and one by position, and no table of distinct values.
+    assert sorts(found) <= sorts(cycles(spark, sf).df) + 2 and text.count("Aggregate [") == 1
+    rows = [(1, i, v, float(i)) for i, v in enumerate([2.0, None, 2.0, 0.0, -0.0, float("inf"), 5.0])]
+    own = CycleSet(spark.createDataFrame(rows, "cycle_id long, pos long, v double, RUL double"), features=["v", "RUL"])
+    got = analysis.analyze(own, ["number_of_unique_elements", "correlation"], ["v"]).first()
+    part = pd.Series([2.0, 2.0, 0.0, 0.0, 5.0])
+    assert got["number_of_unique_elements"] == 4
+    assert np.isclose(got["correlation"], np.corrcoef(part.rank(), [0, 2, 3, 4, 6])[0, 1])

@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wearline.frame import by_group
+from wearline.frame import Rows, by_group
+from wearline.functions import ragged
 from wearline.functions.kernels import PiecewiseLinearRegression, root_of
 from wearline.functions.stats import ratio
 
@@ -49,35 +50,39 @@ def with_time(lives: DataFrame, rul_threshold: float | None = None) -> DataFrame
     Degradation begins below the threshold, or after the first rows that do not change. Time sums the
     decrements of the RUL, the last ones first; rows before the start take the median step.
     """
-    whole = Window.partitionBy(*LIFE)
-    order = whole.orderBy("pos")
-    y = F.col("y_true")
+    # The k-th step from the start is the k-th decrement from the end, so their sum is read at the mirrored
+    # row. All of it is one kernel over lives as split_lives leaves them: in order, without another sort.
+    rows = _Lives(lives.drop("start", "time"), "life", "idx" if "idx" in lives.columns else "pos")
+    held = rows.kernel({"y": "y_true"}, {"start": "long", "time": "double"}, lambda part, starts: _timed(part["y"].to_numpy(dtype=float), starts, rul_threshold), together=True)
+    return rows.df.withColumnsRenamed({h: n for n, h in held.items()})
+
+
+class _Lives(Rows):
+    by = list(LIFE)
+
+
+def _timed(y: np.ndarray, starts: np.ndarray, rul_threshold: float | None) -> dict[str, np.ndarray]:
+    """Start and time of the rows of whole lives; NaN is a missing RUL."""
+    sizes = ragged.sizes_of(starts, len(y))
+    life, last = np.repeat(np.arange(len(starts)), sizes), starts + sizes - 1
+    pos = np.arange(len(y)) - starts[life]
     if rul_threshold is not None:
-        start = F.coalesce(F.min(F.when(y < rul_threshold, F.col("pos"))).over(whole), F.lit(0))
+        begins, otherwise = y < rul_threshold, np.zeros(len(starts), dtype=np.int64)
     else:
-        lives = lives.withColumn("_next", F.lead("y_true").over(order))
-        start = F.coalesce(F.min(F.when(F.col("_next") != y, F.col("pos"))).over(whole), F.col("n") - 1)
-        lives = lives.withColumn("_start", start).drop("_next")
-        start = F.col("_start")
-    lives = lives.withColumn("start", start.cast("long")).drop("_start")
-    step = F.when(F.col("pos") > F.col("start"), F.lag("y_true").over(order) - y)
-    lives = lives.withColumn("_step", step)
-    lives = lives.withColumn("_median", F.when(F.col("start") > 0, F.coalesce(F.percentile("_step", F.lit(0.5)).over(whole), F.lit(1.0))).otherwise(F.lit(0.0)))
-    # The k-th step from the start is the k-th decrement from the end, so their sum is read at the
-    # mirrored row: a life is gathered as one array (its rows are in one partition already), no join.
-    others = [c for c in lives.columns if c not in (*LIFE, "pos")]
-    gathered = lives.groupBy(*LIFE).agg(F.array_sort(F.collect_list(F.struct("pos", *others))).alias("_rows"))
-
-    def timed(row: Column) -> Column:
-        late = row["pos"] > row["start"]
-        mirror = F.get("_rows", (row["n"] - 1 + row["start"] - row["pos"]).cast("int"))["y_true"]
-        last = F.get("_rows", (row["n"] - 1).cast("int"))["y_true"]
-        before = F.when(row["start"] > 0, row["_median"] * (F.least(row["pos"], row["start"]) + 1)).otherwise(F.lit(0.0))
-        time = before + F.when(late, mirror - last).otherwise(F.lit(0.0))
-        kept = [c for c in others if c not in ("_step", "_median")]
-        return F.struct(row["pos"].alias("pos"), *(row[c].alias(c) for c in kept), time.alias("time"))
-
-    return gathered.select(*LIFE, F.inline(F.transform("_rows", timed)))
+        following = np.append(y[1:], np.nan)
+        following[last] = np.nan
+        begins, otherwise = (following != y) & ~np.isnan(following) & ~np.isnan(y), sizes - 1
+    least = np.minimum.reduceat(np.where(begins, pos, len(y)), starts)
+    start = np.where(least < len(y), least, otherwise)
+    median = np.zeros(len(starts))
+    for i in np.flatnonzero(start > 0):
+        steps = -np.diff(y[starts[i] + start[i] : last[i] + 1])
+        steps = steps[~np.isnan(steps)]
+        median[i] = np.median(steps) if len(steps) else 1.0
+    own = start[life]
+    mirror = np.where(pos > own, starts[life] + sizes[life] - 1 + own - pos, last[life])
+    late = np.where(pos > own, y[mirror] - y[last[life]], 0.0)
+    return {"start": own, "time": np.where(own > 0, median[life] * (np.minimum(pos, own) + 1), 0.0) + late}
 
 
 def fitted_lives(timed: DataFrame) -> DataFrame:
@@ -85,6 +90,8 @@ def fitted_lives(timed: DataFrame) -> DataFrame:
     e = F.col("y_true") - F.col("y_pred")
     t = F.col("time")
     whole = Window.partitionBy(*LIFE)
+    # What is sorted has no more columns than are read.
+    timed = timed.select(*LIFE, "pos", "start", "time", "y_true", "y_pred")
     line = timed.withColumns({"_slope": F.regr_slope("y_pred", t).over(whole), "_intercept": F.regr_intercept("y_pred", t).over(whole)})
     lines = line.groupBy(*LIFE).agg(
         F.first("_slope").alias("slope_pred"), F.first("_intercept").alias("intercept_pred"),
